@@ -84,7 +84,7 @@ def check_batch(con, raw_ids: list[int], lines: list[str], scratch: str) -> pa.T
                       store_rejects=true, rejects_limit=0, strict_mode=true, null_padding=false, max_line_size=268435456)""",
         [scratch],
     )
-    got = con.execute(_CHECK, [WELL_QUOTED]).fetch_arrow_table()
+    got = con.execute(_CHECK, [WELL_QUOTED]).to_arrow_table()
     con.unregister("batch")
     return got
 
