@@ -91,7 +91,7 @@ def tables_() -> tuple[list, list, str]:
             seq = "".join(map(parts_of, own))
             if seq == own or seq not in composed:
                 composed[seq] = ch
-    return decomposed, sorted(composed.items()), "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+    return decomposed, sorted(composed.items()), "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in [*ranges, (0x1100, 0x11FF)])  # conjoining jamo compose, too
 
 
 def _map_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
