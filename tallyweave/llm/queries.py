@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import gazetteer, languages, lookalikes, mixing, mojibake, packing
+from tallyweave.llm import gazetteer, history, languages, lookalikes, mixing, mojibake, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": history.p2_found,
         "p3_found": mojibake.p3_found,
         "p4_found": lookalikes.p4_found,
         "p5_found": gazetteer.p5_found,
