@@ -8,10 +8,10 @@ tuned per worker against exhaustive search on ``TUNE`` queries until ``RECALL``
 brings within the radius is reranked exactly on numbers, amounts, times and names. The batch then becomes
 a shard of its own, and whenever ``FANOUT`` shards of one size have gathered they are compacted into one.
 
-Rows meet in two distributions: by number (equal numbers, however written) and by amount and day (damaged
-numbers need both to agree). Copies alike in all compared fields are collapsed to their first row before,
-so a number or amount that a third of all rows share is one node, not one partition; keys that stay hot
-are split into slices, each holding a part of the nodes and seeing all queries of the key.
+Rows meet in two distributions: by number (equal numbers, however written) and by amount and time (damaged
+numbers need both to agree). Hot keys are found by counting; their rows that are alike in all that is
+compared are collapsed to the first one, so a number that a third of all rows share is one node, and what
+stays hot is split into slices, each holding a part of the nodes and seeing all queries of the key.
 
 Defined results: rows without a number are no case; the first row of a class is reported for every later
 row. An unreadable time never agrees with anything.
@@ -34,12 +34,12 @@ from tallyweave.tables import cut, table
 
 CHARS = 40  # characters of a number that its projections see; the rerank compares whole numbers
 DIMS = 8
-SEGMENT = 4096
+SEGMENT = 16_384
 FANOUT = 4
 TUNE, RECALL = 48, 0.99
-BEAMS = (4, 8, 16, 32)
+BEAMS = (2, 4, 8, 16, 32)
 HOT = 50_000  # rows of one key from which it is split into slices
-OFFSETS = (1, 2, 5, 16, 64, 256, 1024)
+OFFSETS = (1, 3, 16, 128, 1024)
 
 
 # ---------------------------------------------------------------- the graph
@@ -218,13 +218,13 @@ def number_maps() -> tuple[str, str, str]:
 def one_number(col: Column) -> Column:
     """A number in one writing: ASCII, upper case, no blanks, hyphens, prefixes, leading zeros or final stops."""
     a, b, gone = number_maps()
-    x = F.upper(F.translate(F.regexp_replace(col, gone, ""), a, b))
+    x = F.upper(F.when(col.rlike(r"^[\x00-\x7f]*$"), col).otherwise(F.translate(F.regexp_replace(col, gone, ""), a, b)))
     x = F.regexp_replace(F.trim(x), r"^(?:NO\s*[.:]?\s*(?=\d)|№\s*|')", "")
     x = F.regexp_replace(x, r"[\s\-\x00-\x1f]|\.+\s*$", "")
-    return F.regexp_replace(x, r"^0+(?=.)", "")
+    return F.when(col.rlike("^[1-9][0-9]*$"), col).otherwise(F.regexp_replace(x, r"^0+(?=.)", ""))
 
 
-CUT = re.compile(r"^(\d)\.?(\d*)E\+?(\d+)$")
+CUT = re.compile(r"^(\d)\.?(\d*)E\+?(\d+)$")  # rounded by a spreadsheet
 DERIVED = re.compile(r"(?:[*_].*)$")
 SWAPS = str.maketrans("OILSBZ", "011582")
 
@@ -283,7 +283,7 @@ def _search_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 def _search_group(field: str, kind: int, g: pd.DataFrame) -> Iterator[pd.DataFrame]:
     number, key = g["number"].to_numpy(object), g["key"].to_numpy(np.int64)
     name, seq = g["name"].to_numpy(object), g["seq"].to_numpy(np.int64)
-    node, ask = g["node"].to_numpy(bool), g["ask"].to_numpy(bool)
+    node = g["node"].to_numpy(bool)
     v = vectors(number, g["cents"].fillna(0).to_numpy(np.int64), g["minute"].fillna(0).to_numpy(np.int64), np.full(len(g), kind == NUMBER))
     shards = Shards(1e-3 if kind == NUMBER else 0.1)
     out_a, out_b = [], []
@@ -291,9 +291,8 @@ def _search_group(field: str, kind: int, g: pd.DataFrame) -> Iterator[pd.DataFra
         part = np.arange(lo, min(lo + SEGMENT, len(g)))
         if node[part].any():
             shards.add(part[node[part]], v[part[node[part]]])
-        asked = part[ask[part]]
-        for a, b in shards.search(v[asked]):
-            a = asked[a]
+        for a, b in shards.search(v[part]):
+            a = part[a]
             ok = (seq[b] < seq[a]) & (key[b] == key[a])
             for later, earlier in zip(a[ok], b[ok]):
                 x, y = number[earlier], number[later]
@@ -311,50 +310,63 @@ def _search_group(field: str, kind: int, g: pd.DataFrame) -> Iterator[pd.DataFra
         yield pd.DataFrame({"field": field, "seq_a": out_a, "seq_b": out_b})
 
 
-def _distributed(records: DataFrame) -> DataFrame:
-    """Each record once for its number and once for its amount and day; hot keys in slices."""
-    exact = records.filter(~F.col("number").rlike(r"E\+?\d+$")).select("field", F.lit(NUMBER).alias("kind"), "seq", "number", F.xxhash64("field", "number").alias("key"), F.lit(None).cast("long").alias("cents"), F.lit(None).cast("long").alias("minute"), F.lit(None).cast("string").alias("name"))
+KEYED = ("field", "kind", "seq", "number", "key", "cents", "minute", "name")
+TRUNCATED = r"^\d\.?\d*E\+?\d+$"  # a number that a spreadsheet rounded
+
+
+def _keyed(records: DataFrame) -> DataFrame:
+    """Each record once for its number and once for its amount and time; what a kind doesn't compare is NULL."""
+    none = lambda kind: F.lit(None).cast(kind)
+    exact = records.filter(~F.col("number").rlike(TRUNCATED)).select("field", F.lit(NUMBER).alias("kind"), "seq", "number", F.xxhash64("field", "number").alias("key"), none("long").alias("cents"), none("long").alias("minute"), none("string").alias("name"))
     near = records.filter(F.col("cents").isNotNull() & F.col("minute").isNotNull())
-    near = near.select("field", F.lit(NEAR).alias("kind"), "seq", "number", F.xxhash64("field", "cents", "minute").alias("key"), "cents", "minute", "name")
-    both = exact.unionByName(near)
-    hot = both.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("slices"))
-    both = both.join(F.broadcast(hot), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))  # at most rows / HOT keys
-    both = both.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    own = F.pmod(F.xxhash64("seq"), F.col("slices")) == F.col("slice")
-    return both.select("field", "kind", "seq", "number", "key", "cents", "minute", "name", own.alias("node"), F.lit(True).alias("ask"), "slice")
+    return exact.unionByName(near.select("field", F.lit(NEAR).alias("kind"), "seq", "number", F.xxhash64("field", "cents", "minute").alias("key"), "cents", "minute", "name"))
+
+
+def hot_keys(keyed: DataFrame) -> DataFrame:
+    """(key, rows) of the keys with more than HOT rows. Key groups are counted first: few rows, whatever the data."""
+    group = F.pmod(F.col("key"), F.lit(65_536)).cast("int")
+    groups = keyed.select(group.alias("g")).groupBy("g").count().filter(F.col("count") > HOT).select("g")
+    some = keyed.select("key", group.alias("g")).join(F.broadcast(groups), "g")
+    return some.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOT)
 
 
 def same_rows(records: DataFrame, partition_rows: int = 40_000) -> DataFrame:
     """(field, seq_a, seq_b): each row that is the same as an earlier one, with the first such row.
 
-    ``records``: field, seq (order of arrival), number (one writing), cents, minute (NULL if unreadable), name.
+    ``records``: field, seq (order of arrival), number (one writing), cents, minute (NULL if unreadable), name;
+    it is read several times and so should be a written table.
     """
-    records = records.withColumn("alike", F.sha2(F.to_json(F.struct("cents", "minute", "name")), 256))
-    groups = records.groupBy("field", "number", "alike").agg(F.min("seq").alias("seq"), F.first("cents").alias("cents"), F.first("minute").alias("minute"), F.first("name").alias("name"), F.count("*").alias("copies"))
-    first = groups.select("field", "number", "cents", "minute", "name", "seq")
-    repeated = groups.filter("copies > 1").select("field", "number", "alike", F.col("seq").alias("seq_a"))
-    copies = records.select("field", "number", "alike", F.col("seq").alias("seq_b")).join(repeated, ["field", "number", "alike"]).filter("seq_b > seq_a").select("field", "seq_a", "seq_b")
-    links = _links(first, partition_rows)
-    # a copy of a class member belongs to the class, too: exact copies are links to their first row
-    unsure = records.filter("cents is null or minute is null").filter(F.col("number").rlike(r"E\+?\d+$")).select("field", F.col("seq").alias("seq_b"))
-    copies = copies.join(unsure, ["field", "seq_b"], "left_anti")
-    return first_of_class(cut(links.unionByName(copies)))
-
-
-def _links(first: DataFrame, partition_rows: int) -> DataFrame:
-    spread = _distributed(first)
-    n = max(1, -(-2 * first.count() // partition_rows))
-    spread = spread.repartition(n, "key", "slice").drop("slice")
-    return spread.mapInPandas(_search_partition, OUT)
-
-
-def first_of_class(links: DataFrame, rounds: int = 4) -> DataFrame:
-    """Follows the links to the first row of each class: pointers to the smallest neighbour, halved each round."""
-    parent = links.groupBy("field", "seq_b").agg(F.min("seq_a").alias("seq_a"))
-    for _ in range(rounds):
+    keyed = _keyed(records)
+    n = max(1, -(-2 * records.count() // partition_rows))
+    hot = cut(hot_keys(keyed))
+    copies = None
+    if not hot.isEmpty():
+        # rows of a hot key that are alike in all that is compared are collapsed to their first row
+        hot = F.broadcast(hot.select("key"))  # at most all rows / HOT keys
+        alike = [c for c in KEYED if c != "seq"]
+        part = keyed.join(hot, "key").withColumn("same", F.sha2(F.to_json(F.struct(*alike)), 256))
+        firsts = part.groupBy(*alike, "same").agg(F.min("seq").alias("seq_a"))
+        copies = part.select("field", "same", F.col("seq").alias("seq_b")).join(firsts.select("same", "seq_a"), "same").filter("seq_b > seq_a").select("field", "seq_a", "seq_b")
+        left = cut(firsts.withColumnRenamed("seq_a", "seq").select(*KEYED))
+        slices = left.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("slices"))
+        left = left.join(F.broadcast(slices), "key").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        left = left.withColumn("node", F.pmod(F.xxhash64("seq"), F.col("slices")) == F.col("slice")).drop("slices")
+        keyed = keyed.join(hot, "key", "left_anti").withColumns({"slice": F.lit(0), "node": F.lit(True)}).unionByName(left)
+    else:
+        keyed = keyed.withColumns({"slice": F.lit(0), "node": F.lit(True)})
+    links = keyed.repartition(n, "key", "slice").drop("slice").mapInPandas(_search_partition, OUT)
+    return first_of_class(links if copies is None else links.unionByName(copies))
+
+
+def first_of_class(links: DataFrame) -> DataFrame:
+    """Follows the links to the first row of each class; pointers are doubled until none moves."""
+    parent = cut(links.groupBy("field", "seq_b").agg(F.min("seq_a").alias("seq_a")))
+    while True:
         up = parent.select("field", F.col("seq_b").alias("seq_a"), F.col("seq_a").alias("top"))
-        parent = parent.join(up, ["field", "seq_a"], "left").select("field", "seq_b", F.coalesce("top", "seq_a").alias("seq_a"))
-    return parent.select("field", "seq_a", "seq_b")
+        moved = parent.join(up, ["field", "seq_a"], "left")
+        if moved.filter("top is not null").isEmpty():
+            return parent.select("field", "seq_a", "seq_b")
+        parent = cut(moved.select("field", "seq_b", F.coalesce("top", "seq_a").alias("seq_a")))
 
 
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
