@@ -72,9 +72,9 @@ def parts_of(ch: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def tables_() -> tuple[list, list, str]:
-    """(character, its parts and their combining classes), (sequence, composed), class of the characters with a row."""
-    decomposed, composed, ranges = [], {}, []
+def tables_() -> tuple[list, list]:
+    """(character, its parts and their combining classes), (sequence, composed)."""
+    decomposed, composed = [], {}
     for code in range(sys.maxunicode + 1):
         ch = chr(code)
         if unicodedata.category(ch) in ("Cn", "Cs", "Co"):
@@ -82,20 +82,16 @@ def tables_() -> tuple[list, list, str]:
         parts = parts_of(ch)
         if parts != ch or unicodedata.combining(ch):
             decomposed.append((ch, [(c, unicodedata.combining(c)) for c in parts]))
-            if ranges and ranges[-1][1] == code - 1:
-                ranges[-1][1] = code
-            else:
-                ranges.append([code, code])
         own = unicodedata.normalize("NFD", ch)
         if len(own) > 1 and unicodedata.combining(own[1]) and unicodedata.normalize("NFC", own) == ch:
             seq = "".join(map(parts_of, own))
             if seq == own or seq not in composed:
                 composed[seq] = ch
-    return decomposed, sorted(composed.items()), "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in [*ranges, (0x1100, 0x11FF)])  # conjoining jamo compose, too
+    return decomposed, sorted(composed.items())
 
 
 def _map_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    decomposed, composed, _ = tables_()
+    decomposed, composed = tables_()
     return (
         spark.createDataFrame(decomposed, "ch string, parts array<struct<c:string,ccc:int>>"),
         spark.createDataFrame(composed, "seq string, composed string"),
@@ -103,8 +99,13 @@ def _map_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def affected(col: Column) -> Column:
-    """Whether a text has a character that the tables change, or blanks other than single ones."""
-    return col.rlike(f"[{tables_()[2]}]|\\s\\s|[\\t\\r\\n]")
+    """Whether a text may have a character that the tables change, or blanks other than single ones.
+
+    A cheap class that holds all such characters: everything but plain ASCII and plain Han, and the few
+    of those that have a row.
+    """
+    rows = "".join(ch for ch, _ in tables_()[0] if " " < ch <= "~" or "\u4e00" <= ch <= "\u9fff")
+    return col.rlike(f"[^\\x20-\\x7e\\x{{4e00}}-\\x{{9fff}}\u00b7]|[{rows}]|  ")
 
 
 def one_form(texts: DataFrame, col: str) -> DataFrame:
