@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,22 +74,37 @@ def _pieces(text: str, wrong: str, trail: bool) -> Iterator[tuple[int, int, byte
         return
     for m in (HIGH_AND_TRAIL if trail else HIGH).finditer(text):
         i, n = m.start(), m.end()
+        try:
+            raw = m[0].encode(wrong)
+        except UnicodeEncodeError:
+            raw = None
+        if raw is not None:
+            # most runs have no span, so the place of each character is worked out only where one is found
+            if AUTOMATA["utf-8"].search(raw) or trail:
+                yield i, n, raw, _offsets(m[0], wrong)
+            continue
         while i < n:
-            parts, at, j, size = [], [0], i, 0
-            while j < n:
-                try:
-                    raw = text[j].encode(wrong)
-                except UnicodeEncodeError:
-                    break
-                parts.append(raw)
-                size += len(raw)
-                at.append(size)
+            j, parts = i, []
+            while j < n and (one := _multi(text[j], wrong)) is not None:
+                parts.append(one)
                 j += 1
             if j > i:
-                yield i, j, b"".join(parts), at
+                yield i, j, b"".join(parts), list(accumulate(map(len, parts), initial=0))
             i = j + 1
 
 
+def _offsets(run: str, wrong: str) -> list[int]:
+    return list(accumulate((len(_multi(c, wrong)) for c in run), initial=0))
+
+
+@lru_cache(maxsize=100_000)
+def _multi(ch: str, wrong: str) -> bytes | None:
+    try:
+        return ch.encode(wrong)
+    except UnicodeEncodeError:
+        return None
+
+
 def _starts(run: bytes, a: int, b: int, right: str) -> list[int]:
     """Byte offsets in run[a:b] at which a character of the right encoding may begin, and the end."""
     if right == "utf-8":

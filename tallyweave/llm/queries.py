@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import gazetteer, history, languages, lookalikes, mixing, mojibake, packing
+from tallyweave.llm import gazetteer, history, languages, linkage, lookalikes, mixing, mojibake, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": mojibake.p3_found,
         "p4_found": lookalikes.p4_found,
         "p5_found": gazetteer.p5_found,
+        "p7_found": linkage.p7_found,
+        "p7_matches": linkage.p7_matches,
         "p8_containers": packing.p8_containers,
         "p8_fill": packing.p8_fill,
         "p9_mix": mixing.p9_mix,
