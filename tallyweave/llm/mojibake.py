@@ -199,6 +199,8 @@ def _once(text: str, usual: Usual, gain: float) -> tuple[str, bool] | None:
             if got is None or got[0] == text or got[0] in seen:
                 continue
             seen.add(got[0])
+            if not got[2] and not cut and usual.plain(got[0]):
+                return got[0], False  # nothing but usual characters: no other reading can be better
             # a well-formed UTF-8 span is hardly ever an accident; strays count against a reading that nothing was cut from
             score = usual.sum(got[0]) + (3 * got[1] if right == "utf-8" and usual.seen(got[0]) else 0) - (0 if cut else 12) * got[2]
             if score > best_score:
@@ -217,7 +219,10 @@ def restore(text: str, usual: Usual, trusted: frozenset | set = frozenset(), gai
 
     ``trusted`` are readings that are never garbled.
     """
-    if usual.plain(text) and "?" not in text or reading(text) in trusted:
+    if usual.plain(text) and "?" not in text:
+        return None
+    read = reading(text)
+    if read in trusted or ("?" not in text and LOST not in text and usual.plain(read)):  # only look-alike forms
         return None
     if text.isascii():
         return "" if LOST_ASCII.search(text) else None
