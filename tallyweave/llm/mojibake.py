@@ -200,7 +200,7 @@ def _once(text: str, usual: Usual, gain: float) -> tuple[str, bool] | None:
             if got is None or got[0] == text or got[0] in seen:
                 continue
             seen.add(got[0])
-            if not got[2] and not cut and got[1] >= high and usual.plain(got[0]):
+            if not got[2] and not cut and got[1] >= high and (right == "utf-8" or best is None) and usual.plain(got[0]):
                 return got[0], False  # all of it decoded, to usual characters only: no other reading can be better
             # a well-formed UTF-8 span is hardly ever an accident; strays count against a reading that nothing was cut from
             score = usual.sum(got[0]) + (3 * got[1] if right == "utf-8" and usual.seen(got[0]) else 0) - (0 if cut else 12) * got[2]
