@@ -5,17 +5,389 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tallyweave.operators import rejects, zoned_time
+from tallyweave.functions import dates, text
+from tallyweave.operators import assign, layout, matching, records, rejects, zoned_time
+from tallyweave.plans import views
+from tallyweave.streaming.arrivals import windowed_totals
+from tallyweave.tables import table
+
+BOTH = f"inv as ({views.CLAIMS_SQL}), pay as ({views.PAYMENTS_SQL})"
+RIDES = f"ride as ({views.RIDES_SQL}), rpay as ({views.RIDE_PAY_SQL})"
+DIFF = "least(abs(inv_amount - pay_amount), abs(inv_amount - pay_total))"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL it is compared with."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- matching
+
+
+@query(f"with {BOTH} select inv_id, pay_id, cast(round({DIFF} * 100) as bigint) as diff_cents from inv, pay where {DIFF} <= 1.0")
+def q_tolerance_candidates(spark, sf_dir):
+    c = matching.tolerance_candidates(views.claims(spark, sf_dir), views.payments(spark, sf_dir), 1.0)
+    return c.select("inv_id", "pay_id", F.round(F.col("amount_diff") * 100).cast("bigint").alias("diff_cents"))
+
+
+_NEAREST = f"""with {BOTH}, c as (select *, {DIFF} as d, abs(date_diff('day', cast(pay_time as date), inv_date)) as days from inv, pay where {DIFF} <= 1.0 {{more}}),
+r as (select *, row_number() over (partition by inv_id order by days nulls last, d, pay_id) as n from c)
+select inv_id, pay_id, cast(days as int) as days, cast(round(d * 100) as bigint) as diff_cents from r where n = 1"""
+
+
+def _nearest(spark, sf_dir, before):
+    m = matching.nearest_match(views.claims(spark, sf_dir), views.payments(spark, sf_dir), 1.0, paid_before=before)
+    return m.select("inv_id", "pay_id", "days", F.round(F.col("amount_diff") * 100).cast("bigint").alias("diff_cents"))
+
+
+@query(_NEAREST.format(more=""))
+def q_tolerance_match(spark, sf_dir):
+    return _nearest(spark, sf_dir, False)
+
+
+@query(_NEAREST.format(more="and cast(pay_time as date) <= inv_date"))
+def q_paid_before_match(spark, sf_dir):
+    return _nearest(spark, sf_dir, True)
+
+
+@query(_NEAREST.format(more="").split("select inv_id, pay_id, cast(days")[0] + ", m as (select pay_id from r where n = 1) select pay_id from pay where pay_id not in (select pay_id from m)")
+def q_leftover_payments(spark, sf_dir):
+    return views.payments(spark, sf_dir).select("pay_id").join(_nearest(spark, sf_dir, False), "pay_id", "left_anti")
+
+
+@query()
+def q_one_per_payment(spark, sf_dir):
+    c = matching.tolerance_candidates(views.claims(spark, sf_dir), views.payments(spark, sf_dir), 1.0).withColumn("days", F.abs(F.datediff("inv_date", F.to_date("pay_time"))))
+    got = matching.one_per_payment(c, [F.asc("days"), F.asc("amount_diff"), F.asc("pay_pos")], [-F.col("inv_amount"), F.col("inv_id")])
+    return got.select("inv_id", "pay_id", "days")
+
+
+_CATEGORY = "case inv_id % 5 when 0 then 'Hotel' when 1 then 'CityTransport' when 2 then 'Meal' when 3 then 'Train' else 'Other' end"
+_PAID_FOR = "case line_no % 3 when 0 then '酒店旅游' when 1 then '交通出行' else '餐饮美食' end"
+_BRAND_SQL = " or ".join(f"(contains(s, '{b}') and contains(m, '{b}'))" for b in text.BRANDS)
+_AGREE_SQL = "case cat " + " ".join(f"when '{c}' then case when {' or '.join(f'contains(lower(pcat), {chr(39)}{w}{chr(39)})' for w in ws)} then 1.0 else 0.0 end" for c, ws in text.AGREEING.items()) + " else 0.5 end"
+_SCORE_SQL = f"""with {BOTH}, p as (select inv.*, pay.*, lower('Seller ' || (inv_id % 97)) as s, lower('Supplier#' || supp % 97) as m, {_CATEGORY} as cat, {_PAID_FOR} as pcat,
+  abs(date_diff('day', cast(pay_time as date), inv_date)) as days, 1 - levenshtein(lower('Seller ' || (inv_id % 97)), lower('Supplier#' || supp % 97)) / greatest(length('Seller ' || (inv_id % 97)), length('Supplier#' || supp % 97))::double as lev
+  from inv, pay where {DIFF} <= 1.0),
+q as (select inv_id, pay_id,
+  greatest(case when abs(inv_amount - pay_total) = 0 then 1.0 when abs(inv_amount - pay_total) <= 5 then 1 - abs(inv_amount - pay_total) / 5 * 0.5 else 0 end,
+           case when abs(inv_amount - pay_amount) = 0 then 1.0 when abs(inv_amount - pay_amount) <= 5 then 1 - abs(inv_amount - pay_amount) / 5 * 0.5 else 0 end) as a,
+  case when s = m then 1.0 when contains(s, m) or contains(m, s) then 0.9 when lev > 0.7 then lev when {_BRAND_SQL} then 0.85 else 0.0 end as b,
+  case when days = 0 then 1.0 when days <= 1 then 0.9 when days <= 3 then 0.7 when days <= 7 then 0.5 else 0.0 end as c, {_AGREE_SQL} as d from p),
+t as (select *, cast(round((a * 0.4 + b * 0.3 + c * 0.2 + d * 0.1) * 10000) as bigint) as total_e4 from q)"""
+
+
+def _scored(spark, sf_dir):
+    pairs = matching.tolerance_candidates(views.claims(spark, sf_dir), views.payments(spark, sf_dir), 1.0)
+    named = pairs.withColumns({"inv_seller": F.concat(F.lit("Seller "), F.col("inv_id") % 97), "pay_merchant": F.concat(F.lit("Supplier#"), F.col("supp") % 97), "inv_category": F.expr(_CATEGORY), "pay_category": F.expr(_PAID_FOR)})
+    return matching.score_pairs(named).withColumn("total_e4", F.round(F.col("total_score") * 10000).cast("bigint"))
+
+
+@query(_SCORE_SQL + " select inv_id, pay_id, total_e4 from t")
+def q_score_pairs(spark, sf_dir):
+    return _scored(spark, sf_dir).select("inv_id", "pay_id", "total_e4")
+
+
+@query(_SCORE_SQL + ", r as (select *, row_number() over (partition by inv_id order by total_e4 desc, pay_id) as place from t where total_e4 >= 5000) select inv_id, pay_id, cast(place as int) as place from r where place <= 10")
+def q_score_topk(spark, sf_dir):
+    scored = _scored(spark, sf_dir).withColumn("total_score", F.col("total_e4") / 10000)
+    return matching.top_scored(scored, []).select("inv_id", "pay_id", "place")
+
+
+_RIDE = "date_sub('hour', ride_time, pay_time)"
+
+
+@query(f"""with {RIDES}, c as (select *, {_RIDE} as h, pay_amount - ride_amount as off from ride join rpay using (user_id) where pay_time >= ride_time and {_RIDE} between 0 and 12
+  and (ride_amount <= 0 or pay_amount <= 0 or pay_amount / ride_amount between 0.33 and 3.0)),
+t as (select *, case when abs(off) <= 1 then 0 when off > 0 and off <= ride_amount and date_diff('day', cast(ride_time as date), cast(pay_time as date)) in (0, 1) then 1 end as tier from c),
+r as (select *, row_number() over (partition by user_id, ride_id order by tier, h, abs(off), pay_id) as n from t where tier is not null)
+select user_id, ride_id, pay_id, cast(tier as int) as tier, cast(h as bigint) as hours from r where n = 1""")
+def q_ride_best_payment(spark, sf_dir):
+    got = matching.ride_best_payment(views.rides(spark, sf_dir, 0), views.rides(spark, sf_dir, 1), ["user_id"], 1.0)
+    return got.select("user_id", "ride_id", "pay_id", "tier", F.col("hours_after").cast("bigint").alias("hours"))
+
+
+@query(f"""with {RIDES}, c as (select *, row_number() over (partition by user_id, ride_id order by abs(epoch_us(pay_time) - epoch_us(ride_time)), pay_id) as n from ride join rpay using (user_id))
+select user_id, ride_id, pay_id from c where n = 1""")
+def q_nearest_in_time(spark, sf_dir):
+    got = matching.nearest_in_time(views.rides(spark, sf_dir, 0), views.rides(spark, sf_dir, 1), ["user_id"], "ride_time", "pay_time", "ride_id", "pay_id")
+    return got.select("user_id", "ride_id", "pay_id")
+
+
+_TRIPS = "t as (select id as trip_id, substr(id, 5, 8) as batch_id, travel_start, travel_end from trip)"
+
+
+def _windows(spark, sf_dir):
+    trips = table(spark, sf_dir, "trip").select(F.col("id").alias("trip_id"), F.substring("id", 5, 8).alias("batch_id"), "travel_start", "travel_end")
+    return matching.window_join(table(spark, sf_dir, "invoice").select(F.col("id").alias("invoice_id"), "batch_id", "date"), trips, ["batch_id"], "date", "travel_start", "travel_end")
+
+
+@query(f"with {_TRIPS} select i.id as invoice_id, trip_id from invoice i join t using (batch_id) where i.date between travel_start and travel_end")
+def q_trip_windows(spark, sf_dir):
+    return _windows(spark, sf_dir).select("invoice_id", "trip_id")
+
+
+@query(f"with {_TRIPS}, r as (select i.id as invoice_id, trip_id, row_number() over (partition by i.id order by travel_start, trip_id) as n from invoice i join t using (batch_id) where i.date between travel_start and travel_end) select invoice_id, trip_id from r where n = 1")
+def q_trip_of_invoice(spark, sf_dir):
+    return matching.first_by(_windows(spark, sf_dir), ["invoice_id"], F.asc("travel_start"), F.asc("trip_id")).select("invoice_id", "trip_id")
+
+
+@query(f"with {_TRIPS} select id as invoice_id from invoice where id not in (select i.id from invoice i join t using (batch_id) where i.date between travel_start and travel_end)")
+def q_outside_trips(spark, sf_dir):
+    return table(spark, sf_dir, "invoice").select(F.col("id").alias("invoice_id")).join(_windows(spark, sf_dir), "invoice_id", "left_anti")
+
+
+@query()
+def q_greedy_batches(spark, sf_dir):
+    zones = table(spark, sf_dir, "import_batch").select("batch_id", "received_on", "zone_name", "date_order")
+    utc = zoned_time.utc_seconds(spark, zones)
+    pay = table(spark, sf_dir, "payment").join(zones, "batch_id").withColumn("sec", utc(F.col("transaction_time"), F.col("zone_name"), F.col("date_order"), F.col("received_on")))
+    local = F.when(F.col("sec") >= 0, F.from_utc_timestamp(F.timestamp_seconds("sec"), F.col("zone_name"))).cast("timestamp_ntz")
+    pay = pay.select(F.col("batch_id").alias("batch"), F.col("id").alias("pay_id"), local.alias("pay_time"), F.col("amount").alias("pay_amount"), (F.greatest("amount", F.lit(0.0)) + F.coalesce("discount", F.lit(0.0))).alias("pay_total"), F.col("merchant_name").alias("pay_merchant"), F.col("import_seq").alias("pay_pos"))
+    inv = table(spark, sf_dir, "invoice")
+    times = F.transform("itineraries", lambda r: dates.parse_datetime(dates.extract_datetime(r["date_time"]), 2025).cast("string"))
+    inv = inv.select(F.col("batch_id").alias("batch"), F.col("id").alias("inv_id"), F.col("amount").alias("inv_amount"), F.col("date").alias("inv_date"), F.col("seller_name").alias("inv_seller"), "category", F.col("import_seq").alias("inv_pos"), times.alias("ride_times"), F.col("itineraries.amount").alias("ride_amounts"))
+    return assign.match_batches(inv, pay)
+
+
+# ---------------------------------------------------------------- payments
+
+
+@query(""" with rows_ as (select *, row_number() over (order by pay_id) as pos from (""" + views.PAYMENTS_SQL + """)),
+paid as (select * from rows_ where flag <> 'R'), back as (select * from rows_ where flag = 'R'),
+o as (select b.pos as r_pos, b.pay_amount as amt, p.pos, case when starts_with(b.pay_id, p.pay_id) then 0 else 1 end as tier from back b join paid p using (order_key)),
+n as (select distinct length(pay_id) as n from paid),
+x as (select b.pos as r_pos, b.pay_amount as amt, substr(b.pay_id, 1, n) as cut from back b, n where n <= length(b.pay_id)),
+y as (select r_pos, amt, p.pos, 2 as tier from x join paid p on p.pay_id = x.cut),
+r as (select *, row_number() over (partition by r_pos order by tier, pos) as k from (select * from o union all select * from y)),
+t as (select pos, sum(cast(round(amt * 100) as bigint)) as back_cents from r where k = 1 group by pos)
+select pay_id, cast(round(pay_amount * 100) as bigint) - coalesce(back_cents, 0) as net_cents from paid left join t using (pos) where coalesce(back_cents, 0) < cast(round(pay_amount * 100) as bigint)""")
+def q_refund_netting(spark, sf_dir):
+    pay = views.payments(spark, sf_dir)
+    cents = F.round(F.col("pay_amount") * 100)
+    rows = pay.select(F.col("pay_id").alias("pos"), F.col("pay_id").alias("trade_id"), F.col("order_key").cast("string").alias("merchant_order"), F.when(F.col("flag") == "R", -cents).otherwise(cents).alias("amount"))
+    return records.net_refunds(rows).select(F.col("trade_id").alias("pay_id"), F.col("net").cast("bigint").alias("net_cents"))
+
+
+_SEARCH = "lower(merchant_name) like '%vip%' and amount between 10 and 5000 and source = 'Wechat' and substr(transaction_time, 1, 10) >= '2024-03-01'"
+
+
+@query(f"select id, amount from payment where {_SEARCH}")
+def q_payment_search(spark, sf_dir):
+    return matching.search_payments(table(spark, sf_dir, "payment"), source="Wechat", start="2024-03-01", text="vip", least=10, most=5000).select("id", "amount")
+
+
+@query("select id, amount from payment order by amount desc, import_seq limit 100 offset 100")
+def q_payment_page(spark, sf_dir):
+    return matching.page(table(spark, sf_dir, "payment").select("id", "amount", "import_seq"), [F.desc("amount"), F.asc("import_seq")], 1).select("id", "amount")
+
+
+# ---------------------------------------------------------------- invoices
+
+_DEDUP = "row_number() over (partition by case when coalesce(invoice_number, '') = '' then 'k|' || amount || '|' || coalesce(cast(date as varchar), '') || '|' || coalesce(seller_name, '~') else 'n|' || invoice_number end order by import_seq)"
+
+
+@query(f"select id, cast({_DEDUP} as int) as copy_no from invoice")
+def q_invoice_copies(spark, sf_dir):
+    return records.first_of_each(table(spark, sf_dir, "invoice"), "invoice_number", ["amount", "date", "seller_name"], "import_seq").select("id", "copy_no")
+
+
+@query(f"with d as (select *, {_DEDUP} as c from invoice) select distinct coalesce(invoice_number, '') as invoice_number from d where c > 1")
+def q_duplicate_numbers(spark, sf_dir):
+    d = records.first_of_each(table(spark, sf_dir, "invoice"), "invoice_number", ["amount", "date", "seller_name"], "import_seq").filter("copy_no > 1")
+    return d.select(F.coalesce("invoice_number", F.lit("")).alias("invoice_number")).distinct()
+
+
+@query("select id from invoice where batch_id > 'B0000006' and (coalesce(invoice_number, '') = '' or invoice_number not in (select invoice_number from invoice where batch_id <= 'B0000006' and invoice_number is not null))")
+def q_cross_batch_new(spark, sf_dir):
+    inv = table(spark, sf_dir, "invoice")
+    return records.new_numbers(inv.filter("batch_id > 'B0000006'"), inv.filter("batch_id <= 'B0000006'"), "invoice_number").select("id")
+
+
+@query("select category, count(*) as n, sum(cast(round(amount * 100) as bigint))::bigint as cents from invoice group by category")
+def q_category_summary(spark, sf_dir):
+    return table(spark, sf_dir, "invoice").groupBy("category").agg(F.count("*").alias("n"), F.sum(F.round(F.col("amount") * 100).cast("bigint")).alias("cents"))
+
+
+_GROUPS = {"far": ["Train", "Flight"], "near": ["CityTransport", "Toll"], "stay": ["Hotel"]}
+
+
+@query("select batch_id, " + ", ".join(f"coalesce(sum(case when category in ({', '.join(repr(x) for x in v)}) then cast(round(amount * 100) as bigint) end), 0)::bigint as {k}" for k, v in _GROUPS.items()) + " from invoice group by batch_id")
+def q_conditional_sums(spark, sf_dir):
+    return records.conditional_sums(table(spark, sf_dir, "invoice"), "batch_id", "category", "amount", _GROUPS)
+
+
+@query("""select i.id, cast(u.pos - 1 as int) as ride_no, case when u.pos = 1 or u.pos is null then i.invoice_number end as invoice_number, u.it.pickup as pickup, u.it.dropoff as dropoff
+from invoice i left join (select id, unnest(itineraries) as it, generate_subscripts(itineraries, 1) as pos from invoice) u on u.id = i.id""")
+def q_ride_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "invoice").select("id", "invoice_number", F.posexplode_outer("itineraries").alias("ride_no", "ride"))
+    return rows.select("id", "ride_no", F.when(F.coalesce("ride_no", F.lit(0)) == 0, F.col("invoice_number")).alias("invoice_number"), F.col("ride.pickup").alias("pickup"), F.col("ride.dropoff").alias("dropoff"))
+
+
+@query("select id, case " + " ".join("when " + " or ".join(f"contains(t, '{w}')" for w in ws) + f" then '{c}'" for c, ws in text.CATEGORY_WORDS) + " else 'Other' end as category from (select id, lower(coalesce(seller_name, '') || ' ' || coalesce(item_name, '')) as t from invoice)")
+def q_classify(spark, sf_dir):
+    return table(spark, sf_dir, "invoice").select("id", text.category(F.col("seller_name"), F.col("item_name")).alias("category"))
+
+
+def _station_sql() -> str:
+    s = f"regexp_replace(regexp_replace(trim(raw, ' '), '(?:{text.STATION_ENDS})$', ''), '\\s*[A-Z]{{3}}$', '')"
+    whens = [f"when ends_with(s, '{d}') then '{text.DISTRICTS[d]}'" for d in sorted(text.DISTRICTS, key=len, reverse=True)]
+    whens.append("when regexp_replace(s, '[东南西北]$', '') in (" + ", ".join(f"'{c}'" for c in text.CITIES) + ") and regexp_replace(s, '[东南西北]$', '') <> s then regexp_replace(s, '[东南西北]$', '')")
+    whens += [f"when starts_with(s, '{c}') and length(s) > {len(c)} then '{c}'" for c in text.CITIES]
+    return f"with a as (select id, departure_city as raw from invoice where departure_city <> ''), b as (select id, raw, {s} as s from a) select id, case {' '.join(whens)} when length(s) between 2 and 4 then s else trim(raw, ' ') end as city from b"
+
+
+@query(_station_sql())
+def q_station_city(spark, sf_dir):
+    return table(spark, sf_dir, "invoice").filter("departure_city <> ''").select("id", text.station_city(F.col("departure_city")).alias("city"))
+
+
+_LEGS = "select o_custkey as who, o_orderkey as id, cast(o_orderdate as date) as day, row_number() over (partition by o_custkey order by cast(o_orderdate as date), o_orderkey) - 1 as k from orders"
+
+
+def _tickets(spark, sf_dir):
+    """Every customer's orders as legs of a round C0 - C1 - C2 - C0."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("who"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("travel_date"))
+    k = F.row_number().over(W.partitionBy("who").orderBy("travel_date", "id")) - 1
+    return o.withColumn("k", k).select("who", "id", F.concat(F.lit("C"), F.col("k") % 3).alias("departure"), F.concat(F.lit("C"), (F.col("k") + 1) % 3).alias("arrival"), "travel_date", F.col("id").alias("pos"))
+
+
+_ROUNDS = """with l as ({legs}), g as (select who, (k - {first}) // 3 as n, min(day) as travel_start, max(day) as travel_end, count(*) as c from l where k >= {first} group by all)
+select who, cast(n + 1 as int) as trip_no, '{dest}' as destination, travel_start, travel_end from g where c = 3"""
+
+
+@query(_ROUNDS.format(legs=_LEGS, first=0, dest="C2"))
+def q_trips_auto(spark, sf_dir):
+    return records.trip_rows(records.trips(_tickets(spark, sf_dir), "who"), "who").drop("ticket_ids")
+
+
+@query(_ROUNDS.format(legs=_LEGS, first=1, dest="C0"))
+def q_trips_origin(spark, sf_dir):
+    return records.trip_rows(records.trips(_tickets(spark, sf_dir), "who", origin="C1"), "who").drop("ticket_ids")
+
+
+# ---------------------------------------------------------------- text
+
+
+def _shape_sql() -> str:
+    import re
+
+    whens = []
+    for pattern, shape in dates.WRITINGS:
+        parts = []
+        for literal, group, pad in re.findall(r"([^{]*)(?:\{(\d)(p?)\})?", shape):
+            if literal:
+                parts.append(f"'{literal}'")
+            if group:
+                part = f"regexp_extract(t, '{pattern}', {group})"
+                parts.append(f"lpad({part}, 2, '0')" if pad else part)
+        whens.append(f"when regexp_matches(t, '{pattern}') then {' || '.join(parts)}")
+    return "select id, case " + " ".join(whens) + " end as found from (select id, transaction_time as t from payment)"
+
+
+@query(_shape_sql())
+def q_extract_datetime(spark, sf_dir):
+    return table(spark, sf_dir, "payment").select("id", dates.extract_datetime(F.col("transaction_time")).alias("found"))
+
+
+@query("""select doc_id, coalesce(case when regexp_matches(text, '(?:发票号码|No)[：:]\\s*(\\d+)') then regexp_extract(text, '(?:发票号码|No)[：:]\\s*(\\d+)', 1) end,
+case when regexp_matches(text, '发\\s*票\\s*号\\s*码[：:]?\\s*(\\d+)') then regexp_extract(text, '发\\s*票\\s*号\\s*码[：:]?\\s*(\\d+)', 1) end,
+case when regexp_matches(text, '(\\d{8,20})\\s*发票号码') then regexp_extract(text, '(\\d{8,20})\\s*发票号码', 1) end,
+case when regexp_matches(text, '(\\d{8,20})\\s*发\\s*票\\s*号\\s*码') then regexp_extract(text, '(\\d{8,20})\\s*发\\s*票\\s*号\\s*码', 1) end, '') as number from documents""")
+def q_document_number(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.document_number(F.col("text")).alias("number"))
+
+
+_N = "list_max(list_filter(list_transform(regexp_extract_all({0}, '{1}', 1), lambda x: try_cast(replace(x, ',', '') as double)), lambda v: v > 0 and v < 1000000))"
+_F = "case when regexp_matches(text, '{0}') then try_cast(replace(regexp_extract(text, '{0}', 1), ',', '') as double) end"
+
+
+@query("select doc_id, coalesce(" + ", ".join([
+    _N.format("array_to_string(list_filter(string_split(text, chr(10)), lambda l: not regexp_matches(l, '(?:税额|税率|不含税).*[0-9].*价税合计')), chr(10))", r"([\d,]+\.\d{{2}})[^\S\n]*价税合计".replace("{{", "{").replace("}}", "}")),
+    _F.format(r"(?:价税合计|合计金额|总金额)[^¥￥]{0,20}[¥￥]\s*([\d,]+\.\d{2})"), _F.format(r"(?:价税合计|合计金额)[^0-9]{0,10}([\d,]+\.\d{2})"), _F.format(r"合计\s*([\d,]+\.\d{2})\s*元"),
+    _N.format("text", r"\b([\d,]{1,7}\.\d{2})\b"), _N.format("text", r"[￥¥]\s*([\d,]+\.?\d*)"),
+]) + ") as amount from documents")
+def q_document_amount(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.document_amount(F.col("text")).alias("amount"))
+
+
+@query(r"""select doc_id, coalesce(case when regexp_matches(text, '\*(.+?)\*') then regexp_extract(text, '\*(.+?)\*', 1) end, '') as item,
+ case when len(regexp_extract_all(text, '([一-龥（）()]{2,40}(?:股份有限公司|有限责任公司|有限公司|公司))', 1)) > 0 then list_extract(list_filter(regexp_extract_all(text, '([一-龥（）()]{2,40}(?:股份有限公司|有限责任公司|有限公司|公司))', 1), lambda x: length(x) >= 3), -1) end as company from documents""")
+def q_document_names(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.coalesce(F.when(F.col("text").rlike(r"\*(.+?)\*"), F.regexp_extract("text", r"\*(.+?)\*", 1)), F.lit("")).alias("item"), text.company_name(F.col("text")).alias("company"))
+
+
+@query()
+def q_document_rides(spark, sf_dir):
+    """The rides of each invoice written as lines of a sheet and read back from its text."""
+    line = lambda r: F.concat(F.coalesce(r["date_time"], F.lit("")), F.lit(" "), F.coalesce(r["pickup"], F.lit("")), F.lit(" ¥"), F.format_string("%.2f", r["amount"]))
+    sheets = table(spark, sf_dir, "invoice").filter(F.size("itineraries") > 0).select(F.col("id").alias("doc_id"), F.array_join(F.transform("itineraries", line), "\n").alias("text"))
+    return layout.rides_in_text(sheets)
+
+
+@query()
+def q_capital_amounts(spark, sf_dir):
+    return table(spark, sf_dir, "invoice").select("id", text.capital_amount(F.round(F.col("amount") * 100).cast("bigint")).alias("capitals"))
+
+
+# ---------------------------------------------------------------- windows over events
+
+
+@query("""with e as (select user_id, event_id, cast(round(value * 100) as bigint)::double as amount from events), t as (select *, sum(amount) over (partition by user_id) as total from e),
+p as (select *, floor(total / 100) * 100 + 500 as printed from t)
+select event_id, cast(case when abs(printed - total) >= 0.5 and total > 0 then round(amount * printed / total * 100) else amount * 100 end as bigint) as fixed_e2 from p""")
+def q_proportional_fix(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("bigint").cast("double").alias("amount"))
+    e = e.withColumn("printed", F.floor(F.sum("amount").over(W.partitionBy("user_id")) / 100) * 100 + 500)
+    fixed = records.share_of_printed_total(e, "user_id", "amount", "printed")
+    return fixed.select("event_id", F.round(F.col("fixed") * 100).cast("bigint").alias("fixed_e2"))
+
+
+@query("""with e as (select user_id, event_id, event_id * 7 % 12 + 1 as m from events), f as (select *, case when m < lag(m) over (partition by user_id order by event_id) then 1 else 0 end as falls from e)
+select event_id, (2024 + sum(falls) over (partition by user_id order by event_id))::bigint as year from f""")
+def q_year_rollover(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 7 % 12 + 1).alias("m"), F.lit(2024).alias("base"))
+    return records.rolling_years(e, "user_id", "event_id", "m", "base").select("event_id", F.col("year").cast("bigint").alias("year"))
+
+
+@query("select event_id, last_value(case when event_id % 5 = 0 then event_type end ignore nulls) over (partition by user_id order by event_id rows between 6 preceding and current row) as near from events")
+def q_last_within_6(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_id") % 5 == 0, F.col("event_type")))
+    return records.last_within(e, "user_id", "event_id", "v").select("event_id", "near")
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, sum(cast(round(value * 100) as bigint))::bigint as cents from events group by all")
+def q_windowed_totals(spark, sf_dir):
+    return windowed_totals(table(spark, sf_dir, "events"), "ts", "event_type", "value")
+
+
+# ---------------------------------------------------------------- training data, general
+
+QUERIES["p1_found"] = zoned_time.p1_found
+QUERIES["p6_found"] = rejects.p6_found
+QUERIES["p6_loaded"] = rejects.p6_loaded
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "p1_found": zoned_time.p1_found,
-        "p6_found": rejects.p6_found,
-        "p6_loaded": rejects.p6_loaded,
-    }
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
