@@ -317,7 +317,7 @@ _F = "case when regexp_matches(text, '{0}') then try_cast(replace(regexp_extract
 @query("select doc_id, coalesce(" + ", ".join([
     _N.format("array_to_string(list_filter(string_split(text, chr(10)), lambda l: not regexp_matches(l, '(?:税额|税率|不含税).*[0-9].*价税合计')), chr(10))", r"([\d,]+\.\d{{2}})[^\S\n]*价税合计".replace("{{", "{").replace("}}", "}")),
     _F.format(r"(?:价税合计|合计金额|总金额)[^¥￥]{0,20}[¥￥]\s*([\d,]+\.\d{2})"), _F.format(r"(?:价税合计|合计金额)[^0-9]{0,10}([\d,]+\.\d{2})"), _F.format(r"合计\s*([\d,]+\.\d{2})\s*元"),
-    _N.format("text", r"\b([\d,]{1,7}\.\d{2})\b"), _N.format("text", r"[￥¥]\s*([\d,]+\.?\d*)"),
+    _N.format(r"regexp_replace(text, '([^\p{L}\p{N}_.,])', '\1\1', 'g')", r"(?:^|[^\p{L}\p{N}_])([\d,]{1,7}\.\d{2})(?:$|[^\p{L}\p{N}_])"), _N.format("text", r"[￥¥]\s*([\d,]+\.?\d*)"),
 ]) + ") as amount from documents")
 def q_document_amount(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.document_amount(F.col("text")).alias("amount"))
