@@ -4,7 +4,7 @@ Texts are exploded to positioned code points; a broadcast join gives each its fu
 decomposition with look-alike letters folded and invisible characters dropped; combining marks are put in
 order by their class within each starter; starter and marks are recomposed by a second broadcast join; and
 the strings are rebuilt. The tables come from the Unicode data of Python, so their size is bounded by
-Unicode. All steps after the distinct run on one partitioning by text: one shuffle.
+Unicode. All steps after the distinct run on one partitioning by text.
 
 Defined results: NULL gives no row; a text of invisible characters only becomes empty; runs of blanks
 become one ASCII blank, and blanks at the ends go. A starter with several marks that has no single
@@ -108,20 +108,27 @@ def affected(col: Column) -> Column:
     return col.rlike(f"[^\\x20-\\x7e\\x{{4e00}}-\\x{{9fff}}\u00b7]|[{rows}]|  ")
 
 
+def text_id(col: str) -> list[Column]:
+    """Two hashes, 96 bits, that stand for a text: a long text must not be carried by each of its characters."""
+    return [F.xxhash64(col).alias("t1"), F.hash(col).alias("t2")]
+
+
 def one_form(texts: DataFrame, col: str) -> DataFrame:
-    """(col, clean): the consistent form of each distinct text of the column."""
+    """(t1, t2, clean): the consistent form of each distinct text of the column, by text_id()."""
     spark = texts.sparkSession
     mapping, compose = _map_tables(spark)
-    chars = texts.select(col).distinct().select(col, F.posexplode(F.regexp_extract_all(F.col(col), F.lit("(?s)."), 0)).alias("pos", "ch"))
+    of = ["t1", "t2"]
+    distinct = texts.select(*text_id(col), F.col(col).alias("text")).distinct().repartition(*of)
+    chars = distinct.select(*of, F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), 0)).alias("pos", "ch"))
     own = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc")))
-    parts = chars.join(F.broadcast(mapping), "ch", "left").select(col, "pos", F.posexplode_outer(F.coalesce("parts", own)).alias("sub", "part"))
-    order = W.partitionBy(col).orderBy("pos", "sub")
-    parts = parts.select(col, "pos", "sub", "part", F.sum(F.when(F.col("part.ccc") == 0, 1).otherwise(0)).over(order).alias("starter"))
+    parts = chars.join(F.broadcast(mapping), "ch", "left").select(*of, "pos", F.posexplode_outer(F.coalesce("parts", own)).alias("sub", "part"))
+    order = W.partitionBy(*of).orderBy("pos", "sub")
+    parts = parts.select(*of, "pos", "sub", "part", F.sum(F.when(F.col("part.ccc") == 0, 1).otherwise(0)).over(order).alias("starter"))
     join = lambda array, field: F.array_join(F.transform(F.array_sort(array), lambda x: x[field]), "")
-    sequences = parts.groupBy(col, "starter").agg(join(F.collect_list(F.when(F.col("part").isNotNull(), F.struct(F.col("part.ccc").alias("ccc"), "pos", "sub", F.col("part.c").alias("c")))), "c").alias("seq"))
+    sequences = parts.groupBy(*of, "starter").agg(join(F.collect_list(F.when(F.col("part").isNotNull(), F.struct(F.col("part.ccc").alias("ccc"), "pos", "sub", F.col("part.c").alias("c")))), "c").alias("seq"))
     sequences = sequences.join(F.broadcast(compose), "seq", "left")
-    rebuilt = sequences.groupBy(col).agg(join(F.collect_list(F.struct("starter", F.coalesce("composed", "seq").alias("c"))), "c").alias("clean"))
-    return rebuilt.select(col, F.trim(F.regexp_replace("clean", " +", " ")).alias("clean"))
+    rebuilt = sequences.groupBy(*of).agg(join(F.collect_list(F.struct("starter", F.coalesce("composed", "seq").alias("c"))), "c").alias("clean"))
+    return rebuilt.select(*of, F.trim(F.regexp_replace("clean", " +", " ")).alias("clean"))
 
 
 NUMBER = "invoice.invoice_number"
@@ -137,9 +144,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = names.filter((F.col("value") != "") & affected(F.col("value"))).withColumn("bare", F.regexp_replace("value", r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
     names = names.join(F.broadcast(known), F.col("bare") == F.col("name"), "left_anti").drop("bare")
     rows = names.unionByName(numbers)
-    keys = one_form(known, "name").withColumnRenamed("clean", "key")
+    keys = known.select("name", *text_id("name")).join(one_form(known, "name"), ["t1", "t2"]).select("name", F.col("clean").alias("key"))
     clean = one_form(rows, "value")
-    found = clean.join(F.broadcast(keys), F.col("clean") == F.col("key"), "left").select("value", "clean", "name")
-    rows = rows.join(found, "value")
+    found = clean.join(F.broadcast(keys), F.col("clean") == F.col("key"), "left").select("t1", "t2", "clean", "name")
+    rows = rows.select("field", "rec_id", *text_id("value")).join(found, ["t1", "t2"])
     number = F.col("field") == NUMBER
     return rows.filter(number | F.col("name").isNotNull()).select("field", "rec_id", F.when(number, F.col("clean")).otherwise(F.col("name")).alias("clean"))

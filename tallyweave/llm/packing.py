@@ -113,6 +113,6 @@ def p8_containers(spark: SparkSession, sf_dir: str, tokenizer_path: str = TOKENI
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per kind of container: how many there are, the tokens in them, and the share of the room used."""
-    caps = table(spark, sf_dir, "pack_capacity")
+    caps = table(spark, sf_dir, "pack_capacity").select("container_kind", "capacity_tokens")
     each = p8_containers(spark, sf_dir).groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
     return each.join(F.broadcast(caps), "container_kind").select("container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
