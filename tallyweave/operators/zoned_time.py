@@ -243,7 +243,7 @@ def _rows_of_mask(kind: str, spans: dict, codes, digits, received, order, base,
     else:
         h, m, s = num("h"), num("m"), num("s")
         if kind == "clock":
-            days, ok = base.astype(np.int64), base > -(10**6)
+            days, ok = base.astype(np.int64), base > -700_000  # the year 1 stands for a missing day
         elif "Y" in spans:
             month, day = num("M"), num("D")
             if "mon" in spans:

@@ -32,7 +32,7 @@ def files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("pdf",
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(ext.isin(list(extensions))).drop("content")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """GBK bytes as text, undecodable bytes as U+FFFD."""
     return content.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
