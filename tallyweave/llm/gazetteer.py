@@ -141,7 +141,10 @@ class Gazetteer:
         self.longest = max(map(len, self.han), default=0)
 
     def find(self, value: str) -> tuple[int, int, int]:
-        """(distance, number of the reading that matched, place_id), (99, 99, -1) if none fits."""
+        """(distance, rank of the reading that matched, place_id), (99, 99, -1) if none fits.
+
+        The rank says in which order readings count, so that winners of several shards can be compared.
+        """
         text = plain(value)
         if not text:
             return 99, 99, -1
@@ -190,24 +193,24 @@ class Gazetteer:
                     if not ids:
                         continue
                     tree = self.province_trees[province]
-                    if got := self._nearest(tree, ids, rest, 0, step) or self._prefix(tree, ids, rest, step):
+                    if got := self._nearest(tree, ids, rest, 0, 1000 + step) or self._prefix(tree, ids, rest, 1000 + step):
                         return got
-                    if len(rest) > 2 and rest.endswith(CITY_ENDS) and (got := self._nearest(tree, ids, rest, 1, step)):
+                    if len(rest) > 2 and rest.endswith(CITY_ENDS) and (got := self._nearest(tree, ids, rest, 1, 1000 + step)):
                         return got
                     if r[:cut].endswith(PROVINCE_ENDS) and SPOT.match(rest) and not self._prefix(self.tree["han"], self.han, r, step):
                         return 99, 99, -1
         for step, r in enumerate(readings):
-            if got := self._prefix(self.tree["han"], self.han, r, step):
+            if got := self._prefix(self.tree["han"], self.han, r, 5000 + step):
                 return got
         for step, r in enumerate(readings):
-            if len(r) > 2 and (got := self._nearest(self.tree["han"], self.han, r, 1, step)):
+            if len(r) > 2 and (got := self._nearest(self.tree["han"], self.han, r, 1, 9000 + step)):
                 return got
         return 99, 99, -1
 
     def _prefix(self, tree: BKTree, ids: dict[str, set[int]], text: str, step: int) -> tuple[int, int, int] | None:
         """The longest entry that the value begins with, if a place of that city follows."""
         for cut in range(min(len(text) - 1, self.longest), 1, -1):
-            if SPOT.match(text[cut:]) and (got := self._nearest(tree, ids, text[:cut], 0, step)):
+            if SPOT.match(text[cut:]) and (got := self._nearest(tree, ids, text[:cut], 0, step + 10 * (99 - min(cut, 99)))):
                 return got
         return None
 
@@ -234,7 +237,10 @@ def _sharded(distinct: DataFrame, col: str, reference: DataFrame, broadcast_rows
     """Each shard of the reference becomes one row; values meet every shard, and the shard winners merge."""
     shards = -(-reference.count() // max(1, broadcast_rows // 2))
     names = reference.columns
-    packed = reference.withColumn("shard", F.pmod(F.xxhash64("place_id"), F.lit(shards)).cast("int")).groupBy("shard").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    own = reference.filter(F.coalesce(F.col("kind") != "province", F.lit(True))).withColumn("shard", F.pmod(F.xxhash64("place_id"), F.lit(shards)).cast("int"))
+    # values name provinces in front of cities, so every shard knows all provinces, which are few
+    every = reference.filter("kind = 'province'").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    packed = own.unionByName(every).groupBy("shard").agg(F.collect_list(F.struct(*names)).alias("rows"))
     blocks = distinct.withColumn("block", F.pmod(F.xxhash64(col), F.lit(16)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -244,8 +250,10 @@ def _sharded(distinct: DataFrame, col: str, reference: DataFrame, broadcast_rows
 
     salted = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
     winners = blocks.groupBy("shard", "block").cogroup(salted.groupBy("shard", "block")).applyInPandas(run, f"`{col}` string, e int, step int, place_id int")
-    best = F.min(F.struct("e", "step", "place_id"))
-    return winners.groupBy(col).agg(best.alias("best")).select(col, F.col("best.place_id").alias("place_id"))
+    first, last = F.min(F.struct("e", "step", "place_id")), F.min(F.struct("e", "step", (-F.col("place_id")).alias("minus")))
+    merged = winners.groupBy(col).agg(first.alias("a"), last.alias("b"))
+    unsure = (F.col("a.e") > 0) & (F.col("a.e") < 99) & (F.col("a.place_id") != -F.col("b.minus"))  # corrections that lead to several entries
+    return merged.select(col, F.when(unsure, F.lit(-1)).otherwise(F.col("a.place_id")).alias("place_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

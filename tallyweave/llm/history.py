@@ -259,6 +259,8 @@ def names_alike(a: str | None, b: str | None) -> bool:
     if odd(a) or odd(b):
         return True
     x, y = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (a, b))
+    if not x or not y:
+        return a in b or b in a
     return len(x & y) * 2 >= min(len(x), len(y))
 
 
