@@ -352,7 +352,7 @@ def utc_seconds(spark: SparkSession, batches: DataFrame):
         if base is not None:
             return rest(value)
         # the commonest writing in the zone that has kept one offset since 1992 needs no table
-        fast = F.when(value.rlike(PLAIN) & (value >= "1992") & (zone == FIXED_ZONE), F.unix_seconds(F.try_to_timestamp(F.rpad(value, 19, ":00"), F.lit("yyyy-MM-dd HH:mm:ss"))) - FIXED_OFFSET)
+        fast = F.when(value.rlike(PLAIN) & (value >= "1992") & (zone == FIXED_ZONE), F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value.try_cast("timestamp_ntz")) - FIXED_OFFSET)
         return F.coalesce(fast, rest(F.when(fast.isNull(), value)))
 
     return column
