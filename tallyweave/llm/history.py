@@ -4,9 +4,14 @@ Records are vectors: their number (positional projections from the front and fro
 character keeps one side), amount and time. Workers hold the history as shards, each a navigable
 small-world graph: nodes are linked to their neighbours and, at growing distances, to far nodes in several
 orderings of the vectors. A batch is searched in every shard by a greedy walk with a beam, whose width is
-tuned per worker against exhaustive search on ``TUNE`` queries until ``RECALL`` is reached; what the beam
-brings within the radius is reranked exactly on numbers, amounts, times and names. The batch then becomes
-a shard of its own, and whenever ``FANOUT`` shards of one size have gathered they are compacted into one.
+tuned per shard, so again after each compaction, against exhaustive search on ``TUNE`` queries that have
+something else than themselves to find, until ``RECALL`` is reached; what the beam brings within the radius
+is reranked exactly on numbers, amounts, times and names. The batch then becomes a shard of its own, and
+whenever ``FANOUT`` shards of one size have gathered they are compacted into one.
+
+Where a beam can't be trusted the search is exact: small shards and those whose widest beam stays below
+``RECALL`` are joined by key, and keys of more than ``LARGE`` rows, which no beam sees whole, don't enter
+the graph; their distinct numbers are compared in bounded blocks (``links_of_key``).
 
 Rows meet in two distributions: by number (equal numbers, however written) and by amount and time (damaged
 numbers need both to agree). Hot keys are found by counting; their rows that are alike in all that is
@@ -38,6 +43,9 @@ SEGMENT = 16_384
 FANOUT = 4
 TUNE, RECALL = 48, 0.99
 BEAMS = (2, 4, 8, 16, 32)
+SMALL = 256  # nodes of a shard up to which it is joined by key
+LARGE = 32  # rows of one key from which their numbers are compared exactly, outside of the graph
+BLOCK = 500_000  # pairs of numbers compared at once
 HOT = 50_000  # rows of one key from which it is split into slices
 OFFSETS = (1, 3, 16, 128, 1024)
 
@@ -130,19 +138,33 @@ def exhaustive(v: np.ndarray, q: np.ndarray, radius: float) -> set[tuple[int, in
     return set(zip(a.tolist(), b.tolist()))
 
 
-def tuned_beam(shard: Shard, q: np.ndarray, radius: float) -> tuple[int, float]:
-    """The narrowest beam that finds nearly all that exhaustive search finds for some of the queries."""
-    some = q[:: max(1, len(q) // TUNE)][:TUNE]
-    truth = exhaustive(shard.v, some, radius)
+def tuned_beam(shard: Shard, q: np.ndarray, radius: float, own: np.ndarray | None = None) -> tuple[int, float]:
+    """The narrowest beam that finds nearly all that exhaustive search finds for some of the queries.
+
+    ``own``: each query's own node, -1 if it is none of the shard's; finding oneself doesn't count.
+    """
+    at = np.arange(len(q))[:: max(1, len(q) // TUNE)][:TUNE]
+    some, self_ = q[at], np.full(len(at), -1) if own is None else own[at]
+    others = lambda pairs: {(a, b) for a, b in pairs if self_[a] != b}
+    truth = others(exhaustive(shard.v, some, radius))
     recall = 1.0
     for beam in BEAMS:
-        got = set(zip(*(x.tolist() for x in shard.search(some, beam, radius))))
+        got = others(zip(*(x.tolist() for x in shard.search(some, beam, radius))))
         recall = len(got & truth) / max(1, len(truth))
         if recall >= RECALL:
             break
     return beam, recall
 
 
+def equal_keys(nodes: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query numbers, node numbers) of all pairs with equal keys."""
+    order = np.argsort(nodes, kind="stable")
+    lo, hi = (np.searchsorted(nodes[order], queries, side) for side in ("left", "right"))
+    n = hi - lo
+    a = np.repeat(np.arange(len(queries)), n)
+    return a, order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(a))]
+
+
 def vectors(numbers: np.ndarray, amounts: np.ndarray, minutes: np.ndarray, exact: np.ndarray) -> np.ndarray:
     """Record vectors. ``exact``: rows that meet by number, whose amounts and times must not matter.
 
@@ -171,30 +193,43 @@ def vectors(numbers: np.ndarray, amounts: np.ndarray, minutes: np.ndarray, exact
 
 
 class Shards:
-    """Shards of growing size with their scheduled compaction."""
+    """Shards of growing size with their scheduled compaction. ``keys``: of all records; pairs need equal ones."""
 
-    def __init__(self, radius: float):
-        self.radius, self.levels, self.beam = radius, [], None
-        self.recall = 1.0
+    def __init__(self, radius: float, keys: np.ndarray):
+        self.radius, self.keys, self.levels = radius, keys, []
 
-    def search(self, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def search(self, q_ids: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(query numbers, record numbers) per shard."""
         out = []
-        for _, ids, shard in self.levels:
-            if self.beam is None and len(shard.v) > 256:
-                self.beam, self.recall = tuned_beam(shard, q, self.radius)
-            a, b = shard.search(q, self.beam or BEAMS[1], self.radius)
+        for _, ids, shard, tuned in self.levels:
+            if len(ids) > SMALL and "beam" not in tuned:
+                self._tune(ids, shard, tuned, q_ids, q)
+            if tuned.get("beam"):
+                a, b = shard.search(q, tuned["beam"], self.radius)
+            else:
+                a, b = equal_keys(self.keys[ids], self.keys[q_ids])
             out.append((a, ids[b]))
         return out
 
+    def _tune(self, ids: np.ndarray, shard: Shard, tuned: dict, q_ids: np.ndarray, q: np.ndarray) -> None:
+        """Sets the shard's beam, None if the widest stays below RECALL; not before a query has something to find."""
+        a, b = equal_keys(self.keys[ids], self.keys[q_ids])
+        some = np.unique(a[ids[b] != q_ids[a]])
+        if not len(some):
+            return
+        place = np.searchsorted(ids, q_ids[some])  # ids ascend
+        own = np.where(ids[np.minimum(place, len(ids) - 1)] == q_ids[some], place, -1)
+        beam, tuned["recall"] = tuned_beam(shard, q[some], self.radius, own)
+        tuned["beam"] = beam if tuned["recall"] >= RECALL else None
+
     def add(self, ids: np.ndarray, v: np.ndarray) -> None:
         """The batch becomes a shard; FANOUT shards of one level are compacted into one of the next."""
-        self.levels.append((0, ids, Shard(v)))
-        while sum(lv == self.levels[-1][0] for lv, _, _ in self.levels) >= FANOUT:
+        self.levels.append((0, ids, Shard(v), {}))
+        while sum(x[0] == self.levels[-1][0] for x in self.levels) >= FANOUT:
             lv = self.levels[-1][0]
             old = [x for x in self.levels if x[0] == lv]
             self.levels = [x for x in self.levels if x[0] != lv]
-            self.levels.append((lv + 1, np.concatenate([x[1] for x in old]), Shard(np.concatenate([x[2].v for x in old]))))
+            self.levels.append((lv + 1, np.concatenate([x[1] for x in old]), Shard(np.concatenate([x[2].v for x in old])), {}))
 
 
 # ---------------------------------------------------------------- numbers, names and the exact rerank
@@ -268,6 +303,134 @@ def _reading(x: str) -> str:
     return "".join(p for c in x for p in parts_of(c) if p.isalnum()).casefold()
 
 
+# ---------------------------------------------------------------- exact comparison of a large key
+
+
+def distances(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, most: int = 4) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein distances of pairs of numbers, right up to ``most``, else above it.
+
+    ``a`` and ``b`` hold a pair in each column, as codes padded with 0; only cells within ``most`` of the
+    diagonal can lie on a path that cheap, and swapped letters are at most most - 1 apart.
+    """
+    rows, n = a.shape
+    wide = 2 * most
+    far = np.uint8(100)
+    bb = np.full((rows + 2 * wide + 1, n), 1, a.dtype)  # codes are above 1, so the ends equal nothing
+    bb[wide : wide + rows] = np.where(np.arange(rows)[:, None] < lb, b, 1)
+    d = {0: np.full((2 * most + 1, n), far, np.uint8)}
+    d[0][most:] = np.arange(most + 1)[:, None]
+    equal: dict[int, np.ndarray] = {}
+    out = np.full(n, far, np.uint8)
+    out[la == 0] = np.minimum(lb[la == 0], 100)
+    columns = np.arange(n)
+    for i in range(1, rows + 1):
+        # equal[i][wide + o]: whether letter i of a is letter i + o of b, both counted from 1
+        eq = np.stack([a[i - 1] == bb[x] if 0 <= x else np.zeros(n, bool) for x in range(i - 1, i + 2 * wide)])
+        equal[i] = eq
+        up = d[i - 1]
+        row = up + ~eq[wide - most : wide + most + 1]
+        row[:-1] = np.minimum(row[:-1], up[1:] + 1)
+        for o in range(-most, most + 1):
+            for g1 in range(min(most, i - 1)):
+                for g2 in range(most - g1):
+                    k, at = i - 1 - g1, o - g2 + g1
+                    if -most <= at <= most:
+                        swap = equal[k][wide + o + 1 + g1] & eq[wide + o - 1 - g2]
+                        row[o + most] = np.where(swap, np.minimum(row[o + most], d[k - 1][at + most] + (g1 + g2 + 1)), row[o + most])
+        for o in range(1 - most, most + 1):
+            row[o + most] = np.minimum(row[o + most], row[o + most - 1] + 1)
+        row = np.minimum(row, far)
+        for o in range(-most, min(most + 1, 1 - i + most) if i <= most else -most):
+            if i + o < 0:
+                row[o + most] = far
+        d[i] = row
+        d.pop(i - most - 1, None)
+        equal.pop(i - most - 1, None)
+        ends = (la == i) & (abs(lb - la) <= most)
+        out[ends] = row[(lb - la)[ends] + most, columns[ends]]
+    return out
+
+
+def candidates(numbers: list[str]) -> Iterator[tuple[int, int]]:
+    """Pairs i < j of distinct numbers, among them all for which numbers_alike() isn't False; some repeat."""
+    cut_ = [i for i, x in enumerate(numbers) if CUT.match(x)]
+    for i in cut_:
+        yield from ((min(i, j), max(i, j)) for j in range(len(numbers)) if j != i)
+    gone = set(cut_)
+    whole = [i for i in range(len(numbers)) if i not in gone]
+    texts = [numbers[i].translate(SWAPS) for i in whole]
+    by_text: dict[str, list[int]] = {}
+    for i, x in zip(whole, texts):
+        by_text.setdefault(x, []).append(i)
+    sizes = sorted({len(x) for x in by_text if len(x) >= 6})
+    for x, own in by_text.items():
+        yield from ((i, j) for i in own for j in own if i < j)
+        parts = {y for k in sizes if k < len(x) for y in (x[:k], x[-k:])}
+        yield from ((min(i, j), max(i, j)) for y in parts for j in by_text.get(y, ()) for i in own)
+    short = [x for x in by_text if len(x) <= CHARS]
+    long_ = [x for x in by_text if len(x) > CHARS]
+    for x in long_:
+        for y in by_text:
+            if y != x and abs(len(x) - len(y)) <= 4 and distance(x, y) <= 4:
+                yield from ((min(i, j), max(i, j)) for i in by_text[x] for j in by_text[y])
+    if len(short) < 2:
+        return
+    codes = np.ascontiguousarray(np.array(short, f"U{CHARS}")).view(np.uint32).reshape(len(short), CHARS)
+    letters, flat = np.unique(codes, return_inverse=True)
+    codes = np.where(codes > 0, flat.reshape(codes.shape) + 2, 0).astype(np.uint16)
+    lengths = (codes > 0).sum(1).astype(np.int16)
+    counts = np.stack([(codes == c + 2).sum(1) for c in range(len(letters)) if letters[c]]).astype(np.int16)
+    rows = max(1, int(lengths.max()))
+    step = max(1, BLOCK // len(short))
+    for lo in range(0, len(short), step):
+        left = slice(lo, lo + step)
+        # letters that one has more often than the other: each edit changes at most one
+        bag = abs(lengths[left, None] - lengths[None])
+        for c in counts:
+            bag = bag + abs(c[left, None] - c[None])
+        u, v = np.nonzero(bag <= 8)
+        u, v = u[u + lo < v] + lo, v[u + lo < v]
+        for at in range(0, len(u), 20_000):
+            i, j = u[at : at + 20_000], v[at : at + 20_000]
+            near = distances(codes[i, :rows].T, codes[j, :rows].T, lengths[i], lengths[j]) <= 4
+            for x, y in zip(i[near].tolist(), j[near].tolist()):
+                yield from ((min(m, n), max(m, n)) for m in by_text[short[x]] for n in by_text[short[y]])
+
+
+def links_of_key(number: np.ndarray, name: np.ndarray, seq: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seq_a, seq_b): for each row of one key of the NEAR kind its first same node, if that is earlier."""
+    first: dict[str, dict[str | None, int]] = {}  # the first node of each number and name
+    for x, w, s in sorted(zip(number[node], name[node], seq[node].tolist()), key=lambda r: r[2]):
+        first.setdefault(x, {}).setdefault(w, s)
+    rows: dict[str, dict[str | None, list[int]]] = {}
+    for x, w, s in zip(number, name, seq.tolist()):
+        rows.setdefault(x, {}).setdefault(w, []).append(s)
+    numbers = list(rows)
+    best: dict[tuple[str, str | None], int] = {}
+
+    def see(x: str, y: str, alike: bool | None) -> None:
+        """Nodes of x become the first of rows of y."""
+        nodes = first.get(x)
+        if alike is False or not nodes:
+            return
+        least = min(nodes.values())
+        for w in rows[y]:
+            if alike is None:
+                least = min((s for v, s in nodes.items() if names_alike(v, w)), default=None)
+            if least is not None:
+                best[y, w] = min(least, best.get((y, w), least))
+
+    for x in numbers:
+        if CUT.match(x):
+            see(x, x, None)
+    for i, j in candidates(numbers):
+        alike = numbers_alike(numbers[i], numbers[j])
+        see(numbers[i], numbers[j], alike)
+        see(numbers[j], numbers[i], alike)
+    pairs = [(s, t) for (y, w), s in best.items() for t in rows[y][w] if s < t]
+    return tuple(np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+
+
 OUT = "field string, seq_a bigint, seq_b bigint"
 NUMBER, NEAR = 0, 1
 
@@ -287,13 +450,29 @@ def _search_group(field: str, kind: int, g: pd.DataFrame) -> Iterator[pd.DataFra
     name, seq = g["name"].to_numpy(object), g["seq"].to_numpy(np.int64)
     node = g["node"].to_numpy(bool)
     v = vectors(number, g["cents"].fillna(0).to_numpy(np.int64), g["minute"].fillna(0).to_numpy(np.int64), np.full(len(g), kind == NUMBER))
-    shards = Shards(1e-3 if kind == NUMBER else 0.1)
+    shards = Shards(1e-3 if kind == NUMBER else 0.1, key)
     out_a, out_b = [], []
-    for lo in range(0, len(g), SEGMENT):
-        part = np.arange(lo, min(lo + SEGMENT, len(g)))
+    keys, code, size = np.unique(key, return_inverse=True, return_counts=True)
+    for k in np.nonzero(size > LARGE)[0]:
+        at = np.nonzero(code == k)[0]
+        if kind == NEAR:
+            a, b = links_of_key(number[at], name[at], seq[at], node[at])
+            out_a += a.tolist()
+            out_b += b.tolist()
+        else:
+            first: dict[str, int] = {}
+            for i in at:  # in order of arrival
+                if number[i] in first:
+                    out_a.append(first[number[i]])
+                    out_b.append(seq[i])
+                elif node[i]:
+                    first[number[i]] = seq[i]
+    rest = np.nonzero(size[code] <= LARGE)[0]
+    for lo in range(0, len(rest), SEGMENT):
+        part = rest[lo : lo + SEGMENT]
         if node[part].any():
             shards.add(part[node[part]], v[part[node[part]]])
-        for a, b in shards.search(v[part]):
+        for a, b in shards.search(part, v[part]):
             a = part[a]
             ok = (seq[b] < seq[a]) & (key[b] == key[a])
             for later, earlier in zip(a[ok], b[ok]):

@@ -46,6 +46,75 @@ def test_same_rows(spark, monkeypatch, hot):
     assert got == [(1, 2), (1, 3), (1, 5), (1, 7)] + [(10, 10 + k) for k in range(1, 12)]
 
 
+def brute_force(number, name, seq, node):
+    """The first same node of each row by comparing all pairs with the same rule."""
+    out = {}
+    for j in range(len(seq)):
+        for i in np.nonzero(node & (seq < seq[j]))[0]:
+            x, y = number[i], number[j]
+            alike = (None if history.CUT.match(x) else False) if x == y else history.numbers_alike(x, y)
+            if alike or alike is None and history.names_alike(name[i], name[j]):
+                out[int(seq[j])] = min(int(seq[i]), out.get(int(seq[j]), int(seq[i])))
+    return out
+
+
+def damaged(rng, x):
+    k = rng.randrange(1, len(x) - 1)
+    return rng.choice([x[:k] + x[k + 1] + x[k] + x[k + 2 :], x[:k] + x[k + 1 :], x[:k] + "B" + x[k:], x[:k] + "7" + x[k + 1 :], x[:12], x[-11:], f"{x[0]}.{x[1:6]}E+{len(x) - 1}", x + "*52", x[:k] + x[k + 2 :] + "31"])
+
+
+def hot_group(n, seed=4):
+    """Different numbers of one amount and time, and damaged copies of a tenth of them, later."""
+    rng = random.Random(seed)
+    plain = ["24" + "".join(rng.choice("0123456789") for _ in range(18)) for _ in range(n)]
+    return plain + [damaged(rng, x) for x in plain[: n // 10]]
+
+
+def test_large_keys_are_compared_exactly():
+    number = np.array(hot_group(120), object)
+    rng = random.Random(5)
+    name = np.array([rng.choice(["甲店", "乙馆", None]) for _ in number], object)
+    seq = np.arange(len(number))
+    for node in (np.ones(len(number), bool), np.arange(len(number)) % 2 == 0):
+        a, b = history.links_of_key(number, name, seq, node)
+        assert dict(zip(b.tolist(), a.tolist())) == brute_force(number, name, seq, node)
+
+
+def test_a_hot_amount_and_time_loses_no_copy():
+    number = np.array(hot_group(2500), object)
+    g = pd.DataFrame({"number": number, "key": 1, "name": None, "seq": np.arange(len(number)), "node": True, "cents": 100, "minute": 50})
+    got = pd.concat(history._search_group("f", history.NEAR, g)).groupby("seq_b").seq_a.min()
+    for j in range(2500, len(number)):
+        if number[j - 2500] != number[j] and history.numbers_alike(number[j - 2500], number[j]):
+            assert got.get(j, j) <= j - 2500
+
+
+def test_distances_in_columns():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    codes = np.ascontiguousarray(np.array(words, "U12")).view(np.uint32).reshape(-1, 12)
+    size = np.array([len(w) for w in words], np.int16)
+    i, j = np.arange(0, 600, 2), np.arange(1, 600, 2)
+    got = history.distances(codes[i].T, codes[j].T, size[i], size[j])
+    assert np.minimum(got, 5).tolist() == [min(5, gazetteer.distance(words[a], words[b])) for a, b in zip(i, j)]
+
+
+def test_shards_tune_again_and_fall_back(monkeypatch):
+    rng = np.random.RandomState(1)
+    n = 4 * 600
+    numbers = np.array(["".join(rng.choice(list("0123456789"), 20)) for _ in range(n)], object)
+    key = rng.randint(0, n // 8, n)
+    v = history.vectors(numbers, key, np.zeros(n, int), np.zeros(n, bool))
+    monkeypatch.setattr(history, "RECALL", 1.1)  # no beam reaches it
+    shards = history.Shards(0.1, key)
+    for lo in range(0, n, 600):
+        part = np.arange(lo, lo + 600)
+        shards.add(part, v[part])
+        got = {(int(x), int(y)) for a, b in shards.search(part, v[part]) for x, y in zip(part[a], b)}
+        assert got >= {(int(x), int(y)) for x in part for y in np.nonzero(key[: lo + 600] == key[x])[0]}
+    assert len(shards.levels) == 1 and shards.levels[0][3]["beam"] is None
+
+
 # ---------------------------------------------------------------- garbled text
 
 
