@@ -83,9 +83,9 @@ def budgets(leaves: list[dict], total: float) -> dict[tuple, float]:
 def mix(docs: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 42, domains: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents drawn with their epoch, shares by source). ``docs`` has doc_id, lang, source, tokens.
 
-    ``total`` is the size of the mix in tokens. By default it is the largest at which every source that has
-    documents reaches its share, so that shares come as near to the targets as the repeats allow; "all"
-    takes the tokens of all sources with a target, at the price of shortages that others must fill.
+    ``total`` is the size of the mix in tokens; "all" takes the tokens of all sources with a target, and what
+    a source lacks others fill. By default it is the largest at which every source that has documents reaches
+    its share, so the smallest source sets it; the queries use it only in p9_shares_even.
     """
     spark = docs.sparkSession
     domain = F.create_map(*[F.lit(x) for kv in (domains or DOMAINS).items() for x in kv])
@@ -137,7 +137,7 @@ def _sizes(spark: SparkSession, sf_dir: str, tokenizer_path: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str, tokenizer_path: str = TOKENIZER) -> DataFrame:
-    return mix(_sizes(spark, sf_dir, tokenizer_path), table(spark, sf_dir, "mix_target"))[0]
+    return mix(_sizes(spark, sf_dir, tokenizer_path), table(spark, sf_dir, "mix_target"), "all")[0]
 
 
 def p9_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,12 @@ def p9_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_shares(spark, sf_dir, total="all")
 
 
-def p9_shares(spark: SparkSession, sf_dir: str, tokenizer_path: str = TOKENIZER, total: int | str | None = None) -> DataFrame:
+def p9_shares_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the largest mix in which every source with documents reaches its share."""
+    return p9_shares(spark, sf_dir, total=None)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str, tokenizer_path: str = TOKENIZER, total: int | str | None = "all") -> DataFrame:
     """Target and reached share of every source with a target, its tokens, and its repeats."""
     sizes = _sizes(spark, sf_dir, tokenizer_path)
     drawn, shares = mix(sizes, table(spark, sf_dir, "mix_target"), total)

@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_mix": mixing.p9_mix,
         "p9_shares": mixing.p9_shares,
         "p9_shares_all": mixing.p9_shares_all,
+        "p9_shares_even": mixing.p9_shares_even,
         "p10_found": languages.p10_found,
         "p10_languages": languages.p10_languages,
     }

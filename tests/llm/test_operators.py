@@ -243,6 +243,18 @@ def test_budgets_and_mix(spark):
     assert set(map(tuple, drawn.values)) == set(map(tuple, again.values))
 
 
+def test_the_smallest_source_does_not_set_the_size(spark):
+    from tests.conftest import DATA
+
+    shares = mixing.p9_shares(spark, DATA).toPandas()
+    # each leaf ends with a whole document
+    assert shares.drawn_tokens.sum() == pytest.approx(shares.source_tokens.sum(), rel=0.1)
+    assert mixing.p9_shares_even(spark, DATA).groupBy().sum("drawn_tokens").first()[0] < 0.5 * shares.drawn_tokens.sum()
+    short = shares[(shares.target_share > 0) & (shares.source_tokens > 0) & (shares.target_share * shares.source_tokens.sum() > 1.01 * shares.source_tokens * shares.max_repeat)]
+    assert len(short) and short.drawn_tokens.tolist() == (short.source_tokens * short.max_repeat).tolist()
+    assert mixing.p9_mix(spark, DATA).groupBy().sum("tokens").first()[0] == shares.drawn_tokens.sum()
+
+
 # ---------------------------------------------------------------- languages
 
 
