@@ -46,6 +46,13 @@ def new_numbers(new: DataFrame, known: DataFrame, number: str) -> DataFrame:
     return new.filter(empty).unionByName(new.filter(~empty).join(known.select(number).distinct(), number, "left_anti"))
 
 
+def first_arrivals(rows: DataFrame, number: str, order: list[str], id_: str) -> DataFrame:
+    """Ids of the rows whose number no earlier row has; rows without a number always pass."""
+    empty = F.coalesce(F.col(number), F.lit("")) == ""
+    firsts = rows.filter(~empty).groupBy(number).agg(F.min(F.struct(*order, id_)).alias("first"))
+    return rows.filter(empty).select(id_).unionByName(firsts.select(F.col(f"first.{id_}").alias(id_)))
+
+
 # ---------------------------------------------------------------- ordered folds
 
 

@@ -217,6 +217,12 @@ def q_cross_batch_new(spark, sf_dir):
     return records.new_numbers(inv.filter("batch_id > 'B0000006'"), inv.filter("batch_id <= 'B0000006'"), "invoice_number").select("id")
 
 
+@query("select id from (select id, invoice_number, row_number() over (partition by invoice_number order by batch_id nulls first, import_seq nulls first, id) as n from invoice) where coalesce(invoice_number, '') = '' or n = 1")
+def q_every_batch_new(spark, sf_dir):
+    """Every batch against all that arrived before it; q_cross_batch_new does so for one fixed cut."""
+    return records.first_arrivals(table(spark, sf_dir, "invoice"), "invoice_number", ["batch_id", "import_seq"], "id")
+
+
 @query("select category, count(*) as n, sum(cast(round(amount * 100) as bigint))::bigint as cents from invoice group by category")
 def q_category_summary(spark, sf_dir):
     return table(spark, sf_dir, "invoice").groupBy("category").agg(F.count("*").alias("n"), F.sum(F.round(F.col("amount") * 100).cast("bigint")).alias("cents"))
