@@ -1,21 +1,27 @@
 """Mixed timestamp writings and zones, normalised to UTC epoch seconds.
 
 Every value is tokenised into a character-class shape mask (digits become ``9``, runs of two or more
-letters ``A``, blanks a space, the rest stays). All values of one mask have their numbers at the same
-places, so each distinct mask is mapped to a parser once, and the parser is a set of array slices that
-works on all values of the mask together. Wall-clock times are then turned into instants by binary
-search in zone transition tables, which are built on the driver from the installed tz database, carry
-its version, and travel to the workers with the function.
+letters ``A``, runs of blanks one space, the rest stays). All values of one mask have their numbers at the
+same places, so each distinct mask is mapped to a parser once, and the parser is a set of array slices that
+works on all values of the mask together. Wall-clock times are then turned into instants by search in zone
+transition tables. They are read on the driver from the zone files of the installed tz database, with its
+version (``zone_tables``), and travel to the workers with the function; the few spans of unambiguous wall-clock time
+around a batch's date travel with the batch (``with_walls``), so that the commonest writing is converted by
+the same tables inside of the JVM.
 
 Defined results: NULL and the empty string are missing and give NULL; a value that denotes no single
-instant gives -1: impossible or incomplete values, unknown writings or zones, values longer than
-``MAX_CHARS`` (no writing of an instant is that long), and local times that the zone skips or has twice.
+instant gives -1: impossible or incomplete values, unknown writings or zones, and local times that the zone
+skips or has twice. Blanks at the ends and repeated blanks don't count, however many there are.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import importlib.resources
+import os
 import re
+import struct
+import zoneinfo
 from functools import lru_cache
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
@@ -26,7 +32,6 @@ from pyspark.sql import functions as F
 
 from tallyweave.tables import table
 
-MAX_CHARS = 64
 DAY = 86_400
 # Excel day serials count from this date.
 SERIAL_EPOCH = -25_569 * DAY
@@ -47,49 +52,114 @@ MONTHS |= {m: i + 1 for i, m in enumerate("january february march april may june
 
 def tz_version() -> str:
     """Version of the tz database that the tables are built from."""
+    for base in zoneinfo.TZPATH:
+        for name, pattern in (("tzdata.zi", r"# version (\S+)"), ("+VERSION", r"(\S+)")):
+            try:
+                with open(os.path.join(base, name), encoding="utf-8") as f:
+                    if m := re.match(pattern, f.readline()):
+                        return m[1]
+            except OSError:
+                continue
+        if os.path.isdir(base):
+            return "system"  # the zones come from a folder that doesn't name its version
     try:
         import tzdata
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "system"
+        return "unknown"
+
+
+def _zone_file(name: str) -> bytes:
+    for base in zoneinfo.TZPATH:
+        at = os.path.join(base, *name.split("/"))
+        if os.path.isfile(at):
+            with open(at, "rb") as f:
+                return f.read()
+    return importlib.resources.files("tzdata.zoneinfo").joinpath(name).read_bytes()
+
+
+def _listed(data: bytes) -> tuple[list[int], list[tuple[int, str]], tuple[int, str]]:
+    """(UTC seconds of the changes that a zone file lists, (offset, abbreviation) after each, that before the first)."""
+
+    def counts(at: int) -> tuple[int, ...]:
+        return struct.unpack(">6l", data[at + 20 : at + 44])
+
+    wide, at = data[4:5] >= b"2", 0
+    if wide:  # the first block holds the same in 32 bits
+        utc, std, leap, times, types, chars = counts(0)
+        at = 44 + times * 5 + types * 6 + chars + leap * 8 + std + utc
+    _, _, _, times, types, chars = counts(at)
+    at, size = at + 44, 8 if wide else 4
+    when = list(struct.unpack(f">{times}{'q' if wide else 'l'}", data[at : at + times * size]))
+    which = data[at + times * size : at + times * (size + 1)]
+    at += times * (size + 1)
+    kinds = [struct.unpack(">lBB", data[at + 6 * k : at + 6 * k + 6]) for k in range(types)]
+    words = data[at + 6 * types : at + 6 * types + chars]
+    named = [(off, words[k:].split(b"\0")[0].decode()) for off, _, k in kinds]
+    standard = [x for x, k in zip(named, kinds) if not k[1]]
+    return when, [named[k] for k in which], standard[0] if standard else named[0]
 
 
 @lru_cache(maxsize=None)
-def transitions(name: str, first: int = 1970, last: int = 2100) -> tuple[np.ndarray, np.ndarray, dict[str, int]] | None:
+def transitions(name: str, last: int = 2100) -> tuple[np.ndarray, np.ndarray, dict[str, int]] | None:
     """(starts, offsets, abbreviations) of a zone; interval k begins at UTC second starts[k] with offsets[k].
 
-    Found by scanning in steps of three days and bisecting each change to the second. None: no such zone.
+    The changes that the zone's file lists, and up to the year ``last`` those by its yearly rule, each bisected
+    to the second. None: no such zone.
     """
     try:
         zone = ZoneInfo(name)
-    except (ZoneInfoNotFoundError, ValueError, OSError):
+        when, after, now = _listed(_zone_file(name))
+    except (ZoneInfoNotFoundError, ValueError, OSError, ModuleNotFoundError):
         return None
 
     def at(sec: int) -> tuple[int, str]:
         d = (EPOCH + dt.timedelta(seconds=sec)).astimezone(zone)
         return int(d.utcoffset().total_seconds()), d.tzname()
 
-    lo = int((dt.datetime(first, 1, 1, tzinfo=dt.timezone.utc) - EPOCH).total_seconds())
-    hi = int((dt.datetime(last, 1, 1, tzinfo=dt.timezone.utc) - EPOCH).total_seconds())
+    first = at(0)
+    starts, offsets, names = [-(2**62)], [now[0]], {first[1]: first[0] // 60}
+
+    def change(sec: int, new: tuple[int, str]) -> None:
+        if new[0] != offsets[-1]:
+            starts.append(sec)
+            offsets.append(new[0])
+        if sec >= 0:  # abbreviations of before 1970 mean other offsets in many zones
+            names[new[1]] = new[0] // 60
+
+    for sec, new in zip(when, after):
+        change(sec, new)
+    lo = max([0, *when[-1:]])
     now = at(lo)
-    starts, offsets, names = [-(2**62)], [now[0]], {now[1]: now[0] // 60}
-    for sec in range(lo, hi, 3 * DAY):
+    change(lo, now)
+    for sec in range(lo, int((dt.datetime(last, 1, 1, tzinfo=dt.timezone.utc) - EPOCH).total_seconds()), 3 * DAY):
         new = at(sec + 3 * DAY)
         if new == now:
             continue
-        a, b = sec, sec + 3 * DAY
+        a, b = sec, sec + 3 * DAY  # a yearly rule changes twice a year, so once at most in here
         while b - a > 1:
             mid = (a + b) // 2
             a, b = (mid, b) if at(mid) == now else (a, mid)
-        if new[0] != now[0]:
-            starts.append(b)
-            offsets.append(new[0])
-        names[new[1]] = new[0] // 60
+        change(b, new)
         now = new
     return np.array(starts, np.int64), np.array(offsets, np.int64), names
 
 
+def walls(name: str, first: dt.date, last: dt.date) -> list[tuple[int, int, int]]:
+    """(from, to, offset): the spans of wall-clock seconds between two days that denote one instant each."""
+    found = transitions(name)
+    if found is None:
+        return []
+    starts, offsets, _ = found
+    begin = np.maximum(starts, -(2**61)) + offsets
+    end = np.append(starts[1:], 2**61) + offsets
+    begin_, end_ = np.maximum(begin, np.append(-(2**62), end[:-1])), np.minimum(end, np.append(begin[1:], 2**62))
+    lo, hi = ((d - EPOCH.date()).days * DAY for d in (first, last))
+    spans = [(max(int(a), lo), min(int(b), hi), int(o)) for a, b, o in zip(begin_, end_, offsets)]
+    return [x for x in spans if x[0] < x[1]]
+
+
 def local_to_utc(local: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """UTC seconds of wall-clock seconds, -1 where the zone skips that time or has it twice."""
     begin = np.maximum(starts, -(2**61)) + offsets
@@ -161,7 +231,7 @@ _TABLES: list = []
 
 
 def _codes(texts: np.ndarray) -> np.ndarray:
-    fixed = texts.astype(f"U{max(1, min(MAX_CHARS, max(map(len, texts), default=1)))}")
+    fixed = texts.astype(f"U{max(1, max(map(len, texts), default=1))}")
     return np.minimum(fixed.view(np.uint32).reshape(len(texts), -1), 0xFFFF)
 
 
@@ -174,7 +244,6 @@ def shape_masks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pad = np.zeros((len(codes), 1), bool)
     run = letter & (np.hstack([pad, letter[:, :-1]]) | np.hstack([letter[:, 1:], pad]))
     mask[run] = ord("A")
-    # blanks that follow a blank keep their own class so that positions stay: treated as one in the parser
     rows = np.ascontiguousarray(mask.astype(np.uint16)).view([("", np.uint16)] * mask.shape[1]).ravel()
     distinct, which = np.unique(rows, return_inverse=True)
     return distinct.view(np.uint16).reshape(len(distinct), -1), which.ravel(), _TABLES[1][codes]
@@ -183,17 +252,11 @@ def shape_masks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @lru_cache(maxsize=100_000)
 def parser_of(mask: str, clock: bool) -> tuple[str, dict[str, tuple[int, int]]] | None:
     """What a mask denotes, and where its parts stand; each distinct mask is looked at once per worker."""
-    squeezed, at = [], []
-    for i, ch in enumerate(mask):
-        if not (ch == " " and squeezed and squeezed[-1] == " "):
-            squeezed.append(ch)
-            at.append(i)
-    text, at = "".join(squeezed), [*at, len(mask)]
     kinds = [("clock", CLOCK)] if clock else [("seconds", [SECONDS]), ("millis", [MILLIS]), ("serial", [SERIAL]), ("wall", GRAMMAR)]
     for kind, patterns in kinds:
         for p in patterns:
-            if m := p.match(text):
-                spans = {k.rstrip("_"): (at[m.start(k)], at[m.end(k) - 1] + 1) for k, v in m.groupdict().items() if v}
+            if m := p.match(mask):
+                spans = {k.rstrip("_"): m.span(k) for k, v in m.groupdict().items() if v}
                 texts = {"=" + k: v for k, v in m.groupdict().items() if v and k in ("cn", "half", "sign", "sign2")}
                 return kind, spans | texts
     return None
@@ -305,6 +368,14 @@ def _rows_of_mask(kind: str, spans: dict, codes, digits, received, order, base,
 
 
 ORDERS = {"MDY": 0, "DMY": 1}
+BLANKS = re.compile(r"\s\s+|^\s+|\s+$")
+LONGEST = 96  # characters of the longest text that any pattern of the grammar matches, fractions of seconds aside
+
+
+def _bare(text: str) -> str:
+    """The text with single blanks and none at its ends, and without digits of a fraction beyond the tenth."""
+    text = BLANKS.sub(" ", text).strip() if BLANKS.search(text) else text
+    return re.sub(r"([.,]\d{10})\d+", r"\1", text) if len(text) > LONGEST else text
 
 
 def convert(values: pd.Series, zone: pd.Series, order: pd.Series, received: pd.Series, base: pd.Series, tables: dict) -> pd.Series:
@@ -312,16 +383,17 @@ def convert(values: pd.Series, zone: pd.Series, order: pd.Series, received: pd.S
     n = len(values)
     texts = values.to_numpy(object)
     there = np.array([isinstance(x, str) and x != "" for x in texts], bool)
-    short = there.copy()
-    short[there] = [len(x) <= MAX_CHARS for x in texts[there]]
     out = np.full(n, -1, np.int64)
-    at = np.flatnonzero(short)
+    at = np.flatnonzero(there)
+    bare = np.array([_bare(x) for x in texts[at]], object)
+    fits = np.array([0 < len(x) <= LONGEST for x in bare], bool)  # what is longer matches no pattern
+    at, bare = at[fits], bare[fits]
     if len(at):
         day = lambda s: s.fillna(-(10**7)).to_numpy(np.int64)[at]
         rec, bas, clock = day(received), day(base), base.notna().to_numpy()[at]
         zone_no, zones = pd.factorize(zone.to_numpy(object)[at], use_na_sentinel=False)
         orders = np.array([ORDERS.get(x, 2) for x in order.to_numpy(object)[at]], np.int64)
-        codes = _codes(texts[at])
+        codes = _codes(bare)
         masks, which, digits = shape_masks(codes)
         groups = np.argsort(which * 2 + clock, kind="stable")
         keys = (which * 2 + clock)[groups]
@@ -334,31 +406,57 @@ def convert(values: pd.Series, zone: pd.Series, order: pd.Series, received: pd.S
     return pd.Series(pd.array(out, "Int64")).mask(pd.Series(~there))
 
 
+WALLS = "array<struct<lo: bigint, hi: bigint, off: int>>"
+YEARS_BACK = 4
+
+
+def zone_tables(batches: DataFrame) -> tuple[str, dict]:
+    """(tz version, tables) of the zones named in ``batches``; there are at most as many as the tz database has."""
+    names = [r[0] for r in batches.select("zone_name").distinct().collect() if r[0]]
+    return tz_version(), {z: t for z in names if (t := transitions(z))}
+
+
+def with_walls(batches: DataFrame) -> DataFrame:
+    """Adds ``walls``: the spans of single instants in the batch's zone from some years before to a year after it."""
+
+    @F.pandas_udf(WALLS)
+    def spans(zone: pd.Series, received: pd.Series) -> pd.Series:
+        one = lru_cache(maxsize=10_000)(lambda z, y: walls(z, dt.date(y - YEARS_BACK, 1, 1), dt.date(y + 2, 1, 1)))
+        return pd.Series([[{"lo": a, "hi": b, "off": o} for a, b, o in one(z, d.year)] if z and d is not None and 1975 < d.year < 2090 else None for z, d in zip(zone, received)])
+
+    return batches.withColumn("walls", spans("zone_name", "received_on"))
+
+
+def plain_seconds(value: Column, spans: Column) -> Column:
+    """UTC seconds of a value in the commonest writing, by the spans; NULL for all others, -1 for no single instant."""
+    local = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.when(value.rlike(PLAIN), value).try_cast("timestamp_ntz"))
+    hit = F.get(F.filter(spans, lambda x: (local >= x["lo"]) & (local < x["hi"])), 0)["off"]
+    inside = (local >= F.get(spans, 0)["lo"]) & (local < F.element_at(spans, -1)["hi"])
+    return F.when(inside, F.coalesce(local - hit, F.lit(-1).cast("bigint")))
+
+
 def utc_seconds(spark: SparkSession, batches: DataFrame):
-    """A column function (value, zone_name, date_order, received_on, base_day) -> UTC seconds.
+    """A column function (value, zone_name, date_order, received_on, base_day, walls) -> UTC seconds.
 
-    The zones named in ``batches`` get their tables; there are at most as many as the tz database has.
+    The zones named in ``batches`` get their tables. Where ``walls`` is given the commonest writing needs no Python.
     """
-    names = [r[0] for r in batches.select("zone_name").distinct().collect() if r[0]]
-    shared = spark.sparkContext.broadcast({z: t for z in names if (t := transitions(z))})
+    shared = spark.sparkContext.broadcast(zone_tables(batches))
 
     @F.pandas_udf("long")
     def run(value: pd.Series, zone: pd.Series, order: pd.Series, received: pd.Series, base: pd.Series) -> pd.Series:
-        return convert(value, zone, order, received, base, shared.value)
+        return convert(value, zone, order, received, base, shared.value[1])
 
-    def column(value: Column, zone: Column, order: Column, received: Column, base: Column | None = None) -> Column:
+    def column(value: Column, zone: Column, order: Column, received: Column, base: Column | None = None, spans: Column | None = None) -> Column:
         days = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
         rest = lambda v: run(v, zone, order, days(received), days(base) if base is not None else F.lit(None).cast("int"))
-        if base is not None:
+        if base is not None or spans is None:
             return rest(value)
-        # the commonest writing in the zone that has kept one offset since 1992 needs no table
-        fast = F.when(value.rlike(PLAIN) & (value >= "1992") & (zone == FIXED_ZONE), F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value.try_cast("timestamp_ntz")) - FIXED_OFFSET)
+        fast = plain_seconds(value, spans)
         return F.coalesce(fast, rest(F.when(fast.isNull(), value)))
 
     return column
 
 
-FIXED_ZONE, FIXED_OFFSET = "Asia/Shanghai", 8 * 3600
 PLAIN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} ([01][0-9]|2[0-3]):[0-9]{2}(:[0-9]{2})?$"
 PLAIN_CLOCK = r"^([01][0-9]|2[0-3]):[0-9]{2}$"
 
@@ -381,12 +479,19 @@ def timed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = table(spark, sf_dir, "import_batch").select("batch_id", "received_on", "zone_name", "date_order")
+    batches = with_walls(table(spark, sf_dir, "import_batch").select("batch_id", "received_on", "zone_name", "date_order"))
     utc = utc_seconds(spark, batches)
     rows = timed_values(spark, sf_dir).join(batches, "batch_id", "left")
     told = [F.col(c) for c in ("value", "zone_name", "date_order", "received_on")]
     clock = F.col("field") == "invoice.travel_time"
-    rows = rows.filter(clock).withColumn("utc_sec", utc(*told, F.col("base_day"))).unionByName(rows.filter(~clock).withColumn("utc_sec", utc(*told)))
+    rows = rows.filter(clock).withColumn("utc_sec", utc(*told, F.col("base_day"))).unionByName(rows.filter(~clock).withColumn("utc_sec", utc(*told, spans=F.col("walls"))))
     plain = F.when(F.col("field") == "invoice.travel_time", F.col("value").rlike(PLAIN_CLOCK)).otherwise(F.col("value").rlike(PLAIN))
     usual = (F.col("utc_sec") != -1) & F.coalesce(F.col("zone_name") == "Asia/Shanghai", F.lit(False)) & plain
     return rows.filter(~usual).select("field", "rec_id", "ride_index", "utc_sec")
+
+
+def p1_zone_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tz_version, zone_name, from_utc, offset_sec): the transition tables that p1_found converts with."""
+    version, tables = zone_tables(table(spark, sf_dir, "import_batch"))
+    rows = [(version, z, int(a) if k else None, int(o)) for z, (starts, offsets, _) in sorted(tables.items()) for k, (a, o) in enumerate(zip(starts, offsets))]
+    return spark.createDataFrame(rows, "tz_version string, zone_name string, from_utc bigint, offset_sec int")

@@ -151,9 +151,9 @@ def q_outside_trips(spark, sf_dir):
 
 @query()
 def q_greedy_batches(spark, sf_dir):
-    zones = table(spark, sf_dir, "import_batch").select("batch_id", "received_on", "zone_name", "date_order")
+    zones = zoned_time.with_walls(table(spark, sf_dir, "import_batch").select("batch_id", "received_on", "zone_name", "date_order"))
     utc = zoned_time.utc_seconds(spark, zones)
-    pay = table(spark, sf_dir, "payment").join(zones, "batch_id").withColumn("sec", utc(F.col("transaction_time"), F.col("zone_name"), F.col("date_order"), F.col("received_on")))
+    pay = table(spark, sf_dir, "payment").join(zones, "batch_id").withColumn("sec", utc(F.col("transaction_time"), F.col("zone_name"), F.col("date_order"), F.col("received_on"), spans=F.col("walls")))
     shifted = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds("sec"), F.col("zone_name")))  # local wall clock, whatever the session's zone
     local = F.when(F.col("sec") >= 0, F.timestamp_add("SECOND", shifted, F.lit("1970-01-01").cast("timestamp_ntz")))
     pay = pay.select(F.col("batch_id").alias("batch"), F.col("id").alias("pay_id"), local.alias("pay_time"), F.col("amount").alias("pay_amount"), (F.greatest("amount", F.lit(0.0)) + F.coalesce("discount", F.lit(0.0))).alias("pay_total"), F.col("merchant_name").alias("pay_merchant"), F.col("import_seq").alias("pay_pos"))
@@ -384,6 +384,7 @@ def q_windowed_totals(spark, sf_dir):
 # ---------------------------------------------------------------- training data, general
 
 QUERIES["p1_found"] = zoned_time.p1_found
+QUERIES["p1_zone_tables"] = zoned_time.p1_zone_tables
 QUERIES["p6_found"] = rejects.p6_found
 QUERIES["p6_loaded"] = rejects.p6_loaded
 

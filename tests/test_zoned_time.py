@@ -61,3 +61,26 @@ def test_tables_agree_with_zoneinfo(zone):
         both = {int(naive.replace(tzinfo=info, fold=f).timestamp()) for f in (0, 1)}
         exact = [u for u in both if dt.datetime.fromtimestamp(u, info).replace(tzinfo=None) == naive]
         assert g == (exact[0] if len(exact) == 1 else -1)
+
+
+def test_blanks_dont_count():
+    want = sec("2025-01-02T10:00:00")
+    for text in ("2025-01-02 10:00:00" + " " * 60, " " * 500 + "2025-01-02   10:00:00", "2025-01-02 10:00:00." + "1" * 400):
+        assert convert(text) == want
+
+
+def test_tables_reach_before_1970_and_name_their_version():
+    assert convert("1950-06-01 12:00:00", "America/New_York") == -618134400 and z.tz_version() not in ("", "unknown")
+    assert convert("1940-06-02 12:00:00", "Europe/Berlin") == -933343200
+
+
+@pytest.mark.parametrize("zone", ZONES)
+def test_walls_agree_with_the_tables(zone):
+    starts, offsets, _ = z.transitions(zone)
+    local = np.arange(0, 3 * 366 * 86_400, 1800) + sec("2023-01-01T00:00", "UTC")
+    want = z.local_to_utc(local, starts, offsets)
+    got = np.full(len(local), -1)
+    for a, b, o in z.walls(zone, dt.date(2023, 1, 1), dt.date(2026, 12, 31)):
+        here = (local >= a) & (local < b)
+        got[here] = local[here] - o
+    assert (got == want).all() and (want == -1).any() == (len(z.walls(zone, dt.date(2023, 1, 1), dt.date(2026, 12, 31))) > 1)
