@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.gazetteer import distance
 from tallyweave.llm.lookalikes import invisible, parts_of
-from tallyweave.operators.zoned_time import utc_seconds
+from tallyweave.operators.zoned_time import utc_seconds, with_walls
 from tallyweave.tables import cut, table
 
 CHARS = 40  # characters of a number that its projections see; the rerank compares whole numbers
@@ -553,11 +553,11 @@ def first_of_class(links: DataFrame) -> DataFrame:
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All numbered invoices and payments as records, with ids."""
     pay, inv, batches = (table(spark, sf_dir, t) for t in ("payment", "invoice", "import_batch"))
-    batches = batches.select("batch_id", "received_on", "zone_name", "date_order")
+    batches = with_walls(batches.select("batch_id", "received_on", "zone_name", "date_order"))
     utc = utc_seconds(spark, batches)
     cents = lambda c: F.round(F.col(c) * 100).cast("long").alias("cents")
     pay = pay.filter(F.col("transaction_id") != "").select("id", "import_seq", "batch_id", "transaction_id", "transaction_time", "amount", "merchant_name").join(batches, "batch_id", "left")
-    sec = utc(F.col("transaction_time"), F.col("zone_name"), F.col("date_order"), F.col("received_on"))
+    sec = utc(F.col("transaction_time"), F.col("zone_name"), F.col("date_order"), F.col("received_on"), spans=F.col("walls"))
     pay = pay.withColumn("sec", sec).select(F.lit("payment.transaction_id").alias("field"), F.col("import_seq").alias("seq"), "id", one_number(F.col("transaction_id")).alias("number"), cents("amount"), F.when(F.col("sec") >= 0, F.floor(F.col("sec") / 60)).alias("minute"), F.col("merchant_name").alias("name"))
     day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long") * 1440
     inv = inv.filter(F.col("invoice_number") != "").select(F.lit("invoice.invoice_number").alias("field"), F.col("import_seq").alias("seq"), "id", one_number(F.col("invoice_number")).alias("number"), cents("amount"), day.alias("minute"), F.lit(None).cast("string").alias("name"))

@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": gazetteer.p5_found,
         "p7_found": linkage.p7_found,
         "p7_matches": linkage.p7_matches,
+        "p7_calibration": linkage.p7_calibration,
         "p8_containers": packing.p8_containers,
         "p8_fill": packing.p8_fill,
         "p9_mix": mixing.p9_mix,
