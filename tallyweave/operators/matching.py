@@ -41,6 +41,15 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def least_by(df: DataFrame, keys: list[str], *rank: Column) -> DataFrame:
+    """The row of each key with the least ``rank``, whose values are put in ascending order, missing ones first.
+
+    An aggregation that is combined before the shuffle, so a hot key costs one row a task.
+    """
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)])).alias("__b"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"__b.`{c}`").alias(c) for c in df.columns])
+
+
 def nearest_match(inv: DataFrame, pay: DataFrame, tolerance: float, keys: list[str] = (), paid_before: bool = False) -> DataFrame:
     """For each claim the payment within the tolerance with the nearest date, then the smallest difference.
 
@@ -52,32 +61,68 @@ def nearest_match(inv: DataFrame, pay: DataFrame, tolerance: float, keys: list[s
     if paid_before:
         c = c.filter(F.coalesce(day <= F.col("inv_date"), F.lit(True)))
     c = c.withColumn("days", F.abs(F.datediff("inv_date", day)))
-    best = first_by(c, [*keys, "inv_id"], F.asc_nulls_last("days"), F.asc("amount_diff"), F.asc("pay_pos"))
+    best = least_by(c, [*keys, "inv_id"], F.col("days").isNull(), F.col("days"), F.col("amount_diff"), F.col("pay_pos"))
     return best.withColumn("confidence", 1 - F.col("amount_diff") / F.greatest(F.col("inv_amount"), F.lit(0.01)))
 
 
-def one_per_payment(candidates: DataFrame, rank: list[Column], priority: list[Column], keys: list[str] = (), rounds: int = 50) -> DataFrame:
+FEW = 100_000  # open candidates from which the rest of the assignment is one pass in one task
+
+
+def one_per_payment(candidates: DataFrame, rank: list[Column], priority: list[Column], keys: list[str] = (), few: int = FEW) -> DataFrame:
     """Greedy one-to-one assignment at scale.
 
-    Claims in a fixed priority each take their best payment that is still free. That is deferred acceptance
-    in which all payments rank claims by that priority: every free claim proposes to its best payment that
-    has not refused it, each payment keeps the proposer of highest priority, until nothing changes. Each
-    round is a few joins on the candidates, written to the shared folder in between.
+    Claims in a fixed priority each take their best payment that is still free. A claim that is the first of all
+    its best payment's claims gets it whatever happens elsewhere; so do, round by round, the claims that
+    become first when such claims and their payments are gone. Each round removes the settled rows, and only
+    the others are written again. Once at most ``few`` candidates are open, or where a round settles
+    less than a hundredth of them (long chains, in which each refusal leads to the next), each connected rest is small or a
+    chain, and the open rows are gone through in order of priority.
     """
     from tallyweave.tables import cut
 
-    c = candidates.withColumn("__rank", F.row_number().over(W.partitionBy(*keys, "inv_id").orderBy(*rank)))
-    c = c.withColumn("__prio", F.struct(*[x.alias(f"p{i}") for i, x in enumerate(priority)]))
-    left = cut(c)
-    for _ in range(rounds):
-        proposed = first_by(left, [*keys, "inv_id"], F.asc("__rank"))
-        held = first_by(proposed, [*keys, "pay_id"], F.asc("__prio"))
-        refused = proposed.join(held.select(*keys, "inv_id", "pay_id"), [*keys, "inv_id", "pay_id"], "left_anti").select(*keys, "inv_id", "pay_id")
-        refused = cut(refused)
-        if refused.isEmpty():
-            return held.drop("__rank", "__prio")
-        left = cut(left.join(refused, [*keys, "inv_id", "pay_id"], "left_anti"))
-    raise RuntimeError("the assignment did not settle")
+    ranked = F.row_number().over(W.partitionBy(*keys, "inv_id").orderBy(*rank))
+    prio = F.struct(*[x.alias(f"p{i}") for i, x in enumerate(priority)])
+    c = cut(candidates.withColumns({"__rank": ranked, "__prio": prio}))
+    claim, paid = [*keys, "inv_id"], [*keys, "pay_id"]
+    left, taken = c.select(*keys, "inv_id", "pay_id", "__rank", "__prio"), None
+    n = left.count()
+    while n:
+        if n <= few:
+            best = cut(_in_order(left, list(keys)))
+        else:
+            # what a payment's first claim is, and whether that payment is the claim's best
+            firsts = left.groupBy(*paid).agg(F.min_by("inv_id", "__prio").alias("inv_id"))
+            best = cut(left.groupBy(*claim).agg(F.min_by("pay_id", "__rank").alias("pay_id")).join(firsts, [*claim, "pay_id"], "left_semi"))
+        taken = best if taken is None else taken.unionByName(best)
+        if n <= few:
+            break
+        left = cut(left.join(best.select(*claim), claim, "left_anti").join(best.select(*paid), paid, "left_anti"))
+        before, n = n, left.count()
+        if before - n < before // 100:
+            few = n
+    if taken is None:
+        return candidates.limit(0)
+    return c.join(taken, [*claim, "pay_id"], "left_semi").drop("__rank", "__prio").select(*candidates.columns)
+
+
+def _in_order(left: DataFrame, keys: list[str]) -> DataFrame:
+    """The open claims in order of priority, each with its best free payment; rows stream through one task."""
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "inv_id", "pay_id"])
+
+    def run(batches):
+        used, done = set(), set()
+        for b in batches:
+            out = []
+            for row in zip(*(b[k] for k in [*keys, "inv_id", "pay_id"])):
+                key, inv, pay = row[:-2], row[-2], row[-1]
+                if (key, inv) not in done and (key, pay) not in used:
+                    done.add((key, inv))
+                    used.add((key, pay))
+                    out.append(row)
+            yield b.head(0)[[*keys, "inv_id", "pay_id"]] if not out else type(b)(out, columns=[*keys, "inv_id", "pay_id"])
+
+    return left.orderBy("__prio", *keys, "inv_id", "__rank").coalesce(1).select(*keys, "inv_id", "pay_id").mapInPandas(run, schema)
 
 
 # ---------------------------------------------------------------- rides, windows
@@ -105,7 +150,7 @@ def ride_best_payment(rides: DataFrame, pay: DataFrame, keys: list[str], toleran
     exact = F.abs(off) <= tolerance
     extra = (off > 0) & (off <= F.col("ride_amount")) & F.datediff("pay_time", "ride_time").isin(0, 1)
     c = c.withColumn("tier", F.when(exact, 0).when(extra, 1)).filter("tier is not null").withColumn("amount_diff", F.abs(off))
-    return first_by(c, [*keys, "ride_id"], F.asc("tier"), F.asc("hours_after"), F.asc("amount_diff"), F.asc("pay_pos"))
+    return least_by(c, [*keys, "ride_id"], F.col("tier"), F.col("hours_after"), F.col("amount_diff"), F.col("pay_pos"))
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, left_id: str, right_id: str) -> DataFrame:

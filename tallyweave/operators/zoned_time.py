@@ -406,7 +406,7 @@ def convert(values: pd.Series, zone: pd.Series, order: pd.Series, received: pd.S
     return pd.Series(pd.array(out, "Int64")).mask(pd.Series(~there))
 
 
-WALLS = "array<struct<lo: bigint, hi: bigint, off: int>>"
+WALLS = "array<struct<lo: string, hi: string, off: int>>"
 YEARS_BACK = 4
 
 
@@ -416,23 +416,29 @@ def zone_tables(batches: DataFrame) -> tuple[str, dict]:
     return tz_version(), {z: t for z in names if (t := transitions(z))}
 
 
-def with_walls(batches: DataFrame) -> DataFrame:
-    """Adds ``walls``: the spans of single instants in the batch's zone from some years before to a year after it."""
+def _written(local: int) -> str:
+    """A wall-clock second in the commonest writing, which sorts like the time; full minutes without seconds."""
+    return (EPOCH + dt.timedelta(seconds=local)).strftime("%Y-%m-%d %H:%M:%S").removesuffix(":00")
+
 
-    @F.pandas_udf(WALLS)
-    def spans(zone: pd.Series, received: pd.Series) -> pd.Series:
-        one = lru_cache(maxsize=10_000)(lambda z, y: walls(z, dt.date(y - YEARS_BACK, 1, 1), dt.date(y + 2, 1, 1)))
-        return pd.Series([[{"lo": a, "hi": b, "off": o} for a, b, o in one(z, d.year)] if z and d is not None and 1975 < d.year < 2090 else None for z, d in zip(zone, received)])
+def with_walls(batches: DataFrame) -> DataFrame:
+    """Adds ``walls``: the spans of single instants in the batch's zone from some years before to a year after it.
 
-    return batches.withColumn("walls", spans("zone_name", "received_on"))
+    There are at most as many kinds of spans as zones times years, so they are made on the driver and broadcast.
+    """
+    spark, year = batches.sparkSession, F.year("received_on")
+    kinds = [tuple(r) for r in batches.select("zone_name", year).distinct().collect()]
+    spans = [(z, y, [(_written(a), _written(b), o) for a, b, o in walls(z, dt.date(y - YEARS_BACK, 1, 1), dt.date(y + 2, 1, 1))]) for z, y in kinds if z and y and 1975 < y < 2090]
+    known = spark.createDataFrame([x for x in spans if x[2]], f"__zone string, __year int, walls {WALLS}")
+    return batches.join(F.broadcast(known), (F.col("zone_name") == F.col("__zone")) & (year == F.col("__year")), "left").drop("__zone", "__year")
 
 
 def plain_seconds(value: Column, spans: Column) -> Column:
     """UTC seconds of a value in the commonest writing, by the spans; NULL for all others, -1 for no single instant."""
-    local = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.when(value.rlike(PLAIN), value).try_cast("timestamp_ntz"))
-    hit = F.get(F.filter(spans, lambda x: (local >= x["lo"]) & (local < x["hi"])), 0)["off"]
-    inside = (local >= F.get(spans, 0)["lo"]) & (local < F.element_at(spans, -1)["hi"])
-    return F.when(inside, F.coalesce(local - hit, F.lit(-1).cast("bigint")))
+    off = F.get(F.filter(spans, lambda x: (value >= x["lo"]) & (value < x["hi"])), 0)["off"]
+    inside = (value >= F.get(spans, 0)["lo"]) & (value < F.element_at(spans, -1)["hi"])
+    local = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value.try_cast("timestamp_ntz"))
+    return F.when(value.rlike(PLAIN) & inside, F.coalesce(local - off, F.lit(-1).cast("bigint")))
 
 
 def utc_seconds(spark: SparkSession, batches: DataFrame):
@@ -451,6 +457,7 @@ def utc_seconds(spark: SparkSession, batches: DataFrame):
         rest = lambda v: run(v, zone, order, days(received), days(base) if base is not None else F.lit(None).cast("int"))
         if base is not None or spans is None:
             return rest(value)
+        # what the spans told is sent as NULL, so Python has nothing to do for it
         fast = plain_seconds(value, spans)
         return F.coalesce(fast, rest(F.when(fast.isNull(), value)))
 

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir.
 
-    Where the session does not name one (local runs and tests) a temporary folder is used and set.
+    Where the session does not name one a local run (tests) uses a temporary folder and sets it; on a
+    cluster, whose machines could not read such a folder, that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         kept = spark.sparkContext.getCheckpointDir()
+        if not kept and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = kept or "file://" + os.path.join(tempfile.gettempdir(), "tallyweave-" + uuid.uuid4().hex[:12])
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -36,3 +40,10 @@ def cut(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut() with the number of rows written, which is observed while writing and needs no job of its own."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
