@@ -6,8 +6,10 @@ insertions, deletions, substitutions and transpositions of neighbours count one.
 to its core readings (width, blanks, endings such as stations, airports and districts); the triangle
 inequality prunes the search, which returns every writing within the threshold; the nearest entry wins.
 
-The reference is broadcast up to ``BROADCAST_ROWS`` entries; beyond that it is split into shards, each
-value is searched in every shard, and the shard winners are merged by (distance, reading, entry).
+The search is a fixed sequence of probes (readings from the nearest to the loosest), and the first probe that
+decides gives the answer. The reference is broadcast up to ``BROADCAST_ROWS`` entries; beyond that it is
+split into shards, each value makes all its probes in every shard, and the shards' hits are merged probe by probe, so
+the answer is the same.
 
 Defined results: NULL and empty values are no cases; a value that fits no entry, or several equally well
 after a correction, gets -1; exact ties of equal names take the smallest id. Repeated values are searched
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.tables import table
+from tallyweave.tables import cut, table
 
 BROADCAST_ROWS = 50_000
 # Traditional and variant forms of characters in place names, and their usual forms.
@@ -111,8 +113,11 @@ def squeezed(text: str) -> str:
     return re.sub(r"[\s'\-]", "", text)
 
 
+HIT, STOP = 0, 1
+
+
 class Gazetteer:
-    """The writings of the reference entries and the search among them."""
+    """The writings of the reference entries, or of a shard of them, and the search among them."""
 
     def __init__(self, rows: list[tuple[int, str, str, str | None, str | None, str | None]]):
         self.han: dict[str, set[int]] = {}
@@ -139,80 +144,85 @@ class Gazetteer:
         self.tree = {"han": BKTree(sorted(self.han)), "latin": BKTree(sorted(self.latin))}
         self.province_trees = {p: BKTree(sorted(f)) for p, f in self.inside.items()}
         self.longest = max(map(len, self.han), default=0)
-
-    def find(self, value: str) -> tuple[int, int, int]:
-        """(distance, rank of the reading that matched, place_id), (99, 99, -1) if none fits.
-
-        The rank says in which order readings count, so that winners of several shards can be compared.
+        self.longest_province = max(map(len, self.provinces), default=0)
+
+    def find(self, value: str) -> int:
+        """The entry that a value means, -1 if none fits: the first probe that decides."""
+        for _, kind, got in self.probes(value):
+            if kind == STOP:
+                if got[0] and not got[1]:
+                    return -1
+            elif got[0] == 0 or got[1] == got[2]:
+                return got[1]
+        return -1
+
+    def probes(self, value: str) -> Iterator[tuple[list[int], int, tuple[int, int, int]]]:
+        """(place in the sequence, kind, result) of the probes that hit something, in their order.
+
+        HIT: (distance, smallest, largest entry) of the nearest; several after a correction decide nothing.
+        STOP: (whether the province has entries, whether an entry forbids the stop, 0): a spot of a province, no city.
         """
         text = plain(value)
-        if not text:
-            return 99, 99, -1
-        return self._han(squeezed(text) if HAN.search(text) else text, text) if HAN.search(text) else self._latin(text)
-
-    def _nearest(self, tree: BKTree, ids: dict[str, set[int]], word: str, most: int, step: int) -> tuple[int, int, int] | None:
-        hits = tree.within(word, most)
-        if not hits:
-            return None
-        best = {i for e, w in hits if e == hits[0][0] for i in ids[w]}
-        if hits[0][0] and len(best) > 1:
-            return None
-        return hits[0][0], step, min(best)
-
-    def _latin(self, text: str) -> tuple[int, int, int]:
-        readings, step = [text], 0
+        if text:
+            yield from self._han(squeezed(text), text) if HAN.search(text) else self._latin(text)
+
+    @staticmethod
+    def _nearest(place: list[int], tree: BKTree, ids: dict[str, set[int]], word: str, most: int) -> Iterator[tuple[list[int], int, tuple[int, int, int]]]:
+        hits = tree.within(word, most) if most else [(0, word)] * (word in ids)
+        if hits:
+            best = {i for e, w in hits if e == hits[0][0] for i in ids[w]}
+            yield place, HIT, (hits[0][0], min(best), max(best))
+
+    def _latin(self, text: str):
+        readings = [text]
         while (cut := LATIN_TAIL.sub("", readings[-1]).strip()) != readings[-1] and cut:
             readings.append(cut)
         for step, r in enumerate(readings):
             core = squeezed(r)
             if core in self.codes and r.isalpha():
-                return 0, step, min(self.codes[core])
-            if got := self._nearest(self.tree["latin"], self.latin, core, 0, step):
-                return got
+                yield [0, step, 0], HIT, (0, min(self.codes[core]), max(self.codes[core]))
+            yield from self._nearest([0, step, 1], self.tree["latin"], self.latin, core, 0)
         for step, r in enumerate(readings):
             core = squeezed(r)
             if len(core) >= 4 and core.isalpha():
-                if got := self._nearest(self.tree["latin"], self.latin, core, 1 if len(core) < 9 else 2, step):
-                    return got
-        return 99, 99, -1
+                yield from self._nearest([1, step], self.tree["latin"], self.latin, core, 1 if len(core) < 9 else 2)
 
-    def _han(self, text: str, spaced: str) -> tuple[int, int, int]:
+    def _han(self, text: str, spaced: str):
         readings = [text]
         for base in (squeezed(TAIL.sub("", spaced)), TAIL.sub("", text)):
             while base and base not in readings:
                 readings.append(base)
                 base = TAIL.sub("", base)
         for step, r in enumerate(readings):
-            if got := self._nearest(self.tree["han"], self.han, r, 0, step):
-                return got
+            yield from self._nearest([0, step], self.tree["han"], self.han, r, 0)
         for step, r in enumerate(readings):
-            for cut in range(min(len(r), 8), 1, -1):
-                if r[:cut] in self.provinces and len(r) > cut:
-                    province, rest = self.provinces[r[:cut]], r[cut:]
-                    ids = self.inside.get(province, {})
-                    if not ids:
-                        continue
-                    tree = self.province_trees[province]
-                    if got := self._nearest(tree, ids, rest, 0, 1000 + step) or self._prefix(tree, ids, rest, 1000 + step):
-                        return got
-                    if len(rest) > 2 and rest.endswith(CITY_ENDS) and (got := self._nearest(tree, ids, rest, 1, 1000 + step)):
-                        return got
-                    if r[:cut].endswith(PROVINCE_ENDS) and SPOT.match(rest) and not self._prefix(self.tree["han"], self.han, r, step):
-                        return 99, 99, -1
+            for cut in range(min(len(r) - 1, self.longest_province), 1, -1):
+                if r[:cut] not in self.provinces:
+                    continue
+                rest, at = r[cut:], [1, step, -cut]
+                ids = self.inside.get(self.provinces[r[:cut]], {})
+                if ids:
+                    tree = self.province_trees[self.provinces[r[:cut]]]
+                    yield from self._nearest([*at, 0], tree, ids, rest, 0)
+                    yield from self._prefix([*at, 1], tree, ids, rest)
+                    if len(rest) > 2 and rest.endswith(CITY_ENDS):
+                        yield from self._nearest([*at, 2], tree, ids, rest, 1)
+                if r[:cut].endswith(PROVINCE_ENDS) and SPOT.match(rest):
+                    yield [*at, 3], STOP, (int(bool(ids)), int(next(self._prefix([], self.tree["han"], self.han, r), None) is not None), 0)
         for step, r in enumerate(readings):
-            if got := self._prefix(self.tree["han"], self.han, r, 5000 + step):
-                return got
+            yield from self._prefix([2, step], self.tree["han"], self.han, r)
         for step, r in enumerate(readings):
-            if len(r) > 2 and (got := self._nearest(self.tree["han"], self.han, r, 1, 9000 + step)):
-                return got
-        return 99, 99, -1
+            if len(r) > 2:
+                yield from self._nearest([3, step], self.tree["han"], self.han, r, 1)
 
-    def _prefix(self, tree: BKTree, ids: dict[str, set[int]], text: str, step: int) -> tuple[int, int, int] | None:
-        """The longest entry that the value begins with, if a place of that city follows."""
+    def _prefix(self, place: list[int], tree: BKTree, ids: dict[str, set[int]], text: str):
+        """The entries that the value begins with, longest first, if a place of that city follows."""
         for cut in range(min(len(text) - 1, self.longest), 1, -1):
-            if SPOT.match(text[cut:]) and (got := self._nearest(tree, ids, text[:cut], 0, step + 10 * (99 - min(cut, 99)))):
-                return got
-        return None
+            if text[:cut] in ids and SPOT.match(text[cut:]):
+                yield from self._nearest([*place, -cut], tree, ids, text[:cut], 0)
+
+
+VALUES = 20_000  # distinct values that one task searches in a shard
 
 
 def match(values: DataFrame, col: str, reference: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -226,7 +236,7 @@ def match(values: DataFrame, col: str, reference: DataFrame, broadcast_rows: int
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             places = Gazetteer(shared.value)
             for b in batches:
-                b["place_id"] = [places.find(v)[2] for v in b[col]]
+                b["place_id"] = [places.find(v) for v in b[col]]
                 yield b
 
         return distinct.mapInPandas(run, f"`{col}` string, place_id int")
@@ -234,26 +244,30 @@ def match(values: DataFrame, col: str, reference: DataFrame, broadcast_rows: int
 
 
 def _sharded(distinct: DataFrame, col: str, reference: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Each shard of the reference becomes one row; values meet every shard, and the shard winners merge."""
+    """Each shard of the reference becomes one row; values meet every shard, and their probes' hits are merged."""
     shards = -(-reference.count() // max(1, broadcast_rows // 2))
+    distinct = cut(distinct.filter(F.col(col).isNotNull()))
+    blocks = max(1, -(-distinct.count() // VALUES))
     names = reference.columns
     own = reference.filter(F.coalesce(F.col("kind") != "province", F.lit(True))).withColumn("shard", F.pmod(F.xxhash64("place_id"), F.lit(shards)).cast("int"))
     # values name provinces in front of cities, so every shard knows all provinces, which are few
     every = reference.filter("kind = 'province'").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     packed = own.unionByName(every).groupBy("shard").agg(F.collect_list(F.struct(*names)).alias("rows"))
-    blocks = distinct.withColumn("block", F.pmod(F.xxhash64(col), F.lit(16)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    left = distinct.withColumn("block", F.pmod(F.xxhash64(col), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         places = Gazetteer([tuple(r[c] for c in names) for rows in right["rows"] for r in rows])
-        found = [places.find(v) for v in left[col]]
-        return pd.DataFrame({col: left[col], "e": [f[0] for f in found], "step": [f[1] for f in found], "place_id": [f[2] for f in found]})
+        found = [(v, place, kind, *got) for v in left[col] for place, kind, got in places.probes(v)]
+        return pd.DataFrame(found, columns=[col, "place", "kind", "e", "lo", "hi"])
 
-    salted = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    winners = blocks.groupBy("shard", "block").cogroup(salted.groupBy("shard", "block")).applyInPandas(run, f"`{col}` string, e int, step int, place_id int")
-    first, last = F.min(F.struct("e", "step", "place_id")), F.min(F.struct("e", "step", (-F.col("place_id")).alias("minus")))
-    merged = winners.groupBy(col).agg(first.alias("a"), last.alias("b"))
-    unsure = (F.col("a.e") > 0) & (F.col("a.e") < 99) & (F.col("a.place_id") != -F.col("b.minus"))  # corrections that lead to several entries
-    return merged.select(col, F.when(unsure, F.lit(-1)).otherwise(F.col("a.place_id")).alias("place_id"))
+    hits = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, f"`{col}` string, place array<int>, kind int, e int, lo int, hi int")
+    near, far = F.min(F.struct("e", "lo")).alias("a"), F.min(F.struct("e", (-F.col("hi")).alias("hi"))).alias("b")
+    merged = hits.groupBy(col, "place", "kind").agg(near, far, F.max("e").alias("inside"), F.max("lo").alias("forbidden"))
+    stop = F.when((F.col("inside") == 1) & (F.col("forbidden") == 0), F.lit(-1))
+    decided = F.when(F.col("kind") == STOP, stop).otherwise(F.when((F.col("a.e") == 0) | (F.col("a.lo") == -F.col("b.hi")), F.col("a.lo")))
+    first = merged.withColumn("place_id", decided).filter("place_id is not null").groupBy(col).agg(F.min_by("place_id", "place").alias("place_id"))
+    return distinct.join(first, col, "left").select(col, F.coalesce("place_id", F.lit(-1)).alias("place_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,5 +283,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(regions.select(*field("hotel_standard.region", F.col("entry_id"), F.col("at"), F.col("item"))))
         .filter(F.col("value") != "")
     )
-    rows = rows.join(F.broadcast(ref.select(F.col("name").alias("value")).distinct()), "value", "left_anti")
+    rows = rows.join(ref.select(F.col("name").alias("value")).distinct(), "value", "left_anti")
     return rows.join(match(rows, "value", ref), "value").select("field", "rec_id", "item_index", "place_id")

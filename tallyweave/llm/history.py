@@ -518,10 +518,11 @@ def same_rows(records: DataFrame, partition_rows: int = 40_000) -> DataFrame:
     it is read several times and so should be a written table.
     """
     keyed = _keyed(records)
-    n = max(1, -(-2 * records.count() // partition_rows))
-    hot = cut(hot_keys(keyed))
+    rows = records.count()
+    n = max(1, -(-2 * rows // partition_rows))
+    hot = cut(hot_keys(keyed)) if rows > HOT else None  # a key can't have more rows than there are
     copies = None
-    if not hot.isEmpty():
+    if hot is not None and not hot.isEmpty():
         # rows of a hot key that are alike in all that is compared are collapsed to their first row
         hot = F.broadcast(hot.select("key"))  # at most all rows / HOT keys
         alike = [c for c in KEYED if c != "seq"]

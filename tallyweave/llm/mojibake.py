@@ -4,8 +4,8 @@ A value that was decoded with the wrong encoding still holds the bytes of the or
 a wrong and a right encoding the characters are mapped back to legacy bytes, a byte-structure automaton
 finds the maximal well-formed multibyte spans, and only those spans are decoded; everything else stays.
 The reading is accepted if it is clearly more usual than the value as it stands, by the log frequency of
-characters over all distinct values of the data (counts of all rows, no sample). Values garbled twice are
-decoded twice.
+characters over all distinct values of the data (counts of all rows, no sample). Values garbled several times are
+decoded until no reading is better.
 
 Defined results: NULL and empty values are no cases. A value that lost characters (U+FFFD, ``?`` or stray
 bytes beside a garbled span) gives the empty string. Repeated values are decoded once and reported for
@@ -30,21 +30,24 @@ from tallyweave.tables import table
 # Encodings a text may wrongly have been decoded with: one byte a character, then several.
 SINGLE = ("latin-1", "cp1252", "cp437", "cp850", "cp866", "koi8-r", "cp1251", "mac-roman", "cp1250", "cp1254", "iso8859-15")
 MULTI = ("gb18030", "big5", "cp932", "cp949", "euc-jp")
-RIGHT = ("utf-8", "gb18030", "cp932", "cp949", "big5")
+RIGHT = ("utf-8", "gb18030", "cp932", "cp949", "big5", "euc-jp")
+# Pairs that are common; any other pair must explain every character above ASCII by characters that several values have.
+USUAL_PAIRS = {(w, r) for w in SINGLE + MULTI for r in ("utf-8", "gb18030")} | {(w, r) for w in ("latin-1", "cp1252") for r in RIGHT}
 _UTF8 = rb"(?:[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})+"
 # Byte-structure automata: maximal runs of well-formed multibyte characters.
 AUTOMATA = {
     "utf-8": re.compile(_UTF8),
-    "gb18030": re.compile(rb"(?:[\x81-\xFE][\x40-\x7E\x80-\xFE])+"),
+    "gb18030": re.compile(rb"(?:[\x81-\xFE][0-9][\x81-\xFE][0-9]|[\x81-\xFE][\x40-\x7E\x80-\xFE])+"),
     "cp932": re.compile(rb"(?:[\x81-\x9F\xE0-\xFC][\x40-\x7E\x80-\xFC]|[\xA1-\xDF])+"),
     "cp949": re.compile(rb"(?:[\x81-\xFE][\x41-\x5A\x61-\x7A\x81-\xFE])+"),
     "big5": re.compile(rb"(?:[\x81-\xFE][\x40-\x7E\xA1-\xFE])+"),
+    "euc-jp": re.compile(rb"(?:[\xA1-\xFE]{2}|\x8E[\xA1-\xDF]|\x8F[\xA1-\xFE]{2})+"),
 }
 LOST = "\ufffd"
 # Question marks in place of letters: a run of them, or one inside a word.
 LOST_ASCII = re.compile(r"\?\?|\?[A-Za-z]")
 HIGH = re.compile(r"[^\x00-\x7f]+")
-HIGH_AND_TRAIL = re.compile(r"(?:[^\x00-\x7f][@-~]?)+")
+HIGH_AND_TRAIL = re.compile(r"(?:[^\x00-\x7f][0-9@-~]?)+")
 
 
 @lru_cache(maxsize=None)
@@ -62,7 +65,13 @@ def _single_table(name: str) -> tuple[dict[int, int], re.Pattern]:
     for b in range(128, 160):
         out.setdefault(b, b)
     high = "".join(re.escape(chr(c)) for c in out if c > 127)
-    return out, re.compile(f"(?:[{high}][@-~]?)+")
+    return out, re.compile(f"(?:[{high}][0-9@-~]?)+")
+
+
+@lru_cache(maxsize=1)
+def _any_single() -> re.Pattern:
+    """A character above ASCII that some one-byte encoding has."""
+    return re.compile("[" + "".join(sorted({re.escape(chr(c)) for w in SINGLE for c in _single_table(w)[0] if c > 127})) + "]")
 
 
 def _pieces(text: str, wrong: str, trail: bool) -> Iterator[tuple[int, int, bytes, list[int] | None]]:
@@ -112,21 +121,27 @@ def _starts(run: bytes, a: int, b: int, right: str) -> list[int]:
     out, k = [], a
     while k < b:
         out.append(k)
-        k += 1 if run[k] < 0x80 or (right == "cp932" and 0xA1 <= run[k] <= 0xDF) else 2
+        if run[k] < 0x80 or (right == "cp932" and 0xA1 <= run[k] <= 0xDF):
+            k += 1
+        elif right == "gb18030" and k + 1 < b and 0x30 <= run[k + 1] <= 0x39:
+            k += 4
+        else:
+            k += 3 if right == "euc-jp" and run[k] == 0x8F else 2
     return [*out, b]
 
 
-def decode_spans(text: str, wrong: str, right: str, fine: frozenset | set = frozenset()) -> tuple[str, int, bool] | None:
+def decode_spans(text: str, wrong: str, right: str, fine: frozenset | set = frozenset(), pieces: list | None = None) -> tuple[str, int, bool] | None:
     """(reading, characters decoded, whether stray bytes remain beside the spans); None if there is no span.
 
-    ``fine`` are characters that are usual as they stand and so no strays.
+    ``fine`` are characters that are usual as they stand and so no strays; ``pieces``: what _pieces() gave, if known.
     """
     strays = lambda part: any(not (c.isascii() or c in fine) for c in part)
     out, decoded, stray, last = [], 0, False, 0
-    for i, j, run, at in _pieces(text, wrong, right != "utf-8"):
+    for i, j, run, at in _pieces(text, wrong, right != "utf-8") if pieces is None else pieces:
+        spans = AUTOMATA[right].finditer(run)
         index = {b: i + k for k, b in enumerate(at)} if at else None
         pos = i
-        for m in AUTOMATA[right].finditer(run):
+        for m in spans:
             a, b = m.start(), m.end()
             if index is not None:  # the span must begin and end between characters of both readings
                 cuts = [k for k in _starts(run, a, b, right) if k in index]
@@ -142,7 +157,7 @@ def decode_spans(text: str, wrong: str, right: str, fine: frozenset | set = froz
                 continue
             stray |= strays(text[pos:x])
             out += [text[last:x], new]
-            decoded += y - x
+            decoded += sum(not c.isascii() for c in text[x:y])
             last = pos = y
         if pos > i:
             stray |= strays(text[pos:j])
@@ -160,6 +175,7 @@ class Usual:
         self.counts = counts
         self.common = {c for c, n in counts.items() if n >= 0.003 * total and c.isalpha() and c > "\u2e80"} | {chr(c) for c in range(128)} | set("（）·")
         self.floor = math.log(0.3 / self.total)
+        self.costs: dict[str, float] = {}
 
     def seen(self, text: str) -> bool:
         """Whether every character is European, or East Asian and in several values."""
@@ -185,20 +201,42 @@ class Usual:
         return log
 
     def sum(self, text: str) -> float:
-        return sum(map(self.cost, text))
+        known, out = self.costs, 0.0
+        for c in text:
+            x = known.get(c)
+            if x is None:
+                x = known[c] = self.cost(c)
+            out += x
+        return out
 
 
 def _once(text: str, usual: Usual, gain: float) -> tuple[str, bool] | None:
     best, best_score, seen = None, usual.sum(text) + gain, set()
     cut = "?" in text or LOST in text
     high = sum(not c.isascii() for c in text)
+    wrongs = (SINGLE if _any_single().search(text) else ()) + MULTI
+    odd = usual.rare(text) >= 0.5
+    found: dict[tuple[str, bool], list] = {}
     for right in RIGHT:
-        for wrong in SINGLE + MULTI:
-            if wrong == right or (right not in ("utf-8", "gb18030") and wrong not in ("latin-1", "cp1252")):
+        done: set[tuple] = set()
+        for wrong in wrongs:
+            common = (wrong, right) in USUAL_PAIRS
+            if wrong == right or not (common or odd):
+                continue
+            trail = right != "utf-8"
+            kind = (wrong, trail if wrong in MULTI else True)
+            if kind not in found:
+                found[kind] = list(_pieces(text, *kind))
+            pieces = found[kind]
+            same = tuple((i, run) for i, _, run, _ in pieces)
+            if not pieces or same in done:  # many encodings agree on a text's bytes
                 continue
-            got = decode_spans(text, wrong, right, usual.common)
+            done.add(same)
+            got = decode_spans(text, wrong, right, usual.common, pieces)
             if got is None or got[0] == text or got[0] in seen:
                 continue
+            if not common and (got[2] or cut or high < 2 or got[1] < high or not usual.seen(got[0])):
+                continue
             seen.add(got[0])
             if not got[2] and not cut and got[1] >= high and (right == "utf-8" or best is None) and usual.plain(got[0]):
                 return got[0], False  # all of it decoded, to usual characters only: no other reading can be better
@@ -228,10 +266,7 @@ def restore(text: str, usual: Usual, trusted: frozenset | set = frozenset(), gai
     if text.isascii():
         return "" if LOST_ASCII.search(text) else None
     best, stray = None, False
-    for _ in range(3):
-        got = _once(best or text, usual, gain)
-        if got is None:
-            break
+    while (got := _once(best or text, usual, gain)) is not None:  # each pass is more usual than the one before, so they end
         best, stray = got[0], stray or got[1]
         if reading(best) in trusted:
             break

@@ -141,6 +141,31 @@ def test_round_trips():
     assert mojibake.restore("松寨市" + "羊河票务".encode().decode("latin-1"), usual) == "松寨市羊河票务"
     assert mojibake.restore("山林��店", usual) == "" and mojibake.restore("山林大酒店", usual) is None and mojibake.restore("Café Bruyon", usual, {"Café Bruyon"}) is None
     assert mojibake.restore("", usual) is None and mojibake.restore("Where To? Tours", usual) is None
+    four = "㐀山林大酒店"  # its first character has four bytes in GB18030
+    assert mojibake.restore(four.encode("gb18030").decode("latin-1"), mojibake.Usual(counts | {"㐀": 9}, len(pool))) == four
+    again = "山林大酒店"
+    for _ in range(5):
+        again = again.encode().decode("cp1252", "replace") if "\x81" in again else again.encode().decode("latin-1")
+    assert mojibake.restore(again, usual) == "山林大酒店"
+
+
+@pytest.mark.parametrize("right", ["big5", "cp949", "cp932", "euc-jp", "gb18030"])
+def test_every_pair_of_encodings(right):
+    names = ["山林大酒店", "大山公司本店", "高中大人天地", "小人日月山水"]
+    counts = {c: 40 for n in names for c in n}
+    usual = mojibake.Usual(counts, 200)
+    done = ok = 0
+    for name in names:
+        for wrong in ("cp437", "koi8-r", "cp1251", "cp866", "latin-1", "mac-roman", "big5", "gb18030"):
+            try:
+                bad = name.encode(right).decode(wrong)
+            except UnicodeError:
+                continue
+            if wrong != right:
+                done += 1
+                ok += mojibake.restore(bad, usual) == name
+    assert done > 8 and ok >= 0.8 * done
+    assert mojibake.restore("Τea-Break Kiosk 24", usual) is None and mojibake.restore("Cоpper Spoon", usual) is None
 
 
 # ---------------------------------------------------------------- look-alikes
@@ -201,6 +226,21 @@ def test_places(spark):
         assert got == want, limit
 
 
+def test_sharded_gazetteer_equals_one_tree(spark):
+    rng = random.Random(8)
+    ends = ["市", "县", "", "州"]
+    provinces = [(k, x + "省", "province", None, None, None) for k, x in enumerate(["江苏", "江西", "云", "云南"])]
+    cities = [(10 + k, "".join(rng.choice("苏州洲南京云江") for _ in range(rng.randint(1, 3))) + rng.choice(ends), "city", rng.choice(provinces)[1], f"Latin{rng.choice('abc')}{k % 7}", None) for k in range(40)]
+    kind = "place_id int, name string, kind string, province string, latin_name string, code string"
+    ref = spark.createDataFrame(provinces + cities, kind)
+    words = ["".join(rng.choice(["江苏省", "云", "云南省", "苏", "州", "洲", "南", "京", "机场", "东站", "市", "县"]) for _ in range(rng.randint(1, 4))) for _ in range(600)] + ["Latina1", "latinb", "Latinc3 airport", "江苏省苏洲县", "云" * 3000]
+    values = spark.createDataFrame([(w,) for w in set(words)], "value string")
+    one = {r["value"]: r["place_id"] for r in gazetteer.match(values, "value", ref).collect()}
+    for limit in (20, 4):
+        assert {r["value"]: r["place_id"] for r in gazetteer.match(values, "value", ref, limit).collect()} == one
+    assert len(set(one.values())) > 10
+
+
 # ---------------------------------------------------------------- packing and mixing
 
 
