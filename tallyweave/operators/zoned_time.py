@@ -408,6 +408,7 @@ def convert(values: pd.Series, zone: pd.Series, order: pd.Series, received: pd.S
 
 WALLS = "array<struct<lo: string, hi: string, off: int>>"
 YEARS_BACK = 4
+BROADCAST_BATCHES = 100_000  # of some hundred bytes each
 
 
 def zone_tables(batches: DataFrame) -> tuple[str, dict]:
@@ -424,13 +425,15 @@ def _written(local: int) -> str:
 def with_walls(batches: DataFrame) -> DataFrame:
     """Adds ``walls``: the spans of single instants in the batch's zone from some years before to a year after it.
 
-    There are at most as many kinds of spans as zones times years, so they are made on the driver and broadcast.
+    There are at most as many kinds of spans as zones times years, so they are made on the driver and broadcast. The
+    batches are to be broadcast too, up to BROADCAST_BATCHES counted ones; beyond that their joins shuffle.
     """
     spark, year = batches.sparkSession, F.year("received_on")
-    kinds = [tuple(r) for r in batches.select("zone_name", year).distinct().collect()]
-    spans = [(z, y, [(_written(a), _written(b), o) for a, b, o in walls(z, dt.date(y - YEARS_BACK, 1, 1), dt.date(y + 2, 1, 1))]) for z, y in kinds if z and y and 1975 < y < 2090]
+    kinds = [tuple(r) for r in batches.groupBy("zone_name", year).count().collect()]
+    spans = [(z, y, [(_written(a), _written(b), o) for a, b, o in walls(z, dt.date(y - YEARS_BACK, 1, 1), dt.date(y + 2, 1, 1))]) for z, y, _ in kinds if z and y and 1975 < y < 2090]
     known = spark.createDataFrame([x for x in spans if x[2]], f"__zone string, __year int, walls {WALLS}")
-    return batches.join(F.broadcast(known), (F.col("zone_name") == F.col("__zone")) & (year == F.col("__year")), "left").drop("__zone", "__year")
+    out = batches.join(F.broadcast(known), (F.col("zone_name") == F.col("__zone")) & (year == F.col("__year")), "left").drop("__zone", "__year")
+    return F.broadcast(out) if sum(n for _, _, n in kinds) <= BROADCAST_BATCHES else out
 
 
 def plain_seconds(value: Column, spans: Column) -> Column:
