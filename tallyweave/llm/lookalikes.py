@@ -108,6 +108,17 @@ def affected(col: Column) -> Column:
     return col.rlike(f"[^\\x20-\\x7e\\x{{4e00}}-\\x{{9fff}}\u00b7]|[{rows}]|  ")
 
 
+def plain_twins(names: list[str]) -> str:
+    """Plain characters that look like a character of the names: written with them a name is no longer affected()."""
+    folded = [parts_of(c) for c in set("".join(names))]
+    return "".join(sorted({p for c, x in zip(set("".join(names)), folded) if x != c and not any(map(unicodedata.combining, x)) for p in x if p != " "}))
+
+
+def any_of(col: Column, chars: str) -> Column:
+    """Whether a text has one of the characters."""
+    return F.translate(col, chars, "") != col if chars else F.lit(False)
+
+
 def text_id(col: str) -> list[Column]:
     """Two hashes, 96 bits, that stand for a text: a long text must not be carried by each of its characters."""
     return [F.xxhash64(col).alias("t1"), F.hash(col).alias("t2")]
@@ -141,7 +152,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = inv.select(*cols(NUMBER, "invoice_number")).filter(F.col("value").rlike(r"[^\x00-\x7f]"))
     # the agreed names are a fixed table; spelt right they are no case, however many rows have them
     known = known.select("name").distinct()
-    names = names.filter((F.col("value") != "") & affected(F.col("value"))).withColumn("bare", F.regexp_replace("value", r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
+    twins = plain_twins([r[0] for r in known.collect()])
+    names = names.filter((F.col("value") != "") & (affected(F.col("value")) | any_of(F.col("value"), twins))).withColumn("bare", F.regexp_replace("value", r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
     names = names.join(F.broadcast(known), F.col("bare") == F.col("name"), "left_anti").drop("bare")
     rows = names.unionByName(numbers)
     keys = known.select("name", *text_id("name")).join(one_form(known, "name"), ["t1", "t2"]).select("name", F.col("clean").alias("key"))

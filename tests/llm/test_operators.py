@@ -241,6 +241,10 @@ def test_sharded_gazetteer_equals_one_tree(spark):
     assert len(set(one.values())) > 10
 
 
+def test_plain_twins():
+    assert lookalikes.plain_twins(["立峰面馆（渭湾店）", "Café ロ", "甲－乙"]) == "()-口"
+
+
 # ---------------------------------------------------------------- packing and mixing
 
 
