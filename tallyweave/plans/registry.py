@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyweave.functions import dates, text
+from tallyweave.functions import dates, fields, text
 from tallyweave.operators import assign, layout, matching, records, rejects, zoned_time
 from tallyweave.plans import views
 from tallyweave.streaming.arrivals import windowed_totals
@@ -309,32 +309,30 @@ def q_extract_datetime(spark, sf_dir):
     return table(spark, sf_dir, "payment").select("id", dates.extract_datetime(F.col("transaction_time")).alias("found"))
 
 
-@query("""select doc_id, coalesce(case when regexp_matches(text, '(?:发票号码|No)[：:]\\s*(\\d+)') then regexp_extract(text, '(?:发票号码|No)[：:]\\s*(\\d+)', 1) end,
-case when regexp_matches(text, '发\\s*票\\s*号\\s*码[：:]?\\s*(\\d+)') then regexp_extract(text, '发\\s*票\\s*号\\s*码[：:]?\\s*(\\d+)', 1) end,
-case when regexp_matches(text, '(\\d{8,20})\\s*发票号码') then regexp_extract(text, '(\\d{8,20})\\s*发票号码', 1) end,
-case when regexp_matches(text, '(\\d{8,20})\\s*发\\s*票\\s*号\\s*码') then regexp_extract(text, '(\\d{8,20})\\s*发\\s*票\\s*号\\s*码', 1) end, '') as number from documents""")
+@query(f"select doc_id, {fields.number_sql()} as number from documents")
 def q_document_number(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.document_number(F.col("text")).alias("number"))
+    return table(spark, sf_dir, "documents").select("doc_id", fields.document_number(F.col("text")).alias("number"))
 
 
-_N = "list_max(list_filter(list_transform(regexp_extract_all({0}, '{1}', 1), lambda x: try_cast(replace(x, ',', '') as double)), lambda v: v > 0 and v < 1000000))"
-_F = "case when regexp_matches(text, '{0}') then try_cast(replace(regexp_extract(text, '{0}', 1), ',', '') as double) end"
-
-
-@query("select doc_id, coalesce(" + ", ".join([
-    _N.format("array_to_string(list_filter(string_split(text, chr(10)), lambda l: not regexp_matches(l, '(?:税额|税率|不含税).*[0-9].*价税合计')), chr(10))", r"([\d,]+\.\d{{2}})[^\S\n]*价税合计".replace("{{", "{").replace("}}", "}")),
-    _F.format(r"(?:价税合计|合计金额|总金额)[^¥￥]{0,20}[¥￥]\s*([\d,]+\.\d{2})"), _F.format(r"(?:价税合计|合计金额)[^0-9]{0,10}([\d,]+\.\d{2})"), _F.format(r"合计\s*([\d,]+\.\d{2})\s*元"),
-    _N.format(r"regexp_replace(text, '([^\p{L}\p{N}_.,])', '\1\1', 'g')", r"(?:^|[^\p{L}\p{N}_])([\d,]{1,7}\.\d{2})(?:$|[^\p{L}\p{N}_])"), _N.format("text", r"[￥¥]\s*([\d,]+\.?\d*)"),
-]) + ") as amount from documents")
+@query(f"select doc_id, {fields.amount_sql()} as amount from documents")
 def q_document_amount(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.document_amount(F.col("text")).alias("amount"))
+    return table(spark, sf_dir, "documents").select("doc_id", fields.document_amount(F.col("text")).alias("amount"))
 
 
-@query(r"""select doc_id, coalesce(case when regexp_matches(text, '\*(.+?)\*') then regexp_extract(text, '\*(.+?)\*', 1) end, '') as item,
- case when len(regexp_extract_all(text, '([一-龥（）()]{2,40}(?:股份有限公司|有限责任公司|有限公司|公司))', 1)) > 0 then list_extract(list_filter(regexp_extract_all(text, '([一-龥（）()]{2,40}(?:股份有限公司|有限责任公司|有限公司|公司))', 1), lambda x: length(x) >= 3), -1) end as company from documents""")
+@query(f"select doc_id, {fields.company_sql()} as company from documents")
 def q_document_names(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.coalesce(F.when(F.col("text").rlike(r"\*(.+?)\*"), F.regexp_extract("text", r"\*(.+?)\*", 1)), F.lit("")).alias("item"), text.company_name(F.col("text")).alias("company"))
+    return table(spark, sf_dir, "documents").select("doc_id", fields.company_name(F.col("text")).alias("company"))
+
+
+_SHEET = """select id, '货物或应税劳务：' || coalesce(item_name, '') || chr(10) || '发票号码：' || coalesce(invoice_number, '') || chr(10) || '价税合计（小写）¥' || printf('%.2f', amount) || chr(10) || '销售方 ' || coalesce(seller_name, '') as text from invoice where amount >= 0"""
+
+
+@query(f"with s as ({_SHEET}) select id, {fields.amount_sql()} as amount, {fields.number_sql()} as number, {fields.company_sql()} as company from s")
+def q_sheet_fields(spark, sf_dir):
+    """Every invoice written as a sheet, and its fields read back from the text."""
+    text_ = F.concat(F.lit("货物或应税劳务："), F.coalesce("item_name", F.lit("")), F.lit("\n发票号码："), F.coalesce("invoice_number", F.lit("")), F.lit("\n价税合计（小写）¥"), F.format_string("%.2f", "amount"), F.lit("\n销售方 "), F.coalesce("seller_name", F.lit("")))
+    sheets = table(spark, sf_dir, "invoice").filter("amount >= 0").select("id", text_.alias("text"))
+    return sheets.select("id", fields.document_amount(F.col("text")).alias("amount"), fields.document_number(F.col("text")).alias("number"), fields.company_name(F.col("text")).alias("company"))
 
 
 @query()

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyweave.functions.dates import serial_datetime
-from tallyweave.functions.text import discount_in_remark, refund_in_status
+from tallyweave.functions.fields import discount_in_remark, refund_in_status
 
 HEADER = ("交易时间", "金额")
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tallyweave.functions import text
+from tallyweave.functions import fields, text
 
 
 def one(spark, column):
@@ -25,13 +25,13 @@ def test_merchant(spark):
 
 
 def test_document_fields(spark):
-    amount = lambda t: one(spark, text.document_amount(F.lit(t)))
+    amount = lambda t: one(spark, fields.document_amount(F.lit(t)))
     assert amount("6.30价税合计(大写)") == 6.3 and amount("税额 143.10价税合计\n实际 2528.05价税合计") == 2528.05
     assert amount("价税合计（大写） ¥523.57") == 523.57 and amount("没有金额 2026") is None
-    assert one(spark, text.document_number(F.lit("发 票 号 码:32092584"))) == "32092584" and one(spark, text.document_number(F.lit("26512000001728418261发票号码"))) == "26512000001728418261"
+    assert one(spark, fields.document_number(F.lit("发 票 号 码:32092584"))) == "32092584" and one(spark, fields.document_number(F.lit("26512000001728418261发票号码"))) == "26512000001728418261"
     assert str(one(spark, text.document_date(F.lit("20年06月05日")))) == "2020-06-05" and one(spark, text.document_date(F.lit("2026-02-30"))) is None
-    assert one(spark, text.company_name(F.lit("购买方 甲有限公司 销售方 乙丙股份有限公司"))) == "乙丙股份有限公司"
-    assert one(spark, text.refund_in_status(F.lit("已退款(¥12.50)"))) == 12.5 and one(spark, text.discount_in_remark(F.lit("无"))) == 0.0
+    assert one(spark, fields.company_name(F.lit("购买方 甲有限公司 销售方 乙丙股份有限公司"))) == "乙丙股份有限公司"
+    assert one(spark, fields.refund_in_status(F.lit("已退款(¥12.50)"))) == 12.5 and one(spark, fields.discount_in_remark(F.lit("无"))) == 0.0
 
 
 def test_category(spark):
