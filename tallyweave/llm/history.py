@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -235,28 +236,36 @@ class Shards:
 # ---------------------------------------------------------------- numbers, names and the exact rerank
 
 
-def number_maps() -> tuple[str, str, str]:
-    """(characters, their ASCII readings, pattern of invisible characters) for written forms of numbers."""
-    a, b = [], []
-    for c in range(128, 0x1FBFA):
-        ch = chr(c)
-        if 0xD800 <= c <= 0xDFFF or 0x3400 <= c <= 0xD7FF:
-            continue
-        p = parts_of(ch)
-        if len(p) == 1 and p.isascii():
-            a.append(ch)
-            b.append(p)
-    gone = "".join(f"\\x{{{c:x}}}" for c in range(128, 0x10000) if not 0xD800 <= c <= 0xDFFF and invisible(chr(c)))
-    return "".join(a), "".join(b), f"[{gone}]"
+PREFIX = re.compile(r"^(?:NO\s*[.:]?\s*(?=\d)|№\s*|')", re.ASCII)
+FILLING = re.compile(r"[\s\-\x00-\x1f]|\.+\s*$", re.ASCII)
+PLAIN_NUMBER = "^[1-9][0-9]*$"
 
 
-def one_number(col: Column) -> Column:
+@lru_cache(maxsize=10_000)
+def _reads(ch: str) -> str:
+    """A character of a number in ASCII if it reads so, '' if it is invisible."""
+    if ch.isascii() or "㐀" <= ch <= "\ud7ff":
+        return ch
+    p = parts_of(ch)
+    return "" if invisible(ch) else p if len(p) == 1 and p.isascii() else ch
+
+
+def written_once(number: str) -> str:
     """A number in one writing: ASCII, upper case, no blanks, hyphens, prefixes, leading zeros or final stops."""
-    a, b, gone = number_maps()
-    x = F.upper(F.when(col.rlike(r"^[\x00-\x7f]*$"), col).otherwise(F.translate(F.regexp_replace(col, gone, ""), a, b)))
-    x = F.regexp_replace(F.trim(x), r"^(?:NO\s*[.:]?\s*(?=\d)|№\s*|')", "")
-    x = F.regexp_replace(x, r"[\s\-\x00-\x1f]|\.+\s*$", "")
-    return F.when(col.rlike("^[1-9][0-9]*$"), col).otherwise(F.regexp_replace(x, r"^0+(?=.)", ""))
+    x = (number if number.isascii() else "".join(map(_reads, number))).upper().strip(" ")
+    x = FILLING.sub("", PREFIX.sub("", x, count=1))
+    return x.lstrip("0") or x[-1:]
+
+
+def one_number(col: Column) -> Column:
+    """written_once(); a number of digits only stays in the JVM, the others go through Python in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def rest(numbers: pd.Series) -> pd.Series:
+        return numbers.map(written_once, na_action="ignore")
+
+    plain = col.rlike(PLAIN_NUMBER)
+    return F.coalesce(F.when(plain, col), rest(F.when(~plain, col)))
 
 
 CUT = re.compile(r"^(\d)\.?(\d*)E\+?(\d+)$")  # rounded by a spreadsheet
