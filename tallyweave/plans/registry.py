@@ -158,8 +158,9 @@ def q_greedy_batches(spark, sf_dir):
     local = F.when(F.col("sec") >= 0, F.timestamp_add("SECOND", shifted, F.lit("1970-01-01").cast("timestamp_ntz")))
     pay = pay.select(F.col("batch_id").alias("batch"), F.col("id").alias("pay_id"), local.alias("pay_time"), F.col("amount").alias("pay_amount"), (F.greatest("amount", F.lit(0.0)) + F.coalesce("discount", F.lit(0.0))).alias("pay_total"), F.col("merchant_name").alias("pay_merchant"), F.col("import_seq").alias("pay_pos"))
     inv = table(spark, sf_dir, "invoice")
-    times = F.transform("itineraries", lambda r: dates.parse_datetime(dates.extract_datetime(r["date_time"]), 2025).cast("string"))
-    inv = inv.select(F.col("batch_id").alias("batch"), F.col("id").alias("inv_id"), F.col("amount").alias("inv_amount"), F.col("date").alias("inv_date"), F.col("seller_name").alias("inv_seller"), "category", F.col("import_seq").alias("inv_pos"), times.alias("ride_times"), F.col("itineraries.amount").alias("ride_amounts"))
+    rides = F.transform("itineraries", lambda r: F.struct(dates.parse_datetime(dates.extract_datetime(r["date_time"]), 2025).alias("at"), r["amount"].alias("amount"), r["provider"].alias("provider")))
+    toll = dates.parse_datetime(dates.extract_datetime(F.col("toll_travel_time")), 2025)
+    inv = inv.select(F.col("batch_id").alias("batch"), F.col("id").alias("inv_id"), F.col("amount").alias("inv_amount"), F.col("date").alias("inv_date"), F.col("seller_name").alias("inv_seller"), "category", F.col("import_seq").alias("inv_pos"), rides.alias("rides"), "travel_date", toll.alias("toll_time"), F.col("hotel_detail.check_in").alias("check_in"))
     return assign.match_batches(inv, pay)
 
 

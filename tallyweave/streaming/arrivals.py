@@ -33,7 +33,7 @@ def store_new(spark: SparkSession, arriving: str, store: str, checkpoint: str, s
             names = [x.getPath().getName() for x in files.listStatus(folder)]
             if any(x.startswith("batch=") and x != f"batch={batch_no}" for x in names):
                 touched = [r[0] for r in first.select("bucket").distinct().collect()]  # BUCKETS numbers at most
-                known = s.read.schema(f"{schema}, batch int, bucket int").option("basePath", store).parquet(store).filter((F.col("batch") != batch_no) & F.col("bucket").isin(touched)).select(*first.columns)
+                known = s.read.schema(f"{schema}, batch int, bucket int").parquet(store).filter((F.col("batch") != batch_no) & F.col("bucket").isin(touched)).select(*first.columns)
         new_numbers(first, known, number).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_no}")
 
     stream = spark.readStream.schema(schema).parquet(arriving)

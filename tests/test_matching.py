@@ -56,25 +56,79 @@ def test_least_subset():
     assert sum(c[i] for i in assign.least_subset(c, 260)) == 260 and assign.least_subset([30, 15], 50) == [0, 1]
 
 
+def sec(text):
+    return None if text is None else int(pd.Timestamp(text).timestamp())
+
+
+def claim(inv_id, amount, date="2025-01-10", seller="", category="Meal", pos=1, rides=(), travel=None, toll=None, check_in=None):
+    at, amounts, who = ([list(x) for x in zip(*rides)] if rides else ([], [], []))
+    return ("b", inv_id, amount, sec(date) // 86_400, seller, category, pos, [sec(t) for t in at], amounts, who, None if travel is None else sec(travel) // 86_400, sec(toll), None if check_in is None else sec(check_in) // 86_400)
+
+
 def batch(inv, pay):
-    i = pd.DataFrame(inv, columns=["batch", "inv_id", "inv_amount", "inv_date", "inv_seller", "category", "inv_pos", "ride_times", "ride_amounts"])
-    p = pd.DataFrame(pay, columns=["batch", "pay_id", "pay_time", "pay_amount", "pay_total", "pay_merchant", "pay_pos"])
-    i["inv_date"], p["pay_time"] = pd.to_datetime(i["inv_date"]), pd.to_datetime(p["pay_time"])
-    return {r.inv_id: (list(r.pay_ids), r.kind) for r in assign.match_batch(i, p, 1.0).itertuples()}
+    i = pd.DataFrame(inv, columns=["batch", "inv_id", "inv_amount", "inv_date", "inv_seller", "category", "inv_pos", "ride_times", "ride_amounts", "ride_providers", "travel_day", "toll_at", "check_in"])
+    p = pd.DataFrame([("b", f"p{k}", sec(t), a, a, m, k) for k, (t, a, m) in enumerate(pay)], columns=["batch", "pay_id", "pay_time", "pay_amount", "pay_total", "pay_merchant", "pay_pos"])
+    return {r.inv_id: r for r in assign.match_batch(i, p, 1.0).itertuples()}
 
 
 def test_batch_phases():
-    pay = [("b", f"p{k}", f"2025-01-10 {h:02d}:00", a, a, m, k) for k, (h, a, m) in enumerate([(12, 500.0, "酒店"), (13, 150.0, "餐"), (9, 30.0, "滴滴"), (10, 40.0, "滴滴"), (11, 30.0, "滴滴")])]
-    got = batch([("b", "hotel", 500.0, "2025-01-10", "某酒店", "Hotel", 1, None, None), ("b", "meal", 150.0, "2025-01-10", "", "Meal", 2, None, None), ("b", "ride", 100.0, "2025-01-10", "", "CityTransport", 3, ["2025-01-10 08:30"], [100.0])], pay)
-    assert got == {"hotel": (["p0"], "OneToOne"), "meal": (["p1"], "OneToOne"), "ride": (["p2", "p3", "p4"], "OneToMany")}
-    rides = batch([("b", "r", 90.0, "2025-01-10", "", "CityTransport", 1, ["2025-01-10 09:00", "2025-01-10 10:00"], [30.0, 40.0])], pay)
-    assert rides == {"r": (["p2", "p3"], "OneToMany")}
+    pay = [("2025-01-10 12:00", 500.0, "酒店"), ("2025-01-10 13:00", 150.0, "餐"), ("2025-01-10 09:00", 30.0, "滴滴"), ("2025-01-10 10:00", 40.0, "滴滴"), ("2025-01-10 11:00", 30.0, "滴滴")]
+    got = batch([claim("hotel", 500.0, seller="某酒店", category="Hotel"), claim("meal", 150.0, pos=2), claim("ride", 100.0, category="CityTransport", pos=3, rides=[("2025-01-10 08:30", 100.0, "")])], pay)
+    assert {k: (r.pay_ids, r.kind) for k, r in got.items()} == {"hotel": (["p0"], "OneToOne"), "meal": (["p1"], "OneToOne"), "ride": (["p2", "p3", "p4"], "OneToMany")}
+    got = batch([claim("r", 90.0, category="CityTransport", rides=[("2025-01-10 09:00", 30.0, ""), ("2025-01-10 10:00", 40.0, "")])], pay)
+    assert got["r"].pay_ids == ["p2", "p3"] and got["r"].rides == [0, 1]
+
+
+def test_rides_keep_to_the_merchant_of_most():
+    pay = [("2025-01-10 08:10", 20.0, "甲车"), ("2025-01-10 09:10", 30.0, "甲车"), ("2025-01-10 10:05", 40.0, "乙店"), ("2025-01-10 10:30", 40.0, "甲车")]
+    rides = [("2025-01-10 08:00", 20.0, ""), ("2025-01-10 09:00", 30.0, ""), ("2025-01-10 10:00", 40.0, "")]
+    assert batch([claim("r", 90.0, category="CityTransport", rides=rides)], pay)["r"].pay_ids == ["p0", "p1", "p3"]
+    # without that merchant's third payment the whole pairing fails, no sum is near, and the other merchant's one is taken at last
+    assert batch([claim("r", 300.0, category="CityTransport", rides=rides)], pay[:3])["r"].pay_ids == ["p0", "p1", "p2"]
+    part = batch([claim("r", 300.0, category="CityTransport", rides=rides)], pay[:2])["r"]
+    assert part.pay_ids == ["p0", "p1"] and part.rides == [0, 1] and part.amount_diff == 250.0
+
+
+def test_toll_with_the_nearest_trip():
+    rides = lambda t: [(t, 50.0, "")]
+    pay = [("2025-01-10 09:00", 62.0, "甲"), ("2025-01-11 09:00", 50.0, "乙")]
+    inv = [claim("far", 50.0, category="CityTransport", pos=1, rides=rides("2025-01-11 08:30")), claim("near", 50.0, category="CityTransport", pos=2, rides=rides("2025-01-10 08:30")), claim("toll", 12.0, category="Toll", pos=3, toll="2025-01-10 08:40")]
+    got = batch(inv, pay)
+    assert got["toll"].shared_from == "near" and got["toll"].pay_ids == got["near"].pay_ids == ["p0"] and got["near"].amount_diff == 12.0 and got["far"].pay_ids == ["p1"]
+    assert batch([claim("t", 50.0, category="CityTransport", rides=rides("2025-01-10 08:30"))], [("2025-01-10 09:00", 80.0, "甲")])["t"].amount_diff == 30.0
+    assert batch([claim("t", 50.0, category="CityTransport", rides=rides("2025-01-10 08:30"))], [("2025-01-12 09:00", 80.0, "甲")]) == {}
+
+
+def test_insurance_follows_its_flight():
+    flight = claim("f", 900.0, date="2025-02-01", category="Flight", travel="2025-01-20")
+    cover = claim("i", 30.0, date="2025-02-01", category="Insurance", pos=2)
+    pay = [("2025-01-31 08:00", 30.0, "丙"), ("2025-01-05 10:00", 900.0, "航"), ("2025-01-05 10:00", 30.0, "保"), ("2025-01-10 10:00", 30.0, "丁")]
+    assert batch([flight, cover], pay)["i"].pay_ids == ["p2"]  # the same second
+    assert batch([flight, cover], [pay[0], pay[1], pay[3]])["i"].pay_ids == ["p2"]  # between payment and travel
+    assert batch([flight, cover], [pay[1], pay[0]])["i"].pay_ids == ["p1"]  # before the claim
+    assert "i" not in batch([flight, cover], [pay[1], ("2025-02-02 08:00", 30.0, "丙")])
+
+
+def test_pool_against_plain_loops():
+    import random
+
+    rng = random.Random(5)
+    pay = pd.DataFrame([("b", f"p{k}", rng.choice([None, 1_700_000_000 + rng.randint(0, 90_000)]), rng.randint(-5, 60) / 1.0, rng.randint(1, 60) / 1.0, rng.choice(["甲", "乙", ""]), k) for k in range(150)], columns=["batch", "pay_id", "pay_time", "pay_amount", "pay_total", "pay_merchant", "pay_pos"])
+    pool = assign.Pool(pay)
+    for _ in range(200):
+        target, day = float(rng.randint(1, 60)), 19_675 + rng.randint(0, 2)
+        got = pool.one(target, day, 1.0)
+        near = [i for i in range(len(pool.ids)) if pool.free[i] and min(abs(target - pool.total[i]), abs(target - pool.amount[i])) <= 1.0]
+        key = lambda i: (assign.NEVER if pool.day[i] == assign.NEVER else abs(pool.day[i] - day), min(abs(target - pool.total[i]), abs(target - pool.amount[i])), i)
+        assert (got.picks[0] if got else None) == min(near, key=key, default=None)
+        if got and rng.random() < 0.3:
+            pool.take(got.picks)
 
 
 def test_refunds(spark):
-    rows = [(1, "A1", "M1", 3935.65), (2, "A1_r", "M1", -1412.60), (3, "B1", "", 10.0), (4, "B1*2", "", -10.0), (5, "C", "M3", 5.0), (6, "X", "M9", -1.0)]
+    rows = [(1, "A1", "M1", 800.25), (2, "A1_r", "M1", -300.15), (3, "B1", "", 10.0), (4, "B1*2", "", -10.0), (5, "C", "M3", 5.0), (6, "X", "M9", -1.0)]
     got = records.net_refunds(spark.createDataFrame(rows, "pos int, trade_id string, merchant_order string, amount double")).collect()
-    assert sorted((r["trade_id"], round(r["net"], 2)) for r in got) == [("A1", 2523.05), ("C", 5.0)]
+    assert sorted((r["trade_id"], round(r["net"], 2)) for r in got) == [("A1", 500.1), ("C", 5.0)]
 
 
 def legs(spark, rows):
@@ -109,3 +163,27 @@ def test_rides_in_text(spark):
     docs = spark.createDataFrame([("a", "2025-01-02 08:30 甲地 ¥12.50\n合计 12.50"), ("b", "01-03 09:00 起点\n终点\n 33.00"), ("c", None), ("d", "")], "doc_id string, text string")
     got = sorted((r["doc_id"], r["time"], r["amount"]) for r in layout.rides_in_text(docs).collect())
     assert got == [("a", "2025-01-02 08:30", 12.5), ("b", "01-03 09:00", 33.0)]
+
+
+def greedy(rows):
+    """Claims in order of priority, each taking its best payment that is free."""
+    used, out = set(), []
+    for inv in sorted({r[0] for r in rows}):
+        best = min(((r[2], r[1]) for r in rows if r[0] == inv and r[1] not in used), default=None)
+        if best:
+            used.add(best[1])
+            out.append((inv, best[1]))
+    return out
+
+
+def test_assignment_settles_on_any_chain(spark):
+    import random
+
+    rng = random.Random(3)
+    chain = [(k, k, 1) for k in range(1, 121)] + [(k, k - 1, 0) for k in range(2, 121)]  # each claim is refused by the payment before it
+    some = [(i, p, rng.randint(0, 9)) for i in range(60) for p in rng.sample(range(25), 4)]
+    for rows in (chain, some, []):
+        c = spark.createDataFrame(rows, "inv_id int, pay_id int, w int")
+        for few in (0, 40, 100_000):
+            got = matching.one_per_payment(c, [F.asc("w"), F.asc("pay_id")], [F.col("inv_id")], few=few)
+            assert sorted((r["inv_id"], r["pay_id"]) for r in got.collect()) == greedy(rows), few
