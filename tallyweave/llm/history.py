@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.gazetteer import distance
 from tallyweave.llm.lookalikes import invisible, parts_of
-from tallyweave.operators.zoned_time import utc_seconds, with_walls
+from tallyweave.operators.zoned_time import plain_seconds, utc_seconds, with_walls
 from tallyweave.tables import cut, table
 
 CHARS = 40  # characters of a number that its projections see; the rerank compares whole numbers
@@ -258,14 +258,35 @@ def written_once(number: str) -> str:
 
 
 def one_number(col: Column) -> Column:
-    """written_once(); a number of digits only stays in the JVM, the others go through Python in Arrow batches."""
+    """written_once() in Arrow batches."""
 
     @F.pandas_udf("string")
     def rest(numbers: pd.Series) -> pd.Series:
         return numbers.map(written_once, na_action="ignore")
 
-    plain = col.rlike(PLAIN_NUMBER)
-    return F.coalesce(F.when(plain, col), rest(F.when(~plain, col)))
+    return rest(col)
+
+
+def with_number(rows: DataFrame, col: str) -> DataFrame:
+    """Adds ``number``: written_once() of the column, '' for NULL. Only numbers that aren't plain digits go through Python."""
+    there = rows.withColumn("number", F.coalesce(F.col(col), F.lit("")))
+    easy = (F.col("number") == "") | F.col("number").rlike(PLAIN_NUMBER)
+    return there.filter(easy).unionByName(there.filter(~easy).withColumn("number", one_number(F.col("number"))))
+
+
+def timed_payments(pay: DataFrame, batches: DataFrame) -> DataFrame:
+    """Adds the batch's columns, ``sec`` (UTC seconds of the payment, -1 if unreadable) and ``number`` to payments.
+
+    Rows whose time and number are in the commonest writing stay in the JVM; the others go through Python.
+    """
+    zones = with_walls(batches.select("batch_id", "received_on", "zone_name", "date_order"))
+    utc = utc_seconds(pay.sparkSession, zones)
+    rows = pay.join(zones, "batch_id", "left").withColumn("number", F.coalesce("transaction_id", F.lit("")))
+    fast = plain_seconds(F.col("transaction_time"), F.col("walls"))
+    easy = F.coalesce(fast.isNotNull() & ((F.col("number") == "") | F.col("number").rlike(PLAIN_NUMBER)), F.lit(False))
+    sec = utc(F.col("transaction_time"), F.col("zone_name"), F.col("date_order"), F.col("received_on"))
+    hard = rows.filter(~easy).drop("walls").withColumns({"sec": sec, "number": one_number(F.col("number"))})
+    return rows.filter(easy).withColumn("sec", fast).drop("walls").unionByName(hard)
 
 
 CUT = re.compile(r"^(\d)\.?(\d*)E\+?(\d+)$")  # rounded by a spreadsheet
@@ -563,14 +584,12 @@ def first_of_class(links: DataFrame) -> DataFrame:
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All numbered invoices and payments as records, with ids."""
     pay, inv, batches = (table(spark, sf_dir, t) for t in ("payment", "invoice", "import_batch"))
-    batches = with_walls(batches.select("batch_id", "received_on", "zone_name", "date_order"))
-    utc = utc_seconds(spark, batches)
-    cents = lambda c: F.round(F.col(c) * 100).cast("long").alias("cents")
-    pay = pay.filter(F.col("transaction_id") != "").select("id", "import_seq", "batch_id", "transaction_id", "transaction_time", "amount", "merchant_name").join(batches, "batch_id", "left")
-    sec = utc(F.col("transaction_time"), F.col("zone_name"), F.col("date_order"), F.col("received_on"), spans=F.col("walls"))
-    pay = pay.withColumn("sec", sec).select(F.lit("payment.transaction_id").alias("field"), F.col("import_seq").alias("seq"), "id", one_number(F.col("transaction_id")).alias("number"), cents("amount"), F.when(F.col("sec") >= 0, F.floor(F.col("sec") / 60)).alias("minute"), F.col("merchant_name").alias("name"))
+    cents = F.round(F.col("amount") * 100).cast("long").alias("cents")
+    pay = timed_payments(pay.filter(F.col("transaction_id") != "").select("id", "import_seq", "batch_id", "transaction_id", "transaction_time", "amount", "merchant_name"), batches)
+    pay = pay.select(F.lit("payment.transaction_id").alias("field"), F.col("import_seq").alias("seq"), "id", "number", cents, F.when(F.col("sec") >= 0, F.floor(F.col("sec") / 60)).alias("minute"), F.col("merchant_name").alias("name"))
     day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long") * 1440
-    inv = inv.filter(F.col("invoice_number") != "").select(F.lit("invoice.invoice_number").alias("field"), F.col("import_seq").alias("seq"), "id", one_number(F.col("invoice_number")).alias("number"), cents("amount"), day.alias("minute"), F.lit(None).cast("string").alias("name"))
+    inv = with_number(inv.filter(F.col("invoice_number") != "").select("id", "import_seq", "invoice_number", "amount", "date"), "invoice_number")
+    inv = inv.select(F.lit("invoice.invoice_number").alias("field"), F.col("import_seq").alias("seq"), "id", "number", cents, day.alias("minute"), F.lit(None).cast("string").alias("name"))
     return inv.unionByName(pay).filter("number <> ''")
 
 
