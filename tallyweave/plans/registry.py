@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyweave.functions import dates, fields, text
-from tallyweave.operators import assign, layout, matching, records, rejects, zoned_time
+from tallyweave.operators import assign, layout, matching, optimizer, records, rejects, zoned_time
 from tallyweave.plans import views
 from tallyweave.streaming.arrivals import windowed_totals
 from tallyweave.tables import table
@@ -164,6 +164,12 @@ def q_greedy_batches(spark, sf_dir):
     return assign.match_batches(inv, pay)
 
 
+@query()
+def q_optimizer_generated(spark, sf_dir):
+    """Score-based matching of 1,000 generated claims and 10,000 payments."""
+    return optimizer.optimize(*optimizer.generated_pairs(spark, 1_000, 10_000))
+
+
 # ---------------------------------------------------------------- payments
 
 

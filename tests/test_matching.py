@@ -187,3 +187,16 @@ def test_assignment_settles_on_any_chain(spark):
         for few in (0, 40, 100_000):
             got = matching.one_per_payment(c, [F.asc("w"), F.asc("pay_id")], [F.col("inv_id")], few=few)
             assert sorted((r["inv_id"], r["pay_id"]) for r in got.collect()) == greedy(rows), few
+
+
+def test_optimizer(spark):
+    from tallyweave.operators import optimizer
+
+    inv, pay = optimizer.generated_pairs(spark, 100, 1000)
+    got = optimizer.optimize(inv, pay).toPandas()
+    used = [p for ids in got["pay_ids"] for p in ids]
+    assert len(got) > 80 and len(used) == len(set(used)) and (got["confidence"] >= 0.7).sum() > 80 and optimizer.match_rate(len(got), 100) == len(got) / 100
+    scarce = optimizer.optimize(*optimizer.generated_pairs(spark, 100, 50)).toPandas()
+    assert 40 <= len(scarce) <= 60
+    assert optimizer.first_subset([30.0, 50.0, 21.0], 50.0) == [0, 2] and optimizer.first_subset([], 5.0) is None and optimizer.first_subset([100.0], 5.0) is None
+    assert optimizer.name_score("如家快捷上海分店甲", "北京如家二店乙") == 0.85 and optimizer.edits("kitten", "sitting") == 3
