@@ -18,6 +18,9 @@ numbers need both to agree). Hot keys are found by counting; their rows that are
 compared are collapsed to the first one, so a number that a third of all rows share is one node, and what
 stays hot is split into slices, each holding a part of the nodes and seeing all queries of the key.
 
+p2_found checks all batches in one run. Between runs the history is kept as an Index: graph shards by batch in the
+shared folder, of which a new batch reads only those of its buckets.
+
 Defined results: rows without a number are no case; the first row of a class is reported for every later
 row. An unreadable time never agrees with anything.
 """
@@ -25,6 +28,7 @@ row. An unreadable time never agrees with anything.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -381,11 +385,15 @@ def distances(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, most
     return out
 
 
-def candidates(numbers: list[str]) -> Iterator[tuple[int, int]]:
-    """Pairs i < j of distinct numbers, among them all for which numbers_alike() isn't False; some repeat."""
+def candidates(numbers: list[str], left: int | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs i < j of distinct numbers, among them all for which numbers_alike() isn't False; some repeat.
+
+    With ``left`` only pairs with one of the first so many numbers are needed; others may come.
+    """
+    left = len(numbers) if left is None else left
     cut_ = [i for i, x in enumerate(numbers) if CUT.match(x)]
     for i in cut_:
-        yield from ((min(i, j), max(i, j)) for j in range(len(numbers)) if j != i)
+        yield from ((min(i, j), max(i, j)) for j in range(len(numbers) if i < left else left) if j != i)
     gone = set(cut_)
     whole = [i for i in range(len(numbers)) if i not in gone]
     texts = [numbers[i].translate(SWAPS) for i in whole]
@@ -401,7 +409,7 @@ def candidates(numbers: list[str]) -> Iterator[tuple[int, int]]:
     long_ = [x for x in by_text if len(x) > CHARS]
     for x in long_:
         for y in by_text:
-            if y != x and abs(len(x) - len(y)) <= 4 and distance(x, y) <= 4:
+            if y != x and (by_text[x][0] < left or by_text[y][0] < left) and abs(len(x) - len(y)) <= 4 and distance(x, y) <= 4:
                 yield from ((min(i, j), max(i, j)) for i in by_text[x] for j in by_text[y])
     if len(short) < 2:
         return
@@ -412,12 +420,12 @@ def candidates(numbers: list[str]) -> Iterator[tuple[int, int]]:
     counts = np.stack([(codes == c + 2).sum(1) for c in range(len(letters)) if letters[c]]).astype(np.int16)
     rows = max(1, int(lengths.max()))
     step = max(1, BLOCK // len(short))
-    for lo in range(0, len(short), step):
-        left = slice(lo, lo + step)
+    for lo in range(0, sum(by_text[x][0] < left for x in short), step):  # the texts are in the order of their first number
+        part = slice(lo, lo + step)
         # letters that one has more often than the other: each edit changes at most one
-        bag = abs(lengths[left, None] - lengths[None])
+        bag = abs(lengths[part, None] - lengths[None])
         for c in counts:
-            bag = bag + abs(c[left, None] - c[None])
+            bag = bag + abs(c[part, None] - c[None])
         u, v = np.nonzero(bag <= 8)
         u, v = u[u + lo < v] + lo, v[u + lo < v]
         for at in range(0, len(u), 20_000):
@@ -461,6 +469,14 @@ def links_of_key(number: np.ndarray, name: np.ndarray, seq: np.ndarray, node: np
     return tuple(np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
 
 
+def same_record(kind: int, x: str, y: str, name_x: str | None, name_y: str | None) -> bool:
+    """The exact rerank of two records with one key."""
+    if kind == NUMBER or x == y:
+        return x == y and (kind == NUMBER or (bool(CUT.match(x)) and names_alike(name_x, name_y)))
+    alike = numbers_alike(x, y)
+    return alike is True or (alike is None and names_alike(name_x, name_y))
+
+
 OUT = "field string, seq_a bigint, seq_b bigint"
 NUMBER, NEAR = 0, 1
 
@@ -479,7 +495,7 @@ def _search_group(field: str, kind: int, g: pd.DataFrame) -> Iterator[pd.DataFra
     number, key = g["number"].to_numpy(object), g["key"].to_numpy(np.int64)
     name, seq = g["name"].to_numpy(object), g["seq"].to_numpy(np.int64)
     node = g["node"].to_numpy(bool)
-    v = vectors(number, g["cents"].fillna(0).to_numpy(np.int64), g["minute"].fillna(0).to_numpy(np.int64), np.full(len(g), kind == NUMBER))
+    v = _vectors_of(g, kind)
     shards = Shards(1e-3 if kind == NUMBER else 0.1, key)
     out_a, out_b = [], []
     keys, code, size = np.unique(key, return_inverse=True, return_counts=True)
@@ -506,15 +522,7 @@ def _search_group(field: str, kind: int, g: pd.DataFrame) -> Iterator[pd.DataFra
             a = part[a]
             ok = (seq[b] < seq[a]) & (key[b] == key[a])
             for later, earlier in zip(a[ok], b[ok]):
-                x, y = number[earlier], number[later]
-                if kind == NUMBER:
-                    same = x == y
-                elif x == y:
-                    same = bool(CUT.match(x)) and names_alike(name[earlier], name[later])
-                else:
-                    alike = numbers_alike(x, y)
-                    same = alike is True or (alike is None and names_alike(name[earlier], name[later]))
-                if same:
+                if same_record(kind, number[earlier], number[later], name[earlier], name[later]):
                     out_a.append(seq[earlier])
                     out_b.append(seq[later])
     if out_a:
@@ -581,6 +589,161 @@ def first_of_class(links: DataFrame) -> DataFrame:
         parent = cut(moved.select("field", "seq_b", F.coalesce("top", "seq_a").alias("seq_a")))
 
 
+# ---------------------------------------------------------------- the index that is kept between runs
+
+STORE_BUCKETS = 64
+ROWS = "field string, kind int, bucket int, key bigint, number string, name string, seq bigint"
+SHARD = "field string, kind int, bucket int, level int, rows bigint, key binary, seq binary, number array<string>, name array<string>, v binary, links binary, orders binary"
+
+
+def _stored(field: str, kind: int, bucket: int, level: int, key, seq, number, name, v) -> dict:
+    g = Shard(v)
+    return {"field": field, "kind": kind, "bucket": bucket, "level": level, "rows": len(seq), "key": key.tobytes(), "seq": seq.tobytes(), "number": list(number), "name": list(name), "v": v.tobytes(), "links": g.links.tobytes(), "orders": np.stack(g.orders).tobytes()}
+
+
+def _loaded(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Shard]:
+    """(keys, seqs, numbers, names, graph) of a stored shard; its graph isn't built again."""
+    v = np.frombuffer(r["v"], np.float32).reshape(-1, DIMS)
+    g = Shard.__new__(Shard)
+    g.v, g.links = v, np.frombuffer(r["links"], np.int32).reshape(len(v), -1)
+    g.directions = np.random.RandomState(17).normal(size=(Shard.ORDERINGS, DIMS))
+    g.orders = list(np.frombuffer(r["orders"], np.int64).reshape(Shard.ORDERINGS, -1))
+    g.keys = [(v.astype(np.float64) @ d)[o] for d, o in zip(g.directions, g.orders)]
+    return np.frombuffer(r["key"], np.int64), np.frombuffer(r["seq"], np.int64), np.array(list(r["number"]), object), np.array(list(r["name"]), object), g
+
+
+def _against(kind: int, new: pd.DataFrame, v: np.ndarray, shard) -> list[tuple[int, int]]:
+    """(seq_a, seq_b) of new rows that are the same as a row of a stored shard.
+
+    Keys with more than LARGE rows of the shard are compared exactly, the others by a beam tuned on this batch, or
+    by key where the shard is small or no beam is good enough.
+    """
+    keys, seqs, numbers, names, graph = shard
+    key, number, name, seq = new["key"].to_numpy(np.int64), new["number"].to_numpy(object), new["name"].to_numpy(object), new["seq"].to_numpy(np.int64)
+    here = np.isin(key, keys)
+    at = np.flatnonzero(here)
+    if not len(at):
+        return []
+    found = Shards(1e-3 if kind == NUMBER else 0.1, np.concatenate([keys, key]))
+    found.levels.append((0, np.arange(len(keys)), graph, {}))
+    values, size = np.unique(keys, return_counts=True)
+    large = values[size > LARGE] if kind == NEAR else values[:0]
+    out = []
+    usual = at[~np.isin(key[at], large)]
+    for a, b in found.search(len(keys) + usual, v[usual]) if len(usual) else ():
+        for i, j in zip(usual[a], b):
+            if keys[j] == key[i] and seqs[j] < seq[i] and same_record(kind, numbers[j], number[i], names[j], name[i]):
+                out.append((int(seqs[j]), int(seq[i])))
+    for k in large:
+        mine, theirs = np.flatnonzero(key == k), np.flatnonzero(keys == k)
+        texts = list(dict.fromkeys(number[mine])) + [x for x in dict.fromkeys(numbers[theirs]) if x not in set(number[mine])]
+        n = len(set(number[mine]))
+        rows_of: dict[str, list[int]] = {}
+        for j in theirs:
+            rows_of.setdefault(numbers[j], []).append(j)
+        pairs = {(x, x) for x in texts[:n]} | {(texts[p], texts[q]) for i, j in candidates(texts, n) for p, q in ((i, j), (j, i)) if p < n}
+        for x, y in pairs:
+            for i in mine[number[mine] == x]:
+                out += [(int(seqs[j]), int(seq[i])) for j in rows_of.get(y, ()) if seqs[j] < seq[i] and same_record(kind, y, x, names[j], name[i])]
+    return out
+
+
+class Index:
+    """The accepted history in a folder that all executors share, as graph shards by batch.
+
+    Records are spread over STORE_BUCKETS buckets of their keys. check() reads the shards of the buckets that a batch
+    touches and nothing of the history's records; add() writes the batch's own shards; compact() merges shards of one level once
+    FANOUT of them have gathered in a bucket. A manifest names the parts that count, so a part that was written
+    by a job that failed, or merged into another, is never read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def parts(self) -> list[str]:
+        at = self._path(f"{self.folder}/manifest")
+        return [r["value"] for r in self.spark.read.text(f"{self.folder}/manifest").collect()] if self._files.exists(at) else []
+
+    def _publish(self, parts: list[str]) -> None:
+        new, old = (self._path(f"{self.folder}/{x}") for x in ("manifest-new", "manifest"))
+        self._files.delete(new, True)
+        self.spark.createDataFrame([(p,) for p in parts], "value string").coalesce(1).write.text(f"{self.folder}/manifest-new")
+        self._files.delete(old, True)
+        self._files.rename(new, old)
+
+    def shards(self) -> DataFrame:
+        parts = self.parts()
+        return self.spark.read.schema(SHARD).parquet(*[f"{self.folder}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], SHARD)
+
+    def _rows(self, records: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.col("key"), F.lit(STORE_BUCKETS)).cast("int").alias("bucket")
+        return _keyed(records).select("field", "kind", bucket, "key", "number", "name", "seq", "cents", "minute")
+
+    def check(self, records: DataFrame) -> DataFrame:
+        """(field, seq_a, seq_b): each record of the batch that is the same as one before it, in the batch or the history, with the first."""
+
+        def run(key, new: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
+            field, kind = str(key[0]), int(key[1])
+            new = new.sort_values("seq", kind="stable").assign(node=True)
+            if not len(new):
+                return pd.DataFrame({"field": [], "seq_a": [], "seq_b": []})
+            v = _vectors_of(new, kind)
+            found = [pair for _, r in shards.iterrows() for pair in _against(kind, new, v, _loaded(r))]
+            own = [(a, b) for x in _search_group(field, kind, new) for a, b in zip(x["seq_a"], x["seq_b"])]
+            return pd.DataFrame([(field, a, b) for a, b in found + own], columns=["field", "seq_a", "seq_b"])
+
+        by = ["field", "kind", "bucket"]
+        rows = self._rows(records)
+        touched = self.shards().join(F.broadcast(rows.select(*by).distinct()), by, "left_semi")  # STORE_BUCKETS x 4 at most
+        return first_of_class(rows.groupBy(*by).cogroup(touched.groupBy(*by)).applyInPandas(run, OUT))
+
+    def add(self, batch: str, records: DataFrame) -> None:
+        """Stores the shards of a batch; a batch that was added before is replaced."""
+
+        def build(key, new: pd.DataFrame) -> pd.DataFrame:
+            new = new.sort_values("seq", kind="stable")
+            return pd.DataFrame([_stored(str(key[0]), int(key[1]), int(key[2]), 0, new["key"].to_numpy(np.int64), new["seq"].to_numpy(np.int64), new["number"], new["name"], _vectors_of(new, int(key[1])))])
+
+        part = f"batch={batch}"
+        rest = [p for p in self.parts() if p != part]
+        self._rows(records).groupBy("field", "kind", "bucket").applyInPandas(build, SHARD).write.mode("overwrite").parquet(f"{self.folder}/{part}")
+        self._publish([*rest, part])
+
+    def compact(self) -> int:
+        """Merges the shards of each bucket and level of which FANOUT have gathered; gives the number of parts left."""
+        parts = self.parts()
+        if len(parts) < FANOUT:
+            return len(parts)
+
+        def merge(key, old: pd.DataFrame) -> pd.DataFrame:
+            rows = list(old.sort_values("level", kind="stable").to_dict("records"))
+            out, level = [], 0
+            while rows:
+                here = [r for r in rows if r["level"] <= level]
+                rows = [r for r in rows if r["level"] > level]
+                if len(here) < FANOUT:
+                    out += here
+                else:
+                    k, s, n, m, g = zip(*map(_loaded, here))
+                    s, order = np.concatenate(s), np.argsort(np.concatenate(s), kind="stable")
+                    rows.append(_stored(str(key[0]), int(key[1]), int(key[2]), level + 1, np.concatenate(k)[order], s[order], np.concatenate(n)[order], np.concatenate(m)[order], np.concatenate([x.v for x in g])[order]))
+                level += 1
+            return pd.DataFrame(out)
+
+        part = f"merged={uuid.uuid4().hex[:12]}"
+        self.shards().groupBy("field", "kind", "bucket").applyInPandas(merge, SHARD).write.parquet(f"{self.folder}/{part}")
+        self._publish([part])
+        for p in parts:
+            self._files.delete(self._path(f"{self.folder}/{p}"), True)
+        return 1
+
+
+def _vectors_of(rows: pd.DataFrame, kind: int) -> np.ndarray:
+    return vectors(rows["number"].to_numpy(object), rows["cents"].fillna(0).to_numpy(np.int64), rows["minute"].fillna(0).to_numpy(np.int64), np.full(len(rows), kind == NUMBER))
+
+
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All numbered invoices and payments as records, with ids."""
     pay, inv, batches = (table(spark, sf_dir, t) for t in ("payment", "invoice", "import_batch"))

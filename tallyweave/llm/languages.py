@@ -34,7 +34,7 @@ NOTATIONS = {
     "de": "de deu ger german deutsch", "fr": "fr fra fre french français", "es": "es spa spanish español", "it": "it ita italian italiano", "pt": "pt por portuguese português",
 }
 BITS, BUCKETS = 15, 1 << 13
-SAMPLE_DOCS, SAMPLE_SENTENCES = 4000, 300
+SAMPLE_DOCS, SAMPLE_SENTENCES, SAMPLE_CHARS = 4000, 300, 8000  # documents and their first characters, sentences a language
 AMBIGUOUS = 0.05
 SLICE = 500
 
@@ -168,8 +168,13 @@ def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Distinct sentences and their labels of a bounded sample of labelled documents."""
     labels = {form: lang for lang, names in NOTATIONS.items() for form in names.split()}
     key = F.split(F.regexp_replace(F.lower(F.trim("lang")), "_", "-"), "-")[0]
-    rows = docs.filter(key.isin(list(labels)) & (F.length("text") > 0)).select("doc_id", key.alias("lang"), "text")
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()
+    known = docs.filter(key.isin(list(labels)) & (F.length("text") > 0)).withColumn("lang", key)
+    of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a notation
+    # the same number of documents of each notation, so that a rare language has its classifier; by a hash
+    share = F.create_map(*[F.lit(x) for lang, n in of.items() for x in (lang, min(1.0, SAMPLE_DOCS / len(of) / n))]) if of else F.lit(0.0)
+    rows = known.withColumn("h", F.xxhash64("doc_id")) if of else known.limit(0).withColumn("h", F.lit(0))
+    rows = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000) if of else rows
+    rows = rows.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "h").orderBy("h", "doc_id").limit(2 * SAMPLE_DOCS).collect()
     if not rows:
         return [], []
     doc, _, line, distinct, which = sentences(pa.array([r["text"] for r in rows], pa.string()))
@@ -219,7 +224,7 @@ def assign(texts: pa.Array, codes: Codes) -> tuple[list[tuple], list[tuple]]:
     by_doc: dict[int, list] = {}
     for at_line, parts in lines.items():
         by_doc.setdefault(int(doc[at_line]), []).append((int(no[at_line]), parts))
-    docs, out = [], []
+    docs, out, untold = [], [], []
     for d, its in sorted(by_doc.items()):
         votes, weight, rows = {}, {}, []
         for n, parts in sorted(its):
@@ -231,13 +236,20 @@ def assign(texts: pa.Array, codes: Codes) -> tuple[list[tuple], list[tuple]]:
                 votes[x] = votes.get(x, 0) + 1 / len(seen)
             for i in told:
                 weight[int(s_lang[i])] = weight.get(int(s_lang[i]), 0) + int(s_letters[i])
-        if not votes:
+        if not votes:  # no sentence tells enough, so the whole text is asked
             docs.append((d, None, 0.0, False))
+            untold.append((len(docs) - 1, " ".join(words[int(i)] for _, parts in sorted(its) for i in which[parts]), [n for n, _ in sorted(its)]))
             continue
         main = max(votes, key=lambda x: (votes[x], weight[x], -x))
         mixed = len(votes) > 1
         docs.append((d, LANGUAGES[main], votes[main] / sum(votes.values()) * float(np.mean([c for _, s, c in rows if s])), mixed))
         out += [(d, n, "+".join(LANGUAGES[x] for x in (seen or [main])), conf, not seen or conf < AMBIGUOUS) for n, seen, conf in rows]
+    if untold:
+        best, conf = codes.decode(codes.margins([t for _, t, _ in untold])[0])
+        for (at, _, numbers), x, c in zip(untold, best, conf):
+            d, lang, low = docs[at][0], LANGUAGES[int(x)], min(float(c), AMBIGUOUS / 2)  # always ambiguous
+            docs[at] = (d, lang, low, False)
+            out += [(d, n, lang, low, True) for n in numbers]
     return docs, out
 
 

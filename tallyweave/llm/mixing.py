@@ -95,7 +95,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | str | None = None, see
     rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 20), F.lit(BUCKETS)).cast("int"))
     leaf = ["domain", "lang", "source"]
-    sums = rows.groupBy(*leaf, "max_repeat", "bucket").agg(F.sum("tokens").alias("tokens")).cache()
+    sums = rows.groupBy(*leaf, "max_repeat", "bucket").agg(F.sum("tokens").alias("tokens"))
+    sums = cut(sums.coalesce(8))  # leaves x BUCKETS rows at most: sources with a target times known languages
     have = [r.asDict() for r in sums.groupBy(*leaf, "max_repeat").agg(F.sum("tokens").alias("tokens")).collect()]  # one row a leaf
     of_source: dict[str, int] = {}
     for h in have:
@@ -117,18 +118,16 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | str | None = None, see
         plan.append((*key, float(got[key]), int(tokens // h["tokens"]), float(tokens % h["tokens"])))
     plan_df = F.broadcast(spark.createDataFrame(plan or [(None,) * 6], "domain string, lang string, source string, budget double, epochs int, rest double"))
 
-    w = W.partitionBy(*leaf).orderBy("bucket")
-    ends = sums.withColumn("before", F.sum("tokens").over(w) - F.col("tokens"))  # at most BUCKETS rows a leaf
-    ends = ends.join(plan_df, leaf).select(*leaf, "bucket", "before", "epochs", "rest")
-    drawn = rows.join(F.broadcast(ends), [*leaf, "bucket"])  # leaves x BUCKETS rows at most
-    whole = drawn.filter("epochs > 0").select("doc_id", *leaf, "tokens", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
-    ends_here = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest"))
-    size_of = F.broadcast(sums.select(*leaf, "bucket", F.col("tokens").alias("in_bucket")))
-    last = drawn.join(size_of, [*leaf, "bucket"])
-    inside = last.filter(F.col("before") + F.col("in_bucket") <= F.col("rest")).select("doc_id", *leaf, "tokens", F.col("epochs").alias("epoch"))
-    at = W.partitionBy(*leaf, "bucket").orderBy("order", "doc_id")
-    edge = last.filter(ends_here).withColumn("upto", F.col("before") + F.sum("tokens").over(at)).filter(F.col("upto") - F.col("tokens") / 2 <= F.col("rest")).select("doc_id", *leaf, "tokens", F.col("epochs").alias("epoch"))
-    result = whole.unionByName(inside).unionByName(edge).select("doc_id", "domain", "lang", "source", "epoch", "tokens")
+    # per bucket the tokens before and in it; the last epoch ends inside of one bucket of a leaf
+    before = F.sum("tokens").over(W.partitionBy(*leaf).orderBy("bucket")) - F.col("tokens")
+    ends = sums.withColumn("before", before).join(plan_df, leaf).select(*leaf, "bucket", "before", (F.col("before") + F.col("tokens")).alias("after"), "epochs", "rest")
+    drawn = rows.join(F.broadcast(ends), [*leaf, "bucket"])
+    edge = (F.col("before") < F.col("rest")) & (F.col("after") > F.col("rest"))
+    outside = drawn.filter(~edge).withColumn("times", F.col("epochs") + (F.col("after") <= F.col("rest")).cast("int"))
+    upto = F.col("before") + F.sum("tokens").over(W.partitionBy(*leaf, "bucket").orderBy("order", "doc_id"))
+    inside = drawn.filter(edge).withColumn("upto", upto).withColumn("times", F.col("epochs") + (F.col("upto") - F.col("tokens") / 2 <= F.col("rest")).cast("int")).drop("upto")
+    often = outside.unionByName(inside).filter("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    result = often.select("doc_id", "domain", "lang", "source", "epoch", "tokens")
     return result, shares
 
 

@@ -115,6 +115,42 @@ def test_shards_tune_again_and_fall_back(monkeypatch):
     assert len(shards.levels) == 1 and shards.levels[0][3]["beam"] is None
 
 
+@pytest.mark.parametrize("large", [32, 2])
+def test_index_finds_batch_by_batch_what_one_run_finds(spark, monkeypatch, tmp_path, large):
+    monkeypatch.setattr(history, "LARGE", large)
+    rng = random.Random(9)
+    f = "payment.transaction_id"
+    rows = []
+    for k in range(400):
+        if rows and rng.random() < 0.35:
+            x = list(rng.choice(rows)[2])
+            if rng.random() < 0.6:
+                x[rng.randrange(len(x))] = rng.choice("0123456789B")
+            number = "".join(x)
+        else:
+            number = "".join(rng.choice("0123456789") for _ in range(16))
+        rows.append((f, k, number, rng.randint(1, 3) * 100, rng.choice([5, 6, None]), rng.choice(["甲店", "乙店", None])))
+    schema = "field string, seq bigint, number string, cents bigint, minute bigint, name string"
+    all_ = spark.createDataFrame(rows, schema)
+    want = sorted(tuple(r) for r in history.same_rows(all_).collect())
+    index = history.Index(spark, f"file://{tmp_path}/index")
+    parent = {}
+    for b in range(5):
+        batch = spark.createDataFrame(rows[b * 80 : (b + 1) * 80], schema)
+        parent |= {r["seq_b"]: r["seq_a"] for r in index.check(batch).collect()}
+        index.add(f"B{b}", batch)
+        index.add(f"B{b}", batch)  # once more: replaced, not stored twice
+        index.compact()
+    assert len(index.parts()) < 5 and index.shards().selectExpr("sum(rows)").first()[0] == index._rows(all_).count()
+
+    def top(s):
+        while s in parent:
+            s = parent[s]
+        return s
+
+    assert sorted((f, top(s), s) for s in parent) == want
+
+
 # ---------------------------------------------------------------- garbled text
 
 
