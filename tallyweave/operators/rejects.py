@@ -1,11 +1,14 @@
 """Statement lines that fail to parse: split from the loading rows, with the reason.
 
-Each worker writes the lines of an Arrow batch to a scratch file of the task and lets DuckDB's strict CSV
-reader load it with reject tables; the line-level errors are joined to the raw records by line number, and
-the values of the rows that loaded are then checked. A line break inside a record is written as a
-noncharacter, so one record is one line and no broken quote can swallow its neighbours: a record whose
-last quote stays open goes no further than the quoting check. The reader lets a quote inside an unquoted
-field and an empty field too many at the end pass, so an exact check of the raw line's quoting and width follows.
+Each worker writes the lines of an Arrow batch to scratch files of the task and lets DuckDB's strict CSV
+reader load them with reject tables; the reader's line-level errors are joined to the raw records by file and line
+number, and the values of the rows that loaded are then checked. A line break inside a record is written as a
+noncharacter, so one record is one line. A record whose last quote may stay open has a file of its own, so that it
+can't swallow its neighbours; the reader judges it like the others.
+
+The reader lets three things pass that the format forbids, and they are checked on the raw line afterwards: a quote
+inside an unquoted field, other signs than blanks beside a quoted field, and an empty field too many at the end. It names only
+one error of a line, so a line with a wrong number of columns is also checked for its quoting, which counts first.
 
 Defined results: NULL, blank and ``-`` lines, and lines before a file's header (or of a file without one),
 are no records. Repeated lines are each reported. Empty tables give no rows.
@@ -39,13 +42,13 @@ OUT = "raw_id bigint, reason string, trade_time timestamp_ntz, category string,
 
 _CHECK = f"""
 with errors as (
-  select line - 1 as n, bool_or(error_type like '%QUOTE%') as quoting, bool_or(error_type like '%COLUMN%') as columns
-  from reject_errors group by all
+  select p.n, bool_or(error_type like '%QUOTE%') as quoting, bool_or(error_type like '%COLUMN%') as columns, count(*) as errors
+  from reject_errors e join reject_scans s using (scan_id, file_id) join placed p on p.file = parse_filename(s.file_path) and p.line = e.line group by all
 ), lines as (
   select n, raw_id, regexp_full_match(line, ?) as quoted, length(regexp_replace(line, '{_QUOTED}|[^,"]', '', 'g')) + 1 as width from batch
 ), checked as (
-  select l.raw_id, r.*, trim_(r.f1) as t, trim_(r.f3) as m, trim_(r.f7) as a,
-         case when not l.quoted or coalesce(e.quoting, false) then 'quoting'
+  select l.raw_id, r.*, trim_(r.f1) as t, trim_(r.f3) as m, trim_(r.f7) as a, coalesce(e.errors, 0) as errors,
+         case when coalesce(e.quoting, false) or not l.quoted then 'quoting'
               when coalesce(e.columns, false) or r.n is null or l.width <> {FIELDS} then 'column_count' end as broken
   from lines l left join loaded r on r.n = l.n left join errors e on e.n = l.n
 )
@@ -57,13 +60,13 @@ select raw_id,
        when coalesce(m, '') = '' or regexp_matches(m, '{CONTROL}') then 'merchant_name' end as reason,
   try_cast(replace(t, '/', '-') as timestamp) as trade_time, trim_(f2) as category, m as merchant,
   try_cast(regexp_replace(a, '[¥￥,]', '', 'g') as double) as amount,
-  trim_(f6) as direction, trim_(f8) as method, trim_(f9) as status, trim_(f10) as trade_id
+  trim_(f6) as direction, trim_(f8) as method, trim_(f9) as status, trim_(f10) as trade_id, errors
 from checked
 """
 
 
-def check_batch(con, raw_ids: list[int], lines: list[str], scratch: str) -> pa.Table:
-    """One batch through the reader: (raw_id, reason or NULL, typed columns)."""
+def check_batch(con, raw_ids: list[int], lines: list[str], folder: str) -> pa.Table:
+    """One batch through the reader: (raw_id, reason or NULL, typed columns, errors that the reader reported)."""
     swapped = []
     for x in lines:
         for a, b in STAND_INS.items():
@@ -72,20 +75,33 @@ def check_batch(con, raw_ids: list[int], lines: list[str], scratch: str) -> pa.T
         swapped.append(x)
     batch = pa.table({"n": pa.array(range(len(swapped)), pa.int64()), "raw_id": pa.array(raw_ids, pa.int64()), "line": pa.array(swapped, pa.string())})
     con.register("batch", batch)
-    closed = con.execute("select regexp_full_match(line, ?) from batch order by n", [CLOSED]).fetchnumpy()
-    closed = next(iter(closed.values()))
-    with open(scratch, "w", encoding="utf-8", newline="") as f:
-        f.writelines(f"{i},{x}\n" if ok else f"{i}\n" for i, (x, ok) in enumerate(zip(swapped, closed)))
+    closed = next(iter(con.execute("select regexp_full_match(line, ?) from batch order by n", [CLOSED]).fetchnumpy().values()))
+    files, placed, at = ["all.csv"], [], 0
+    with open(os.path.join(folder, files[0]), "w", encoding="utf-8", newline="") as f:
+        for n, (x, ok) in enumerate(zip(swapped, closed)):
+            if ok:
+                at += 1
+                f.write(f"{n},{x}\n")
+                placed.append((files[0], at, n))
+            else:
+                files.append(f"{n}.csv")
+                with open(os.path.join(folder, files[-1]), "w", encoding="utf-8", newline="") as own:
+                    own.write(f"{n},{x}\n")
+                placed.append((files[-1], 1, n))
+    con.register("placed", pa.table(dict(zip(("file", "line", "n"), map(list, zip(*placed))))))
     con.execute("drop table if exists reject_errors; drop table if exists reject_scans")
     kinds = ", ".join(f"'{c}': 'varchar'" for c in ["n", *COLUMNS])
     con.execute(
         f"""create or replace temp table loaded as select * replace (cast(n as bigint) as n)
         from read_csv(?, header=false, auto_detect=false, delim=',', quote='"', escape='"', new_line='\\n', columns={{{kinds}}},
                       store_rejects=true, rejects_limit=0, strict_mode=true, null_padding=false, max_line_size=268435456)""",
-        [scratch],
+        [[os.path.join(folder, x) for x in files if x != "all.csv" or at]],
     )
-    got = con.execute(_CHECK, [WELL_QUOTED]).to_arrow_table()
+    got = con.sql(_CHECK, params=[WELL_QUOTED]).to_arrow_table()
     con.unregister("batch")
+    con.unregister("placed")
+    for x in files:
+        os.remove(os.path.join(folder, x))
     return got
 
 
@@ -105,8 +121,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not b.num_rows:
                 continue
             con = con or connect()
-            got = check_batch(con, b.column(0).to_pylist(), b.column(1).to_pylist(), os.path.join(folder, "batch.csv"))
-            yield from got.cast(kinds).to_batches()
+            got = check_batch(con, b.column(0).to_pylist(), b.column(1).to_pylist(), folder)
+            yield from got.select(kinds.names).cast(kinds).to_batches()
 
 
 def record_lines(raw: DataFrame) -> DataFrame:

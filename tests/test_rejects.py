@@ -50,3 +50,13 @@ def test_against_brute_force(spark):
     assert got == want
     loaded = {r["raw_id"]: r["amount"] for r in rejects.load_records(raw).filter("reason is null").collect()}
     assert loaded[15] == 1234.5
+
+
+def test_the_reader_judges_every_line(tmp_path):
+    records = [x for x in LINES if x.strip() and not x.startswith("-")]
+    got = rejects.check_batch(rejects.connect(), list(range(len(records))), records, str(tmp_path)).to_pydict()
+    told = {x: (r, e) for x, r, e in zip((records[i] for i in got["raw_id"]), got["reason"], got["errors"])}
+    assert told[line(merchant='"a')] == ("quoting", told[line(merchant='"a')][1]) and told[line(merchant='"a')][1] > 0  # its quote stays open
+    assert told[line(tail=",,,")][1] > 0 and told[line(tail=",,,,,x")][1] > 0 and told[line(merchant='"a"b')][1] > 0
+    assert told[line(merchant='a"b')] == ("quoting", 0) and told[line(tail=",,,,,")] == ("column_count", 0)  # what it lets pass
+    assert all(r in ("quoting", "column_count") for r, e in told.values() if e) and not any(tmp_path.iterdir())
