@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyweave.functions import dates, fields, text
-from tallyweave.operators import assign, layout, matching, optimizer, records, rejects, zoned_time
+from tallyweave.operators import assign, layout, matching, optimizer, records, rejects, rides, zoned_time
 from tallyweave.plans import views
 from tallyweave.streaming.arrivals import windowed_totals
 from tallyweave.tables import table
@@ -342,6 +342,58 @@ def q_sheet_fields(spark, sf_dir):
     return sheets.select("id", fields.document_amount(F.col("text")).alias("amount"), fields.document_number(F.col("text")).alias("number"), fields.company_name(F.col("text")).alias("company"))
 
 
+# the rides of an invoice as a table on a page: seven columns, a row each
+_COLUMNS = ["序号", "服务商", "上车时间", "城市", "起点", "终点", "金额(元)"]
+_SHEET_ROWS = """select id, cast(pos as int) as pos, it.provider as provider, it.date_time as t, it.city as city, it.pickup as pickup, it.dropoff as dropoff, round(it.amount, 2) as amount
+from (select id, unnest(itineraries) as it, generate_subscripts(itineraries, 1) as pos from invoice)"""
+
+
+def _sheet(spark, sf_dir) -> DataFrame:
+    """(doc_id, row_no, col_no, text) of all ride sheets, with the head in row 0."""
+    inv = table(spark, sf_dir, "invoice").filter(F.size("itineraries") > 0)
+    r = F.col("ride")
+    plain = lambda c: F.coalesce(r[c], F.lit(""))
+    values = [(F.col("at") + 1).cast("string"), plain("provider"), plain("date_time"), plain("city"), plain("pickup"), plain("dropoff"), F.format_string("%.2f", r["amount"])]
+    body = inv.select(F.col("id").alias("doc_id"), F.posexplode("itineraries").alias("at", "ride")).select("doc_id", (F.col("at") + 1).alias("row_no"), F.posexplode(F.array(*values)).alias("col_no", "text"))
+    head = inv.select(F.col("id").alias("doc_id"), F.lit(0).alias("row_no"), F.posexplode(F.array(*[F.lit(c) for c in _COLUMNS])).alias("col_no", "text"))
+    return head.unionByName(body)
+
+
+def _ride_sql(time: str) -> str:
+    line = lambda c: f"trim(regexp_replace(coalesce({c}, ''), chr(10), '', 'g'), ' ')"
+    filled = " + ".join(f"cast(coalesce({c}, '') <> '' as int)" for c in ("provider", "t", "city", "pickup", "dropoff"))
+    return f"select id, {time} as date_time, trim(coalesce(provider, ''), ' ') as provider, {line('pickup')} as pickup, {line('dropoff')} as dropoff, amount from ({_SHEET_ROWS}) where amount > 0 and {filled} > 0"
+
+
+@query(_ride_sql("coalesce(" + _shape_sql().split("select id, ")[1].split(" as found")[0] + ", '')"))
+def q_rides_in_cells(spark, sf_dir):
+    cells = _sheet(spark, sf_dir).withColumns({"page": F.lit(1), "table_no": F.lit(0)})
+    return rides.rides_in_cells(cells).select(F.col("doc_id").alias("id"), "date_time", "provider", "pickup", "dropoff", F.round("amount", 2).alias("amount"))
+
+
+@query(f"select id, amount from (select id, pos, amount, row_number() over (partition by id, pos order by pos) from ({_SHEET_ROWS}) where amount > 0 and amount < 1000000)")
+def q_rides_in_words(spark, sf_dir):
+    """The sheets as words at positions: a column every 100, a row every 30. Times are made distinct, so every ride stays."""
+    words = _sheet(spark, sf_dir).withColumns({"page": F.lit(1), "seq": F.col("row_no") * 10 + F.col("col_no"), "x0": F.col("col_no") * 100.0, "x1": F.col("col_no") * 100.0 + 40, "top": F.col("row_no") * 30.0 + 10, "bottom": F.col("row_no") * 30.0 + 20})
+    words = words.withColumn("text", F.when((F.col("row_no") > 0) & (F.col("col_no") == 2), F.format_string("2025-01-02 %02d:%02d", (F.col("row_no") / 60).cast("int"), F.col("row_no") % 60)).otherwise(F.col("text"))).filter("text <> ''")
+    return rides.rides_in_words(words).select(F.col("doc_id").alias("id"), F.round("amount", 2).alias("amount"))
+
+
+_LACKS = "coalesce(list_filter([case when not coalesce(amount > 0, false) then 'amount' end, case when not regexp_matches(t, '[:：]') or contains(t, '??') or regexp_matches(t, '[:：]$') then 'date_time' end], lambda x: x is not null), [])"
+
+
+@query(f"select id, pos - 1 as ride_no, array_to_string({_LACKS}, ',') as missing from (select id, cast(pos as int) as pos, trim(coalesce(it.date_time, ''), ' ') as t, it.amount as amount from (select id, unnest(itineraries) as it, generate_subscripts(itineraries, 1) as pos from invoice))")
+def q_ride_missing(spark, sf_dir):
+    r = table(spark, sf_dir, "invoice").select("id", F.posexplode("itineraries").alias("ride_no", "ride"))
+    return r.select("id", "ride_no", F.array_join(rides.missing_fields(F.col("ride.date_time"), F.col("ride.amount")), ",").alias("missing"))
+
+
+@query("with r as (select id, unnest(itineraries) as it, generate_subscripts(itineraries, 1) as pos from invoice) select id, cast(count(distinct (coalesce(it.date_time, chr(0)), round(it.amount * 100))) as bigint) as rides from r group by id")
+def q_ride_distinct(spark, sf_dir):
+    r = table(spark, sf_dir, "invoice").select("id", F.posexplode("itineraries").alias("pos", "ride")).select("id", "pos", "ride.date_time", "ride.amount")
+    return rides.distinct_rides(r, ["id"]).groupBy("id").agg(F.count("*").alias("rides"))
+
+
 @query()
 def q_document_rides(spark, sf_dir):
     """The rides of each invoice written as lines of a sheet and read back from its text."""
