@@ -167,3 +167,67 @@ def company_sql() -> str:
     runs = f"list_transform(string_split_regex(text, '[^{NAME_SIGNS}]+'), lambda r: regexp_extract(r, '^.*{COMPANY}'))"
     last = f"(list_filter({runs}, lambda r: length(r) >= {len(COMPANY) + 2}))[-1]"
     return f"right({last}, {NAME_LETTERS + len(COMPANY)})"
+
+
+# ---------------------------------------------------------------- sellers and small tests
+
+# Words that show a buyer, words that end a name behind its label, signs that labels leave at its end.
+BUYERS = ("购买方", "国防", "大学", "学院", "医院")
+NAME_ENDS = r"名\s*称|统一|纳税人|电话|开户|地址|销|买|售|备"
+LABEL_SIGNS = "销买售购方"
+SELLER_LABELS = ("销售方：", "销售方:", "收款单位：", "收款单位:", "开票方：", "开票方:")
+MOST_SEQ = 200
+
+
+def is_buyer(name: Column) -> Column:
+    hit = name.contains(BUYERS[0])
+    for w in BUYERS[1:]:
+        hit = hit | name.contains(w)
+    return hit
+
+
+def clean_seller(name: Column) -> Column:
+    """A seller's name without the label's words and the signs that a label leaves at its end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(name), "销售方|销售", ""), f"[{LABEL_SIGNS}\\s]+$", ""))
+
+
+def document_seller(text: Column) -> Column:
+    """The seller of a document: the last name behind a label of names that is no buyer's, else the last of all,
+    else the word behind a label of sellers; '' if there is none."""
+    behind = F.slice(F.split(text, r"名\s*称\s*[：:]"), 2, 2**30)
+    names = F.transform(behind, lambda p: F.trim(F.regexp_replace(F.trim(F.get(F.split(p, f"(?:\\s*(?:{NAME_ENDS}))|\\n", 2), 0)), "[买售 ]+$", "")))
+    names = F.filter(names, lambda n: F.char_length(n) >= 1)
+    sellers = F.filter(names, lambda n: ~is_buyer(n))
+    labelled = found(text, Rule(SELLER_LABELS, "after", r"\s*", r"\S+"))
+    return F.coalesce(F.try_element_at(sellers, F.lit(-1)), F.try_element_at(names, F.lit(-1)), F.get(labelled, 0), F.lit(""))
+
+
+def company_before(text: Column, label: str) -> Column:
+    """The last company name before a label; NULL if there is none."""
+    return company_name(F.get(F.split(text, label, 2), 0))
+
+
+def enough_text(texts: Column, least: int) -> Column:
+    """Whether texts have that many bytes together."""
+    return F.aggregate(texts, F.lit(0), lambda n, t: n + F.coalesce(F.octet_length(t), F.lit(0))) >= least
+
+
+def seq_number(text: Column) -> Column:
+    """The sequence number that a cell begins with, up to 200; NULL for dates, times and other texts."""
+    t = F.trim(text)
+    n = F.regexp_extract(t, r"^(\d{1,9})", 1).try_cast("int")
+    return F.when(~t.rlike("[-:：]") & (n <= MOST_SEQ), n)
+
+
+def clean_time(text: Column) -> Column:
+    """A time cell without sequence numbers between its words; a number after a colon is its minutes."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    kept = F.filter(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("before")), lambda x: x["w"].isNotNull() & (~x["w"].rlike(r"^\d{1,3}$") | (x["w"].try_cast("int") > MOST_SEQ) | x["before"].rlike("[:：]$")))
+    out = F.array_join(F.transform(kept, lambda x: x["w"]), " ")
+    return F.when(out == "", text).otherwise(out)
+
+
+def garbled_time(text: Column) -> Column:
+    """Whether a ride's time can't be read: empty, with question marks, cut behind a colon or without one."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return t.contains("??") | t.rlike("[:：]$") | ~t.rlike("[:：]")

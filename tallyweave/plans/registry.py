@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyweave.functions import dates, fields, text
-from tallyweave.operators import assign, layout, matching, optimizer, records, rejects, rides, zoned_time
+from tallyweave.functions import dates, fields, routing, stays, text
+from tallyweave.operators import assign, layout, matching, optimizer, records, rejects, rides, summaries, zoned_time
 from tallyweave.plans import views
+from tallyweave.sources import bills
 from tallyweave.streaming.arrivals import windowed_totals
-from tallyweave.tables import table
+from tallyweave.tables import shared_dir, table
 
 BOTH = f"inv as ({views.CLAIMS_SQL}), pay as ({views.PAYMENTS_SQL})"
 RIDES = f"ride as ({views.RIDES_SQL}), rpay as ({views.RIDE_PAY_SQL})"
@@ -407,6 +409,111 @@ def q_capital_amounts(spark, sf_dir):
     return table(spark, sf_dir, "invoice").select("id", text.capital_amount(F.round(F.col("amount") * 100).cast("bigint")).alias("capitals"))
 
 
+_TIERS = ["", "行程报销单", "行程单 滴滴", "天府通", "电子行程单 地铁", "国内机票 保险", "航班", "行程单 携程", "过路费", "ETC 高速", "增值税 电子发票", "电子发票 普通发票", "电子发票 普通发票 高德", "酒店 结账单", "铁路电子客票", "G123 长沙站", "曹操", "*住宿服务*房费", "*运输服务*高铁", "*运输服务*机票", "*客运服务*", "*旅客运输服务*", "保险费", "网约车", "退票", "航空", "客运站", "餐厅", "民宿", "*餐饮服务*", "手续费"]
+_TIERED = f"list_extract({_TIERS!r}, cast({{0}} % {len(_TIERS)} + 1 as int)) || ' ' || coalesce(substr({{1}}, 1, 40), '')"
+
+
+def _tiered(number: Column, text_: Column) -> Column:
+    """A text to which the words of one tier after the other are given, so that each tier occurs."""
+    return F.concat(F.element_at(F.array(*[F.lit(x) for x in _TIERS]), (number % len(_TIERS) + 1).cast("int")), F.lit(" "), F.coalesce(F.substring(text_, 1, 40), F.lit("")))
+
+
+_KIND_SQL = routing.first_rule_sql(routing.DOCUMENT_KINDS, {"text": "t", "train_no": f"(case when regexp_matches(t, '{routing.TRAIN_NO}') then '1' else '' end)"})
+
+
+@query(f"with d as (select doc_id, {_TIERED.format('doc_id', 'text')} as t from documents), k as (select doc_id, t, {_KIND_SQL} as kind from d) select doc_id, kind, {routing.first_rule_sql(routing.TEXT_RULES, {'text': 'lower(t)', 'kind': 'kind'})} as category from k")
+def q_document_kind(spark, sf_dir):
+    """Kind and category of the heads of documents, with the words of every tier among them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", _tiered(F.col("doc_id"), F.col("text")).alias("t"))
+    kind = routing.document_kind(F.col("t"))
+    return d.select("doc_id", kind.alias("kind"), routing.category_by_text(F.col("t"), kind).alias("category"))
+
+
+@query(f"with d as (select id, lower({_TIERED.format('import_seq', 'item_name')}) as items, lower(coalesce(item_name, '')) as item, lower(coalesce(seller_name, '')) as seller, lower(coalesce(remarks, '')) as region from invoice) select id, {routing.first_rule_sql(routing.REGION_RULES, {'items': 'items', 'item': 'item', 'seller': 'seller', 'seller_region': 'region'})} as category from d")
+def q_region_category(spark, sf_dir):
+    inv = table(spark, sf_dir, "invoice")
+    return inv.select("id", routing.category_by_regions(_tiered(F.col("import_seq"), F.col("item_name")), F.col("item_name"), F.col("seller_name"), F.col("remarks")).alias("category"))
+
+
+@query("select id, case when category = 'CityTransport' and len(itineraries) > 0 then 'OneToMany' when coalesce(seller_name, '') <> '' then 'AmountWithMerchant' else 'MultiDimensional' end as strategy from invoice")
+def q_strategy(spark, sf_dir):
+    return table(spark, sf_dir, "invoice").select("id", routing.strategy(F.col("category"), F.coalesce(F.size("itineraries"), F.lit(0)), F.col("seller_name")).alias("strategy"))
+
+
+@query("select category, case category " + " ".join(f"when '{c}' then {k + 1}" for k, c in enumerate(summaries.ORDER)) + " end as place, count(*) as n, sum(cast(round(amount * 100) as bigint))::bigint as cents from (select case when category in (" + ", ".join(f"'{c}'" for c in summaries.ORDER) + ") then category else 'Other' end as category, amount from invoice) group by category")
+def q_ordered_summary(spark, sf_dir):
+    return summaries.ordered_summary(table(spark, sf_dir, "invoice"), "category", "amount")
+
+
+@query("with c as (select batch_id, merchant_name, count(*) as n from payment where merchant_name is not null group by all), r as (select *, row_number() over (partition by batch_id order by n desc, merchant_name) as k from c) select batch_id, merchant_name, n from r where k = 1")
+def q_batch_merchant(spark, sf_dir):
+    return summaries.majority(table(spark, sf_dir, "payment"), ["batch_id"], "merchant_name")
+
+
+def _per_batch(spark, sf_dir) -> DataFrame:
+    """Batches as matches: the sum of their invoices and all their payments."""
+    pay = table(spark, sf_dir, "payment").groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("transaction_id", "source", "amount", F.col("refund_amount").alias("refund"), "discount"))).alias("payments"))
+    inv = table(spark, sf_dir, "invoice").groupBy("batch_id").agg(F.sum("amount").alias("inv_amount"), F.sum(F.greatest(F.size("itineraries"), F.lit(0))).alias("rides"))
+    return inv.join(pay, "batch_id")
+
+
+@query("with p as (select batch_id, cast(round(sum(coalesce(amount, 0)) * 100) as bigint) as a, cast(round(sum(coalesce(refund_amount, 0)) * 100) as bigint) as r, cast(round(sum(coalesce(discount, 0)) * 100) as bigint) as d from payment group by 1), i as (select batch_id, cast(round(sum(amount) * 100) as bigint) as c, sum(coalesce(len(itineraries), 0)) as n from invoice group by 1) select sum(c)::bigint as claims, sum(a)::bigint as paid, sum(r)::bigint as refunds, sum(d)::bigint as discounts, sum(n)::bigint as rides from i join p using (batch_id)")
+def q_footer(spark, sf_dir):
+    return summaries.footer(_per_batch(spark, sf_dir))
+
+
+@query("with i as (select id, len(itineraries) as n from invoice where len(itineraries) > 0) select id, cast(n - n // 2 - n % 2 as int) as unpaired from i")
+def q_unpaired_rides(spark, sf_dir):
+    """Every ride with an even number is taken as paired."""
+    inv = table(spark, sf_dir, "invoice").filter(F.size("itineraries") > 0).withColumn("n", F.size("itineraries"))
+    pairs = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: k % 2 == 0)
+    return inv.select("id", summaries.unpaired_rides(F.col("n"), pairs).alias("unpaired"))
+
+
+_STAYS = "with t as (select id, travel_start as s, travel_end as e, unnest(invoice_ids) as inv from trip where travel_start is not null and travel_end is not null), h as (select t.id, t.s, t.e, i.hotel_detail.nights as n from t join invoice i on i.id = t.inv where i.category = 'Hotel'), g as (select id, greatest(date_diff('day', s, e) + 1, 1)::int as trip_days, coalesce(sum(case when n > 0 then n end), 0)::bigint as nights, count(case when coalesce(n, 0) <= 0 then 1 end) as unknown from h group by id, s, e)"
+
+
+@query(_STAYS + " select id, trip_days, (trip_days - 1)::int as expected_nights, nights, unknown, case when unknown > 0 then 'incomplete' else 'mismatch' end as status from g where unknown > 0 or nights <> trip_days - 1")
+def q_stay_check(spark, sf_dir):
+    trips = table(spark, sf_dir, "trip").select("id", F.col("travel_start").alias("start"), F.col("travel_end").alias("end"), "invoice_ids")
+    inv = table(spark, sf_dir, "invoice").filter("category = 'Hotel'").select(F.col("id").alias("inv"), F.col("hotel_detail.nights").alias("nights"))
+    hotels = trips.select("id", F.explode("invoice_ids").alias("inv")).join(inv, "inv").select("id", "nights")
+    return summaries.stay_check(trips.select("id", "start", "end"), hotels, "id")
+
+
+@query("with t as (select substr(id, 5, 8) as batch, travel_start as s, travel_end as e, destination as d from trip), f as (select batch, d, min((coalesce(s, date '0001-01-01'), d)) as k from t where d <> '' group by all), j as (select batch, string_agg(d, '、' order by k) as destinations from f group by batch) select batch, min(s) as \"start\", max(e) as \"end\", coalesce(any_value(destinations), '') as destinations from t left join j using (batch) group by batch")
+def q_trip_form(spark, sf_dir):
+    trips = table(spark, sf_dir, "trip").select(F.substring("id", 5, 8).alias("batch"), F.col("travel_start").alias("start"), F.col("travel_end").alias("end"), "destination")
+    return summaries.trip_form(trips, "batch")
+
+
+@query("select id, case source when 'Wechat' then '微信单号：' when 'Alipay' then '支付宝单号：' else '' end || coalesce(transaction_id, '') as numbers from payment")
+def q_payment_numbers(spark, sf_dir):
+    one = F.array(F.struct("source", "transaction_id"))
+    return table(spark, sf_dir, "payment").select("id", summaries.payment_numbers(one).alias("numbers"))
+
+
+@query("select distinct category, payment_method from payment where category is not null and payment_method is not null")
+def q_distinct_methods(spark, sf_dir):
+    return table(spark, sf_dir, "payment").select("category", "payment_method").where("category is not null and payment_method is not null").distinct()
+
+
+@query()
+def q_remark_stays(spark, sf_dir):
+    """The stays that remarks of invoices tell."""
+    inv = table(spark, sf_dir, "invoice")
+    return inv.withColumn("stay", stays.stay_in(F.col("remarks"), F.col("date"))).filter("stay is not null").select("id", "stay.check_in", "stay.check_out", "stay.nights")
+
+
+@query(f"select id, hotel_detail.check_in as check_in, hotel_detail.check_out as check_out, greatest(date_diff('day', hotel_detail.check_in, hotel_detail.check_out), 1)::int as nights from invoice where date is not null and hotel_detail.check_in <= hotel_detail.check_out and date_diff('day', hotel_detail.check_in, hotel_detail.check_out) <= {stays.MOST_NIGHTS}")
+def q_written_stays(spark, sf_dir):
+    """Every known stay written as a remark and read back."""
+    d = lambda c, f: F.date_format(F.col(f"hotel_detail.{c}"), f)
+    inv = table(spark, sf_dir, "invoice").filter("hotel_detail.check_in is not null and hotel_detail.check_out is not null")
+    text_ = F.concat(F.lit("入住 "), d("check_in", "y年M月d日"), F.lit("至"), d("check_out", "y/MM/dd"))
+    return inv.select("id", stays.stay_in(text_, F.col("date")).alias("stay")).filter("stay is not null").select("id", "stay.check_in", "stay.check_out", "stay.nights")
+
+
 # ---------------------------------------------------------------- windows over events
 
 
@@ -438,6 +545,40 @@ def q_windowed_totals(spark, sf_dir):
     return windowed_totals(table(spark, sf_dir, "events"), "ts", "event_type", "value")
 
 
+_HOURS = SQL["q_windowed_totals"]
+
+
+@query(_HOURS)
+def q_streamed_totals(spark, sf_dir):
+    """The same totals by a stream over the file: read as it arrives, windowed, the state written out whole at the end."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    totals = windowed_totals(arriving, "ts", "event_type", "value", late="400 days")
+    write = lambda batch, no: batch.write.mode("overwrite").parquet(f"{at}/out")
+    totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start timestamp_ntz, event_type string, n bigint, cents bigint").parquet(f"{at}/out") if _written(spark, f"{at}/out") else windowed_totals(spark.createDataFrame([], schema), "ts", "event_type", "value")
+
+
+def _written(spark, path: str) -> bool:
+    """Whether the stream had anything to write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+@query("select id, round(amount, 2) as amount from payment where round(amount, 2) > 0")
+def q_statement_files(spark, sf_dir):
+    """Payments written as statement files in the statements' encoding, and read back by the source."""
+    at = f"{shared_dir(spark)}/statements-{uuid.uuid4().hex}"
+    bytes_ = lambda x: x.encode("gbk").decode("latin-1")  # noqa: E731  # the writer knows no GBK, but one character a byte
+    word = lambda x: F.lit(bytes_(x))
+    cents = F.concat(word("￥"), F.format_string("%.2f", F.round("amount", 2)))
+    texts = {"交易时间": word("2025-01-01 10:00:00"), "交易分类": word("餐饮"), "交易对方": word("店"), "对方账号": word("x"), "商品说明": word("饭"), "收/支": word("支出"), "金额": cents, "方式": word("余额"), "交易状态": word("交易成功"), "订单号": F.col("id"), "商家订单号": word("m")}
+    rows = table(spark, sf_dir, "payment").filter(F.round("amount", 2) > 0).select(*[c.alias(bytes_(k)) for k, c in texts.items()])
+    rows.write.option("header", "true").option("encoding", "iso-8859-1").csv(at)
+    return bills.alipay(spark, f"{at}/*.csv").select(F.col("trade_id").alias("id"), "amount")
+
+
 # ---------------------------------------------------------------- training data, general
 
 QUERIES["p1_found"] = zoned_time.p1_found

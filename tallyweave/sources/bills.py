@@ -1,8 +1,8 @@
 """Bill files as DataFrames: GBK statement text, workbooks, type sniffing, and a splitting import.
 
 Statement bytes are decoded in a pandas UDF, because Spark's own text reader would decode them wrongly
-without a word and its decode() refuses GBK. Workbooks are read by a Python data source on the standard
-library; each file is one partition.
+without a word and its decode() refuses GBK. Workbooks are read as bytes by Spark, whatever the file system, and
+parsed by the standard library in Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyweave.functions.dates import serial_datetime
 from tallyweave.functions.fields import discount_in_remark, refund_in_status
@@ -94,46 +94,17 @@ def sheet_rows(data: bytes, sheet: int = 0) -> Iterator[list[str]]:
             yield cells
 
 
-class _Files(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _WorkbookReader(DataSourceReader):
-    def __init__(self, paths: list[str], sheet: int):
-        self.paths, self.sheet = paths, sheet
-
-    def partitions(self):
-        return [_Files(p) for p in self.paths]
-
-    def read(self, partition):
-        with open(partition.path, "rb") as f:
-            for i, cells in enumerate(sheet_rows(f.read(), self.sheet)):
-                yield partition.path, i, cells
-
-
-class WorkbookSource(DataSource):
-    """``workbook``: (path, pos, cells) of the first or the chosen sheet of every .xlsx file of a folder or path."""
-
-    @classmethod
-    def name(cls):
-        return "workbook"
-
-    def schema(self):
-        return T.StructType([T.StructField("path", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))])
-
-    def reader(self, schema):
-        import glob
-        import os
-
-        path = re.sub("^file:/*", "/", self.options["path"])
-        found = sorted(glob.glob(os.path.join(path, "**", "*.xlsx"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
-        return _WorkbookReader(found, int(self.options.get("sheet", 0)))
+def workbook(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
+    """(path, pos, cells) of the first or the chosen sheet of every .xlsx file of a folder or path, on any file system."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = list(enumerate(sheet_rows(content.as_py(), sheet)))
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows), pa.string()), pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.list_(pa.string()))], names=["path", "pos", "cells"])
 
-def workbook(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
-    spark.dataSource.register(WorkbookSource)
-    return spark.read.format("workbook").option("sheet", str(sheet)).load(path)
+    books = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(path)
+    return books.select("path", "content").mapInArrow(read, "path string, pos int, cells array<string>")
 
 
 def wechat(spark: SparkSession, path: str) -> DataFrame:
