@@ -143,3 +143,55 @@ def strategy(category: Column, rides: Column, seller: Column, payments: Column |
     if payments is not None:
         out = out.when(payments < FEW, F.lit("StrictAmountOnly")).when(payments > MANY, F.lit("FuzzyMatching"))
     return out.otherwise(F.lit("MultiDimensional"))
+
+
+CARRIERS = ("天府通", "轨道交通", "公交", "地铁")
+# Categories by an item's code (item), its detail, the seller, the whole text and the remarks.
+CELL_RULES: tuple[Rule, ...] = (
+    ("Insurance", (("item", ("保险",)),)),
+    ("TicketChange", (("detail", ("退票", "改签")),)),
+    ("Insurance", (("detail", ("保险", "意外险", "意外", "航意", "航延")),)),
+    ("Hotel", (("detail", ("住宿", "酒店", "宾馆")),)),
+    ("Flight", (("detail", ("机票", "航空", "客票")),)),
+    ("Train", (("detail", ("火车", "车票", "铁路")),)),
+    ("Meal", (("detail", ("餐饮", "餐费", "餐饮费")),)),
+    ("Toll", (("detail", ("通行费", "高速")),)),
+    ("CityTransport", (("detail", ("客运", "运输")),)),
+    ("CityTransport", (("detail", ("预付卡",)), ("seller", CARRIERS))),
+    ("Other", (("detail", ("预付卡",)),)),
+    ("TicketChange", (("context", ("退票", "改签")),)),
+    ("Hotel", (("item", ("住宿",)),)),
+    ("Train", (("item", ("运输服务", "客运服务")), ("text", ("火车", "车次", "铁路")))),
+    ("Flight", (("item", ("运输服务", "客运服务")), ("text", ("航班", "机票")))),
+    ("CityTransport", (("item", ("运输服务", "客运服务")),)),
+    ("Flight", (("item", ("经纪代理", "航空运输", "旅客运输")),)),
+    ("Meal", (("item", ("餐饮",)),)),
+    ("Hotel", (("item", ("生产生活服务",)), ("seller", ("酒店", "宾馆")))),
+    ("Hotel", (("item", ("生产生活服务",)), ("context", ("住宿费", "住宿服务")))),
+    ("Toll", (("item", ("生产生活服务",)), ("context", ("高速", "通行费", "收费车道")))),
+    ("Flight", (("item", ("生产生活服务",)), ("remarks", ("经济舱", "头等舱", "商务舱")))),
+    ("Flight", (("item", ("生产生活服务",)), ("text", ("航班", "机票")))),
+    ("Flight", (("item", ("生产生活服务",)), ("seller", ("航空服务",)))),
+    ("CityTransport", (("seller", ("滴滴", "出行科技", "优行", *CARRIERS)),)),
+    ("Hotel", (("seller", ("酒店", "宾馆", "民宿")),)),
+    ("Toll", (("seller", ("高速", "公路")),)),
+)
+# The route of a file by the words of its text.
+FILE_KINDS: tuple[Rule, ...] = (("Itinerary", (("text", ("行程单", "行程报销单", "电子行程单")),)), ("Bill", (("text", ("结账单",)),)), ("Invoice", (("text", ("发票", "增值税")),)))
+
+
+def category_by_cells(item: Column, detail: Column, seller: Column, text: Column, remarks: Column) -> Column:
+    """The category of an invoice by what its cells hold, its seller and its text."""
+    context = F.concat_ws(" ", remarks, seller, text)
+    return first_rule(CELL_RULES, {"item": item, "detail": detail, "seller": seller, "text": text, "remarks": remarks, "context": context})
+
+
+def file_kind(text: Column) -> Column:
+    """Itinerary, Bill, Invoice or Other: which way a file goes."""
+    return first_rule(FILE_KINDS, {"text": text})
+
+
+def block_kind(text: Column) -> Column:
+    """Title, KeyValue or Other: what a block of recognised text is."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(t.rlike("^[^：:]{1,12}[：:]"), "KeyValue").when((F.char_length(t) <= 20) & t.rlike("发票|行程单|账单|报销单"), "Title").otherwise("Other")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyweave.functions import dates, fields, routing, stays, text
-from tallyweave.operators import assign, layout, matching, optimizer, records, rejects, rides, summaries, zoned_time
+from tallyweave.operators import assign, invoice_cells, layout, matching, optimizer, records, rejects, rides, summaries, zoned_time
 from tallyweave.plans import views
 from tallyweave.sources import bills
 from tallyweave.streaming.arrivals import windowed_totals
@@ -344,6 +344,15 @@ def q_sheet_fields(spark, sf_dir):
     return sheets.select("id", fields.document_amount(F.col("text")).alias("amount"), fields.document_number(F.col("text")).alias("number"), fields.company_name(F.col("text")).alias("company"))
 
 
+_TIERS = ["", "行程报销单", "行程单 滴滴", "天府通", "电子行程单 地铁", "国内机票 保险", "航班", "行程单 携程", "过路费", "ETC 高速", "增值税 电子发票", "电子发票 普通发票", "电子发票 普通发票 高德", "酒店 结账单", "铁路电子客票", "G123 长沙站", "曹操", "*住宿服务*房费", "*运输服务*高铁", "*运输服务*机票", "*客运服务*", "*旅客运输服务*", "保险费", "网约车", "退票", "航空", "客运站", "餐厅", "民宿", "*餐饮服务*", "手续费"]
+_TIERED = f"list_extract({_TIERS!r}, cast({{0}} % {len(_TIERS)} + 1 as int)) || ' ' || coalesce(substr({{1}}, 1, 40), '')"
+
+
+def _tiered(number: Column, text_: Column) -> Column:
+    """A text to which the words of one tier after the other are given, so that each tier occurs."""
+    return F.concat(F.element_at(F.array(*[F.lit(x) for x in _TIERS]), (number % len(_TIERS) + 1).cast("int")), F.lit(" "), F.coalesce(F.substring(text_, 1, 40), F.lit("")))
+
+
 # the rides of an invoice as a table on a page: seven columns, a row each
 _COLUMNS = ["序号", "服务商", "上车时间", "城市", "起点", "终点", "金额(元)"]
 _SHEET_ROWS = """select id, cast(pos as int) as pos, it.provider as provider, it.date_time as t, it.city as city, it.pickup as pickup, it.dropoff as dropoff, round(it.amount, 2) as amount
@@ -396,6 +405,22 @@ def q_ride_distinct(spark, sf_dir):
     return rides.distinct_rides(r, ["id"]).groupBy("id").agg(F.count("*").alias("rides"))
 
 
+@query(f"select id, round(amount, 2) as amount, case when length(coalesce(remarks, '')) >= 3 then trim(remarks, ' ') end as remarks from invoice where amount > 0 and amount < {fields.LARGEST} and not regexp_matches(coalesce(remarks, ''), '[^!-~一-龥]')")
+def q_cell_fields(spark, sf_dir):
+    """Amount and remarks of every invoice written into cells beside their labels, and read back."""
+    inv = table(spark, sf_dir, "invoice").filter((F.col("amount") > 0) & (F.col("amount") < fields.LARGEST) & ~F.coalesce("remarks", F.lit("")).rlike("[^!-~一-龥]"))
+    cell = lambda r, c, x: F.struct(F.lit(r).alias("row_no"), F.lit(c).alias("col_no"), F.array(x).alias("texts"))
+    cells = F.array(cell(0, 0, F.lit("价税合计（大写）")), cell(0, 1, F.lit("圆整")), cell(0, 2, F.concat(F.lit("（小写）¥"), F.format_string("%.2f", F.round("amount", 2)))), cell(1, 0, F.lit("备 注")), cell(1, 1, F.coalesce("remarks", F.lit(""))))
+    rows = inv.select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), F.explode(cells).alias("c")).select("doc_id", "page", "table_no", "c.*")
+    return invoice_cells.invoice_fields(rows).select(F.col("doc_id").alias("id"), "amount", "remarks")
+
+
+@query(f"select id, {routing.first_rule_sql(routing.CELL_RULES, {k: k for k in ('item', 'detail', 'seller', 'text', 'remarks', 'context')})} as category from (select id, coalesce(item_name, '') as item, {_TIERED.format('import_seq', 'item_name')} as detail, coalesce(seller_name, '') as seller, '' as text, coalesce(remarks, '') as remarks, concat_ws(' ', remarks, seller_name, '') as context from invoice)")
+def q_cell_category(spark, sf_dir):
+    inv = table(spark, sf_dir, "invoice")
+    return inv.select("id", routing.category_by_cells(F.col("item_name"), _tiered(F.col("import_seq"), F.col("item_name")), F.col("seller_name"), F.lit(""), F.col("remarks")).alias("category"))
+
+
 @query()
 def q_document_rides(spark, sf_dir):
     """The rides of each invoice written as lines of a sheet and read back from its text."""
@@ -409,15 +434,6 @@ def q_capital_amounts(spark, sf_dir):
     return table(spark, sf_dir, "invoice").select("id", text.capital_amount(F.round(F.col("amount") * 100).cast("bigint")).alias("capitals"))
 
 
-_TIERS = ["", "行程报销单", "行程单 滴滴", "天府通", "电子行程单 地铁", "国内机票 保险", "航班", "行程单 携程", "过路费", "ETC 高速", "增值税 电子发票", "电子发票 普通发票", "电子发票 普通发票 高德", "酒店 结账单", "铁路电子客票", "G123 长沙站", "曹操", "*住宿服务*房费", "*运输服务*高铁", "*运输服务*机票", "*客运服务*", "*旅客运输服务*", "保险费", "网约车", "退票", "航空", "客运站", "餐厅", "民宿", "*餐饮服务*", "手续费"]
-_TIERED = f"list_extract({_TIERS!r}, cast({{0}} % {len(_TIERS)} + 1 as int)) || ' ' || coalesce(substr({{1}}, 1, 40), '')"
-
-
-def _tiered(number: Column, text_: Column) -> Column:
-    """A text to which the words of one tier after the other are given, so that each tier occurs."""
-    return F.concat(F.element_at(F.array(*[F.lit(x) for x in _TIERS]), (number % len(_TIERS) + 1).cast("int")), F.lit(" "), F.coalesce(F.substring(text_, 1, 40), F.lit("")))
-
-
 _KIND_SQL = routing.first_rule_sql(routing.DOCUMENT_KINDS, {"text": "t", "train_no": f"(case when regexp_matches(t, '{routing.TRAIN_NO}') then '1' else '' end)"})
 
 
