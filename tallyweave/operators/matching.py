@@ -153,19 +153,38 @@ def ride_best_payment(rides: DataFrame, pay: DataFrame, keys: list[str], toleran
     return least_by(c, [*keys, "ride_id"], F.col("tier"), F.col("hours_after"), F.col("amount_diff"), F.col("pay_pos"))
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, left_id: str, right_id: str) -> DataFrame:
-    """For each left row the right row of the same keys with the nearest time, before or after.
+HOT = 1_000_000  # rows of one key from which its time is cut into slices
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, left_id: str, right_id: str, hot: int = HOT) -> DataFrame:
+    """For each left row the right row of the same keys with the nearest time, before or after; ties go to the smaller id.
 
     Both sides are merged in time order and the last earlier and first later right rows are carried along,
-    so the cost is a sort within the keys and not the product of the sides.
+    so the cost is a sort within the keys and not the product of the sides. The time of hot keys, found by
+    counting, is cut into slices that are sorted by themselves; the last right row of the slices before and the first of
+    those after come from one row a slice.
     """
     a = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__s"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.schema.simpleString()).alias("__r"))
     b = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__s"), F.lit(None).cast(left.schema.simpleString()).alias("__l"), F.struct(*right.columns).alias("__r"))
-    order = W.partitionBy(*keys).orderBy("__t", "__s", F.col(f"__r.{right_id}"))
-    back = W.partitionBy(*keys).orderBy(F.desc("__t"), F.asc("__s"), F.desc(F.col(f"__r.{right_id}")))
-    both = a.unionByName(b).withColumn("__before", F.last("__r", ignorenulls=True).over(order)).withColumn("__after", F.last("__r", ignorenulls=True).over(back))
-    own = both.filter("__s = 1")
-    gap = lambda c: F.abs(F.unix_micros(F.col("__t").cast("timestamp")) - F.unix_micros(F.col(f"{c}.{right_time}").cast("timestamp")))
+    both = a.unionByName(b)
+    ends = both.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__t").alias("__from"), F.max("__t").alias("__to")).filter(F.col("__n") > hot)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    width = F.greatest(F.ceil((micros("__to") - micros("__from") + 1) / F.ceil(F.col("__n") / hot)), F.lit(1))
+    slices = ends.select(*keys, micros("__from").alias("__low"), width.alias("__width"))  # at most all rows / hot of them
+    both = both.join(F.broadcast(slices), keys, "left").withColumn("__slice", F.coalesce(F.floor((micros("__t") - F.col("__low")) / F.col("__width")), F.lit(0))).drop("__low", "__width")
+    order = W.partitionBy(*keys, "__slice").orderBy("__t", "__s", F.col(f"__r.{right_id}"))
+    back = W.partitionBy(*keys, "__slice").orderBy(F.desc("__t"), F.asc("__s"), F.desc(F.col(f"__r.{right_id}")))
+    marked = both.withColumn("__before", F.last("__r", ignorenulls=True).over(order)).withColumn("__after", F.last("__r", ignorenulls=True).over(back))
+    own = marked.filter("__s = 1")
+    # one row a slice: its first and last right row, carried over the slices of the key
+    at = F.struct("__t", F.col(f"__r.{right_id}"))
+    edge = b.join(F.broadcast(slices), keys).withColumn("__slice", F.floor((micros("__t") - F.col("__low")) / F.col("__width"))).groupBy(*keys, "__slice").agg(F.min_by("__r", at).alias("__first"), F.max_by("__r", at).alias("__last"))
+    along = W.partitionBy(*keys).orderBy("__slice")
+    want = own.join(F.broadcast(slices).select(*keys), keys, "left_semi").select(*keys, "__slice").distinct()
+    edge = want.join(edge, [*keys, "__slice"], "full_outer")
+    edge = edge.select(*keys, "__slice", F.last("__last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("__earlier"), F.first("__first", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("__later"))
+    own = own.join(edge, [*keys, "__slice"], "left").withColumns({"__before": F.coalesce("__before", "__earlier"), "__after": F.coalesce("__after", "__later")})
+    gap = lambda c: F.abs(micros("__t") - F.unix_micros(F.col(f"{c}.{right_time}").cast("timestamp")))
     first = F.col(f"__before.{right_id}").isNotNull() & (F.col(f"__after.{right_id}").isNull() | (gap("__before") < gap("__after")) | ((gap("__before") == gap("__after")) & (F.col(f"__before.{right_id}") <= F.col(f"__after.{right_id}"))))
     near = F.when(first, F.col("__before")).otherwise(F.col("__after"))
     return own.withColumn("__n", near).filter(F.col(f"__n.{right_id}").isNotNull()).select(*[F.col(f"__l.{c}").alias(c) for c in left.columns], *[F.col(f"__n.{c}").alias(c) for c in right.columns if c not in keys and c not in left.columns])

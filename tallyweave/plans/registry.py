@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyweave.functions import dates, fields, routing, stays, text
-from tallyweave.operators import assign, invoice_cells, layout, matching, optimizer, records, rejects, rides, summaries, zoned_time
+from tallyweave.operators import assign, invoice_cells, layout, matching, optimizer, records, regions, rejects, rides, summaries, zoned_time
 from tallyweave.plans import views
 from tallyweave.sources import bills
 from tallyweave.streaming.arrivals import windowed_totals
@@ -530,6 +530,30 @@ def q_written_stays(spark, sf_dir):
     return inv.select("id", stays.stay_in(text_, F.col("date")).alias("stay")).filter("stay is not null").select("id", "stay.check_in", "stay.check_out", "stay.nights")
 
 
+def _at(rows: DataFrame, *words: tuple) -> DataFrame:
+    """One page a row of (id), with words (text, x0, top, x1, bottom) on it."""
+    cells = F.array(*[F.struct(F.lit(k).alias("seq"), t.alias("text"), *[F.lit(float(v)).alias(c) for c, v in zip(("x0", "top", "x1", "bottom"), at)]) for k, (t, *at) in enumerate(words)])
+    return rows.select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), F.explode(cells).alias("w")).select("doc_id", "page", "w.*")
+
+
+@query(f"select id, round(amount, 2) as amount, case when length(seller_name) >= 3 and not regexp_matches(seller_name, '统一社会|[^!-~一-龥]') and not regexp_matches(seller_name, '^[0-9A-Z]{{15,20}}$') then seller_name end as seller from invoice where round(amount, 2) > 0")
+def q_fields_by_place(spark, sf_dir):
+    """Amounts and sellers set on pages beside their labels, and read back by their places."""
+    inv = table(spark, sf_dir, "invoice").filter(F.round("amount", 2) > 0)
+    name = F.when(~F.col("seller_name").rlike("统一社会|[^!-~一-龥]"), F.col("seller_name"))
+    words = _at(inv.withColumn("name", name), (F.lit("名称："), 0, 0, 30, 10), (F.lit("某大学"), 40, 0, 90, 10), (F.lit("名称："), 300, 0, 330, 10), (F.col("name"), 340, 1, 500, 11), (F.lit("价税合计"), 0, 100, 60, 110), (F.concat(F.lit("¥"), F.format_string("%.2f", F.round("amount", 2))), 200, 102, 260, 112), (F.lit("9.99"), 200, 140, 260, 150))
+    out = regions.amount_by_place(words).join(regions.seller_by_place(words), "doc_id", "left")
+    return out.select(F.col("doc_id").alias("id"), "amount", "seller")
+
+
+@query("select id, substr(category, 1, 3) as title from invoice where length(category) >= 3")
+def q_vertical_titles(spark, sf_dir):
+    """Words written downwards, found again as titles."""
+    inv = table(spark, sf_dir, "invoice").filter(F.length("category") >= 3)
+    words = _at(inv, *[(F.substring("category", k + 1, 1), 10, 12 * k, 20, 12 * k + 10) for k in range(3)], (F.lit("文"), 60, 0, 70, 10))
+    return regions.vertical_titles(words).select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+
+
 # ---------------------------------------------------------------- windows over events
 
 

@@ -200,3 +200,17 @@ def test_optimizer(spark):
     assert 40 <= len(scarce) <= 60
     assert optimizer.first_subset([30.0, 50.0, 21.0], 50.0) == [0, 2] and optimizer.first_subset([], 5.0) is None and optimizer.first_subset([100.0], 5.0) is None
     assert optimizer.name_score("如家快捷上海分店甲", "北京如家二店乙") == 0.85 and optimizer.edits("kitten", "sitting") == 3
+
+
+def test_nearest_in_time_in_slices(spark):
+    import random
+
+    rng = random.Random(2)
+    left = [("hot", k, float(rng.randint(0, 3000))) for k in range(120)] + [("cold", 500, 5.0), ("none", 501, 5.0)]
+    right = [("hot", k, float(rng.randint(0, 3000))) for k in range(60)] + [("hot", 90, 100.0), ("hot", 91, 100.0), ("cold", 95, 9.0)]
+    at = lambda rows, i: spark.createDataFrame(rows, f"k string, {i} int, s double").withColumn(f"{i}_t", F.timestamp_seconds("s")).drop("s")
+    got = [sorted((r["k"], r["l"], r["r"]) for r in matching.nearest_in_time(at(left, "l"), at(right, "r"), ["k"], "l_t", "r_t", "l", "r", hot=h).collect()) for h in (10**6, 40, 5)]
+    gap = {(k, i): min(abs(s - t) for q, _, t in right if q == k) for k, i, s in left if k != "none"}
+    assert all({(k, i) for k, i, _ in g} == set(gap) for g in got)
+    time_l, time_r = {i: s for _, i, s in left}, {i: s for _, i, s in right}
+    assert all(abs(time_l[i] - time_r[r]) == gap[k, i] for g in got for k, i, r in g)
