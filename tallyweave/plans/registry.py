@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyweave.functions import dates, fields, routing, stays, text
-from tallyweave.operators import assign, invoice_cells, layout, matching, optimizer, records, regions, rejects, rides, summaries, zoned_time
+from tallyweave.operators import assign, documents, invoice_cells, layout, matching, optimizer, records, regions, rejects, rides, summaries, zoned_time
 from tallyweave.plans import views
 from tallyweave.sources import bills
 from tallyweave.streaming.arrivals import windowed_totals
@@ -554,6 +554,29 @@ def q_vertical_titles(spark, sf_dir):
     return regions.vertical_titles(words).select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
 
 
+_DAYS = "case when category = 'Hotel' and hotel_detail.check_in is not null then hotel_detail.check_in else date end"
+_IN_CITY = "category <> 'CityTransport' or coalesce(len(itineraries), 0) = 0 or coalesce(d, '') = '' or contains(names, d) or len(list_filter(itineraries, lambda r: contains(coalesce(r.pickup, ''), d) or contains(coalesce(r.dropoff, ''), d) or contains(coalesce(r.city, ''), d))) > 0"
+
+
+@query(f"with t as (select id as trip_id, substr(id, 5, 8) as batch_id, travel_start as s, travel_end as e, destination as d from trip), i as (select id, batch_id, category, {_DAYS} as day, concat_ws('|', seller_name, item_name, remarks) as names, itineraries from invoice), m as (select id, trip_id, row_number() over (partition by id order by s, trip_id) as n from i join t using (batch_id) where day between s and e and ({_IN_CITY})) select id, trip_id from m where n = 1")
+def q_trip_by_city(spark, sf_dir):
+    """Invoices on the earliest trip of their days that their rides' places don't contradict."""
+    cities = F.when(F.coalesce("destination", F.lit("")) != "", F.array("destination")).otherwise(F.array().cast("array<string>"))
+    trips_ = table(spark, sf_dir, "trip").select(F.col("id").alias("trip_no"), F.substring("id", 5, 8).alias("batch_id"), F.col("travel_start").alias("start"), F.col("travel_end").alias("end"), cities.alias("cities"))
+    none = F.lit(None)
+    days = documents.candidate_days(F.col("category"), F.col("date"), F.col("hotel_detail.check_in"), none.cast("array<date>"), none.cast("date"))
+    inv = table(spark, sf_dir, "invoice").select("batch_id", F.col("id").alias("inv_id"), days.alias("days"), "category", F.array_compact(F.array("seller_name", "item_name", "remarks")).alias("names"), F.col("itineraries").alias("rides"))
+    return documents.on_trips(inv, trips_, ["batch_id"]).select(F.col("inv_id").alias("id"), F.col("trip_no").alias("trip_id"))
+
+
+@query("""select id, cast(pos - 1 as int) as row_no, case when pos = 1 then amount end as inv_amount, coalesce(it.date_time, '') || '  ' || coalesce(it.pickup, '') || ' → ' || coalesce(it.dropoff, '') as remark
+from (select id, amount, unnest(itineraries) as it, generate_subscripts(itineraries, 1) as pos from invoice where amount is not null)""")
+def q_match_rows(spark, sf_dir):
+    none = F.array().cast("array<struct<pay_id:string,amount:double>>")
+    inv = table(spark, sf_dir, "invoice").filter("size(itineraries) > 0 and amount is not null").select(F.col("id").alias("inv_id"), F.col("amount").alias("inv_amount"), F.col("itineraries").alias("rides"), none.alias("payments"))
+    return documents.match_rows(inv).select(F.col("inv_id").alias("id"), "row_no", "inv_amount", "remark")
+
+
 # ---------------------------------------------------------------- windows over events
 
 
