@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyweave.tables import few
+
 # ---------------------------------------------------------------- refunds
 
 
@@ -20,8 +22,8 @@ def net_refunds(rows: DataFrame) -> DataFrame:
     """
     paid, back = rows.filter("amount > 0"), rows.filter("amount < 0").select(F.col("pos").alias("r_pos"), F.col("trade_id").alias("r_id"), F.col("merchant_order").alias("r_order"), F.col("amount").alias("r_amount"))
     by_order = back.filter("r_order <> ''").join(paid, F.col("r_order") == F.col("merchant_order")).select("r_pos", "r_amount", "pos", F.when(F.col("r_id").startswith(F.col("trade_id")), 0).otherwise(1).alias("tier"))
-    lengths = F.broadcast(paid.select(F.length("trade_id").alias("n")).distinct())  # one row a length
-    cut = back.crossJoin(lengths).filter(F.col("n") <= F.length("r_id")).select("r_pos", "r_amount", F.substring(F.col("r_id"), F.lit(1), F.col("n")).alias("trade_id"))
+    lengths = F.array(*[F.lit(r["n"]) for r in few(paid.select(F.length("trade_id").alias("n")).distinct()) if r["n"]]).cast("array<int>")
+    cut = back.select("r_pos", "r_amount", "r_id", F.explode(F.filter(lengths, lambda n: n <= F.length("r_id"))).alias("n")).select("r_pos", "r_amount", F.substring(F.col("r_id"), F.lit(1), F.col("n")).alias("trade_id"))
     by_prefix = cut.join(paid.select("trade_id", "pos"), "trade_id").select("r_pos", "r_amount", "pos", F.lit(2).alias("tier"))
     first = W.partitionBy("r_pos").orderBy("tier", "pos")
     linked = by_order.unionByName(by_prefix).withColumn("n", F.row_number().over(first)).filter("n = 1")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.tables import table
+from tallyweave.tables import few, table
 
 DAY = 86_400
 # Excel day serials count from this date.
@@ -413,7 +413,7 @@ BROADCAST_BATCHES = 100_000  # of some hundred bytes each
 
 def zone_tables(batches: DataFrame) -> tuple[str, dict]:
     """(tz version, tables) of the zones named in ``batches``; there are at most as many as the tz database has."""
-    names = [r[0] for r in batches.select("zone_name").distinct().collect() if r[0]]
+    names = [r[0] for r in few(batches.select("zone_name").distinct()) if r[0]]
     return tz_version(), {z: t for z in names if (t := transitions(z))}
 
 
@@ -429,7 +429,7 @@ def with_walls(batches: DataFrame) -> DataFrame:
     batches are to be broadcast too, up to BROADCAST_BATCHES counted ones; beyond that their joins shuffle.
     """
     spark, year = batches.sparkSession, F.year("received_on")
-    kinds = [tuple(r) for r in batches.groupBy("zone_name", year).count().collect()]
+    kinds = [tuple(r) for r in few(batches.groupBy("zone_name", year).count())]
     spans = [(z, y, [(_written(a), _written(b), o) for a, b, o in walls(z, dt.date(y - YEARS_BACK, 1, 1), dt.date(y + 2, 1, 1))]) for z, y, _ in kinds if z and y and 1975 < y < 2090]
     known = spark.createDataFrame([x for x in spans if x[2]], f"__zone string, __year int, walls {WALLS}")
     out = batches.join(F.broadcast(known), (F.col("zone_name") == F.col("__zone")) & (year == F.col("__year")), "left").drop("__zone", "__year")

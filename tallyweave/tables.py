@@ -47,3 +47,14 @@ def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
     return out, seen.get["n"]
+
+
+MOST_FIXED = 100_000
+
+
+def few(df: DataFrame, most: int = MOST_FIXED) -> list:
+    """The rows of a table that is fixed by its nature (zones, agreed names, capacities); more than ``most`` are an error, not a full driver."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a fixed table has more than {most} rows: {df.columns}")
+    return rows
