@@ -565,8 +565,12 @@ def same_rows(records: DataFrame, partition_rows: int = 40_000) -> DataFrame:
         hot = F.broadcast(hot.select("key"))  # at most all rows / HOT keys
         alike = [c for c in KEYED if c != "seq"]
         part = keyed.join(hot, "key").withColumn("same", F.sha2(F.to_json(F.struct(*alike)), 256))
-        firsts = part.groupBy(*alike, "same").agg(F.min("seq").alias("seq_a"))
-        copies = part.select("field", "same", F.col("seq").alias("seq_b")).join(firsts.select("same", "seq_a"), "same").filter("seq_b > seq_a").select("field", "seq_a", "seq_b")
+        firsts = cut(part.groupBy(*alike, "same").agg(F.min("seq").alias("seq_a"), F.ceil(F.count("*") / HOT).cast("int").alias("parts")))
+        # rows go back to their first row in as many parts as their class has HOT rows
+        large = F.broadcast(firsts.filter("parts > 1").select("same", "parts"))  # at most all rows / HOT classes
+        salted = part.select("field", "same", F.col("seq").alias("seq_b")).join(large, "same", "left").withColumn("salt", F.pmod(F.xxhash64("seq_b"), F.coalesce("parts", F.lit(1))).cast("int"))
+        copies = salted.drop("parts").join(firsts.select("same", "seq_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")), ["same", "salt"]).filter("seq_b > seq_a").select("field", "seq_a", "seq_b")
+        firsts = firsts.drop("parts")
         left = cut(firsts.withColumnRenamed("seq_a", "seq").select(*KEYED))
         slices = left.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("slices"))
         left = left.join(F.broadcast(slices), "key").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyweave.tables import table
+from tallyweave.tables import few, table
 
 # Characters that look like the one at the same place of the second line.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝ"
@@ -152,7 +152,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = inv.select(*cols(NUMBER, "invoice_number")).filter(F.col("value").rlike(r"[^\x00-\x7f]"))
     # the agreed names are a fixed table; spelt right they are no case, however many rows have them
     known = known.select("name").distinct()
-    twins = plain_twins([r[0] for r in known.collect()])
+    twins = plain_twins([r[0] for r in few(known)])
     names = names.filter((F.col("value") != "") & (affected(F.col("value")) | any_of(F.col("value"), twins))).withColumn("bare", F.regexp_replace("value", r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
     names = names.join(F.broadcast(known), F.col("bare") == F.col("name"), "left_anti").drop("bare")
     rows = names.unionByName(numbers)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 from tallyweave.llm.languages import NOTATIONS
 from tallyweave.llm.tokens import TOKENIZER, token_counts
-from tallyweave.tables import cut, table
+from tallyweave.tables import cut, few, table
 
 # The domain of each source; others are their own domain. A parameter of mix().
 DOMAINS = {
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | str | None = None, see
     """
     spark = docs.sparkSession
     domain = F.create_map(*[F.lit(x) for kv in (domains or DOMAINS).items() for x in kv])
-    wanted = [r.asDict() for r in targets.select("source", "target_share", "max_repeat").filter("target_share > 0").collect()]  # one row a source
+    wanted = [r.asDict() for r in few(targets.select("source", "target_share", "max_repeat").filter("target_share > 0"))]  # one row a source
     shares = spark.createDataFrame([(w["source"], float(w["target_share"]), int(w["max_repeat"] or 1)) for w in wanted], "source string, target_share double, max_repeat int")
     rows = docs.filter("tokens > 0").join(F.broadcast(shares), "source").select("doc_id", F.coalesce(domain[F.col("source")], F.col("source")).alias("domain"), language_of(F.col("lang")).alias("lang"), "source", "tokens", "max_repeat")
     rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.tables import table
+from tallyweave.tables import few, table
 
 # Encodings a text may wrongly have been decoded with: one byte a character, then several.
 SINGLE = ("latin-1", "cp1252", "cp437", "cp850", "cp866", "koi8-r", "cp1251", "mac-roman", "cp1250", "cp1254", "iso8859-15")
@@ -326,5 +326,5 @@ def restored(rows: DataFrame, usual: Usual, trusted: list[str]) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _fields(spark, sf_dir)
     # both tables are fixed and small: the agreed spellings are no garbled text
-    trusted = [r[0] for t in ("known_names", "place_ref") for r in table(spark, sf_dir, t).select("name").collect()]
+    trusted = [r[0] for t in ("known_names", "place_ref") for r in few(table(spark, sf_dir, t).select("name"))]
     return restored(rows, character_counts(rows), trusted)

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.tokens import TOKENIZER, token_counts
-from tallyweave.tables import cut, table
+from tallyweave.tables import cut, few, table
 
+MOST_CAPACITIES = 1000  # kinds of containers, each of which takes all items
 BLOCK = 400
 
 
@@ -85,8 +86,11 @@ def containers(sizes: DataFrame, capacities: DataFrame, block: int = BLOCK) -> D
 
     ``sizes`` has doc_id and tokens, one row an item.
     """
-    caps = F.broadcast(capacities.select("container_kind", F.col("capacity_tokens").cast("long").alias("cap")).filter("cap > 0"))
-    pieces = sizes.filter("tokens > 0").crossJoin(caps)  # a handful of capacities, each with all items
+    caps = few(capacities.select("container_kind", F.col("capacity_tokens").cast("long").alias("cap")).filter("cap > 0"), MOST_CAPACITIES)
+    kinds = F.array(*[F.struct(F.lit(c["container_kind"]).alias("container_kind"), F.lit(c["cap"]).cast("long").alias("cap")) for c in caps])
+    if not caps:
+        kinds = F.array().cast("array<struct<container_kind: string, cap: bigint>>")
+    pieces = sizes.filter("tokens > 0").select("*", F.inline(kinds))
     pieces = pieces.withColumn("full", F.floor(F.col("tokens") / F.col("cap"))).withColumn("rest", F.col("tokens") % F.col("cap"))
     whole = pieces.filter("full > 0").select("container_kind", "cap", "doc_id", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece_no"))
     whole = whole.select("container_kind", F.concat_ws("-", "container_kind", F.lit("full"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no", (F.col("piece_no") * F.col("cap")).alias("token_from"), F.col("cap").alias("tokens"))
