@@ -397,7 +397,7 @@ def test_calibration_compares_with_chance():
 
 
 def test_candidates_meet_once(spark):
-    cols = "seq bigint, ch bigint, keys array<bigint>, cents bigint, day int"
+    cols = "seq bigint, nh bigint, keys array<bigint>, cents bigint, day int"
     rng = random.Random(4)
     rows = [(k, rng.randint(0, 5), [1, 2, rng.randint(3, 5)], rng.randint(0, 900), rng.randint(0, 40)) for k in range(200)]
     inv, pay = rows[:80], rows[80:]
