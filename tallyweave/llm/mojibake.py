@@ -47,6 +47,8 @@ LOST = "\ufffd"
 # Question marks in place of letters: a run of them, or one inside a word.
 LOST_ASCII = re.compile(r"\?\?|\?[A-Za-z]")
 HIGH = re.compile(r"[^\x00-\x7f]+")
+WIDE = re.compile("[\u2e80-\ud7ff\ue000-\uf8ff\uf900-\uffef\U00020000-\U0003ffff]")
+LONG_SPAN = 6  # characters above ASCII
 HIGH_AND_TRAIL = re.compile(r"(?:[^\x00-\x7f][0-9@-~]?)+")
 
 
@@ -214,7 +216,8 @@ def _once(text: str, usual: Usual, gain: float) -> tuple[str, bool] | None:
     best, best_score, seen = None, usual.sum(text) + gain, set()
     cut = "?" in text or LOST in text
     high = sum(not c.isascii() for c in text)
-    wrongs = (SINGLE if _any_single().search(text) else ()) + MULTI
+    # text in characters of one kind can't have come from the other kind of encoding
+    wrongs = (SINGLE if _any_single().search(text) else ()) + (MULTI if WIDE.search(text) else ())
     odd = usual.rare(text) >= 0.5
     found: dict[tuple[str, bool], list] = {}
     for right in RIGHT:
@@ -240,6 +243,8 @@ def _once(text: str, usual: Usual, gain: float) -> tuple[str, bool] | None:
             seen.add(got[0])
             if not got[2] and not cut and got[1] >= high and (right == "utf-8" or best is None) and usual.plain(got[0]):
                 return got[0], False  # all of it decoded, to usual characters only: no other reading can be better
+            if right == "utf-8" and common and not got[2] and not cut and got[1] >= high >= LONG_SPAN and usual.seen(got[0]):
+                return got[0], False  # nor where so many bytes are well-formed UTF-8 without a stray
             # a well-formed UTF-8 span is hardly ever an accident; strays count against a reading that nothing was cut from
             score = usual.sum(got[0]) + (3 * got[1] if right == "utf-8" and usual.seen(got[0]) else 0) - (0 if cut else 12) * got[2]
             if score > best_score:
