@@ -171,11 +171,17 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_tim
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = F.greatest(F.ceil((micros("__to") - micros("__from") + 1) / F.ceil(F.col("__n") / hot)), F.lit(1))
     slices = ends.select(*keys, micros("__from").alias("__low"), width.alias("__width"))  # at most all rows / hot of them
-    both = both.join(F.broadcast(slices), keys, "left").withColumn("__slice", F.coalesce(F.floor((micros("__t") - F.col("__low")) / F.col("__width")), F.lit(0))).drop("__low", "__width")
+    sliced = not slices.isEmpty()
+    if sliced:
+        both = both.join(F.broadcast(slices), keys, "left").withColumn("__slice", F.coalesce(F.floor((micros("__t") - F.col("__low")) / F.col("__width")), F.lit(0))).drop("__low", "__width")
+    else:
+        both = both.withColumn("__slice", F.lit(0))
     order = W.partitionBy(*keys, "__slice").orderBy("__t", "__s", F.col(f"__r.{right_id}"))
     back = W.partitionBy(*keys, "__slice").orderBy(F.desc("__t"), F.asc("__s"), F.desc(F.col(f"__r.{right_id}")))
     marked = both.withColumn("__before", F.last("__r", ignorenulls=True).over(order)).withColumn("__after", F.last("__r", ignorenulls=True).over(back))
     own = marked.filter("__s = 1")
+    if not sliced:
+        return _nearer(own, left, right, keys, right_time, right_id)
     # one row a slice: its first and last right row, carried over the slices of the key
     at = F.struct("__t", F.col(f"__r.{right_id}"))
     edge = b.join(F.broadcast(slices), keys).withColumn("__slice", F.floor((micros("__t") - F.col("__low")) / F.col("__width"))).groupBy(*keys, "__slice").agg(F.min_by("__r", at).alias("__first"), F.max_by("__r", at).alias("__last"))
@@ -184,7 +190,13 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_tim
     edge = want.join(edge, [*keys, "__slice"], "full_outer")
     edge = edge.select(*keys, "__slice", F.last("__last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("__earlier"), F.first("__first", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("__later"))
     own = own.join(edge, [*keys, "__slice"], "left").withColumns({"__before": F.coalesce("__before", "__earlier"), "__after": F.coalesce("__after", "__later")})
-    gap = lambda c: F.abs(micros("__t") - F.unix_micros(F.col(f"{c}.{right_time}").cast("timestamp")))
+    return _nearer(own, left, right, keys, right_time, right_id)
+
+
+def _nearer(own: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], right_time: str, right_id: str) -> DataFrame:
+    """Of the right rows before and after each left row the nearer one."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    gap = lambda c: F.abs(micros("__t") - micros(f"{c}.{right_time}"))
     first = F.col(f"__before.{right_id}").isNotNull() & (F.col(f"__after.{right_id}").isNull() | (gap("__before") < gap("__after")) | ((gap("__before") == gap("__after")) & (F.col(f"__before.{right_id}") <= F.col(f"__after.{right_id}"))))
     near = F.when(first, F.col("__before")).otherwise(F.col("__after"))
     return own.withColumn("__n", near).filter(F.col(f"__n.{right_id}").isNotNull()).select(*[F.col(f"__l.{c}").alias(c) for c in left.columns], *[F.col(f"__n.{c}").alias(c) for c in right.columns if c not in keys and c not in left.columns])

@@ -69,7 +69,15 @@ def q_leftover_payments(spark, sf_dir):
     return views.payments(spark, sf_dir).select("pay_id").join(_nearest(spark, sf_dir, False), "pay_id", "left_anti")
 
 
-@query()
+_ROUNDS_OF_BEST = f"""with recursive {BOTH}, c as (select inv_id, pay_id, cast(days as int) as days, row_number() over (partition by inv_id order by days, d, pay_id) as r, dense_rank() over (order by -inv_amount, inv_id) as p
+  from (select *, {DIFF} as d, abs(date_diff('day', cast(pay_time as date), inv_date)) as days from inv, pay where {DIFF} <= 1.0)),
+l as (select *, false as taken from c union all
+  select inv_id, pay_id, days, r, p, best from (select *, bool_or(best) over (partition by inv_id) as i, bool_or(best) over (partition by pay_id) as q
+    from (select *, row_number() over (partition by inv_id order by r) = 1 and row_number() over (partition by pay_id order by p) = 1 as best from l where not taken)) where best or not (i or q))
+select inv_id, pay_id, days from l where taken"""
+
+
+@query(_ROUNDS_OF_BEST)
 def q_one_per_payment(spark, sf_dir):
     c = matching.tolerance_candidates(views.claims(spark, sf_dir), views.payments(spark, sf_dir), 1.0).withColumn("days", F.abs(F.datediff("inv_date", F.to_date("pay_time"))))
     got = matching.one_per_payment(c, [F.asc("days"), F.asc("amount_diff"), F.asc("pay_pos")], [-F.col("inv_amount"), F.col("inv_id")])
@@ -421,7 +429,10 @@ def q_cell_category(spark, sf_dir):
     return inv.select("id", routing.category_by_cells(F.col("item_name"), _tiered(F.col("import_seq"), F.col("item_name")), F.col("seller_name"), F.lit(""), F.col("remarks")).alias("category"))
 
 
-@query()
+_LINE = "coalesce(it.date_time, '') || ' ' || coalesce(it.pickup, '') || ' ¥' || printf('%.2f', it.amount)"
+
+
+@query(f"with r as (select id, pos, it.amount as amount, {_LINE} as t from (select id, unnest(itineraries) as it, generate_subscripts(itineraries, 1) as pos from invoice)), f as (select id, pos, amount, {_shape_sql().split('select id, ')[1].split(' as found')[0]} as found from r) select id as doc_id, cast(row_number() over (partition by id order by pos) as int) as ride_no, found as time, round(amount, 2) as amount from f where found is not null and round(amount, 2) > 0")
 def q_document_rides(spark, sf_dir):
     """The rides of each invoice written as lines of a sheet and read back from its text."""
     line = lambda r: F.concat(F.coalesce(r["date_time"], F.lit("")), F.lit(" "), F.coalesce(r["pickup"], F.lit("")), F.lit(" ¥"), F.format_string("%.2f", r["amount"]))
@@ -429,7 +440,23 @@ def q_document_rides(spark, sf_dir):
     return layout.rides_in_text(sheets)
 
 
-@query()
+_DIGIT = "list_extract(['零', '壹', '贰', '叁', '肆', '伍', '陆', '柒', '捌', '玖'], cast({0} as int) + 1)"
+
+
+def _capitals_sql(cents: str) -> str:
+    """Amounts below 100 million: every digit with its unit, then runs of zeros shortened."""
+    places = [(10 ** (k + 2), u) for k, u in enumerate(["", "拾", "佰", "仟", "万", "拾", "佰", "仟"])][::-1]
+    parts = []
+    for size, unit in places:
+        digit = f"({cents} // {size} % 10)"
+        parts.append(f"case when {digit} > 0 then {_DIGIT.format(digit)} || '{unit}' else '{'零万' if unit == '万' else '零'}' end")
+    whole = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({' || '.join(parts)}, '零+万', '万零', 'g'), '^(零|万)+', ''), '零+', '零', 'g'), '零$', '')"
+    jiao, fen = f"({cents} // 10 % 10)", f"({cents} % 10)"
+    tail = f"case when {jiao} = 0 and {fen} = 0 then '整' when {fen} = 0 then {_DIGIT.format(jiao)} || '角' when {jiao} = 0 then case when {cents} >= 100 then '零' else '' end || {_DIGIT.format(fen)} || '分' else {_DIGIT.format(jiao)} || '角' || {_DIGIT.format(fen)} || '分' end"
+    return f"case when {cents} >= 100 then {whole} || '元' when {cents} > 0 then '' else '零元' end || {tail}"
+
+
+@query(f"select id, {_capitals_sql('c')} as capitals from (select id, cast(round(amount * 100) as bigint) as c from invoice)")
 def q_capital_amounts(spark, sf_dir):
     return table(spark, sf_dir, "invoice").select("id", text.capital_amount(F.round(F.col("amount") * 100).cast("bigint")).alias("capitals"))
 
