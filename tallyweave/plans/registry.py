@@ -674,6 +674,20 @@ def q_statement_files(spark, sf_dir):
 QUERIES["p1_found"] = zoned_time.p1_found
 QUERIES["p1_zone_tables"] = zoned_time.p1_zone_tables
 QUERIES["p6_found"] = rejects.p6_found
+# the same by patterns on the raw lines, without any CSV reader
+_B = r"[\s\x{a0}\x{3000}]"
+_FIELD = rf'(?:{_B}*"(?:[^"]|"")*"{_B}*|[^",]*)'
+_BARE = "regexp_replace(regexp_replace(@, '^" + _B + "+', ''), '" + _B + "+$', '')"
+_CELL = _BARE.replace("@", "case when contains(@, '\"') then replace(regexp_replace(" + _BARE + ", '^\"|\"$', '', 'g'), '\"\"', '\"') else @ end")
+SQL["p6_found"] = f"""with heads as (select batch_id, file_name, min(line_no) as head from raw_records where starts_with(raw_line, '{rejects.HEADER}') group by all),
+lines as (select r.* from raw_records r join heads using (batch_id, file_name) where line_no > head and regexp_matches(raw_line, '\\S') and not starts_with(raw_line, '-')),
+cut as (select raw_id, raw_line, case when regexp_full_match(raw_line, '{_FIELD}(?:,{_FIELD})*') then regexp_extract_all(',' || raw_line, ',({_FIELD})', 1) end as f from lines),
+cells as (select raw_id, f, {_CELL.replace('@', 'f[1]')} as t, {_CELL.replace('@', 'f[3]')} as m, {_CELL.replace('@', 'f[7]')} as a from cut),
+told as (select raw_id, case when f is null then 'quoting' when len(f) <> {rejects.FIELDS} then 'column_count'
+  when not (regexp_full_match(t, '[0-9]{{4}}(-[0-9]{{1,2}}-|/[0-9]{{1,2}}/)[0-9]{{1,2}} ([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?') and try_cast(replace(split_part(t, ' ', 1), '/', '-') as date) is not null) then 'transaction_time'
+  when not regexp_full_match(a, '[¥￥]?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)([.][0-9]{{1,2}})?') then 'amount'
+  when m = '' or regexp_matches(m, '[\\x00-\\x1f\\x7f\\x{{80}}-\\x{{9f}}\\x{{fffd}}]') then 'merchant_name' end as reason from cells)
+select raw_id, reason from told where reason is not null"""
 QUERIES["p6_loaded"] = rejects.p6_loaded
 
 
