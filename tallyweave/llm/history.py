@@ -298,6 +298,19 @@ DERIVED = re.compile(r"(?:[*_].*)$")
 SWAPS = str.maketrans("OILSBZ", "011582")
 
 
+def near(x: str, y: str, most: int) -> bool:
+    """Whether two numbers are at most so many edits apart; what both begin or end with costs nothing to compare."""
+    n = min(len(x), len(y))
+    i = next((k for k in range(n) if x[k] != y[k]), n)
+    j = next((k for k in range(n - i) if x[-1 - k] != y[-1 - k]), n - i)
+    x, y = x[i : len(x) - j], y[i : len(y) - j]
+    if not x or not y:
+        return len(x) + len(y) <= most
+    if sum(abs(x.count(c) - y.count(c)) for c in set(x + y)) > 2 * most:  # an edit changes two counts by one at most
+        return False
+    return distance(x, y) <= most
+
+
 def numbers_alike(a: str, b: str) -> bool | None:
     """Whether one number may be the other damaged: True, False, or None if too little of it is left to tell."""
     if DERIVED.sub("", a) != a or DERIVED.sub("", b) != b:
@@ -316,7 +329,7 @@ def numbers_alike(a: str, b: str) -> bool | None:
         return True if len(short) * 2 >= len(long_) else None
     if abs(len(x) - len(y)) > 4:
         return False
-    return distance(x, y) <= max(2, min(4, len(long_) // 5))
+    return near(x, y, max(2, min(4, len(long_) // 5)))
 
 
 def names_alike(a: str | None, b: str | None) -> bool:

@@ -29,6 +29,18 @@ def test_numbers():
     assert alike("2024033122615282993216332274", "2.02403E+27") is None and alike("2025033122615282993216332274", "2.02403E+27") is False
 
 
+def test_near_is_the_bounded_distance():
+    rng = random.Random(6)
+    for _ in range(3000):
+        x = "".join(rng.choice("0123AB") for _ in range(rng.randint(0, 12)))
+        y = list(x) if rng.random() < 0.7 else [rng.choice("0123AB") for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randint(0, len(y))
+            y[k : k + rng.randint(0, 2)] = rng.choice([[], ["1"], ["A", "0"], y[k : k + 2][::-1]])
+        most = rng.randint(0, 4)
+        assert history.near(x, "".join(y), most) == (gazetteer.distance(x, "".join(y)) <= most), (x, y)
+
+
 def test_one_number(spark):
     from pyspark.sql import functions as F
 
