@@ -719,7 +719,7 @@ class Index:
     def add(self, batch: str, records: DataFrame) -> None:
         """Stores the shards of a batch; a batch that was added before is replaced."""
 
-        def build(key, new: pd.DataFrame) -> pd.DataFrame:
+        def build(key: tuple, new: pd.DataFrame) -> pd.DataFrame:
             new = new.sort_values("seq", kind="stable")
             return pd.DataFrame([_stored(str(key[0]), int(key[1]), int(key[2]), 0, new["key"].to_numpy(np.int64), new["seq"].to_numpy(np.int64), new["number"], new["name"], _vectors_of(new, int(key[1])))])
 
@@ -734,7 +734,7 @@ class Index:
         if len(parts) < FANOUT:
             return len(parts)
 
-        def merge(key, old: pd.DataFrame) -> pd.DataFrame:
+        def merge(key: tuple, old: pd.DataFrame) -> pd.DataFrame:
             rows = list(old.sort_values("level", kind="stable").to_dict("records"))
             out, level = [], 0
             while rows:
