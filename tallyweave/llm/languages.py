@@ -17,6 +17,7 @@ their line, ambiguous lines that of their document.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ NOTATIONS = {
 }
 BITS, BUCKETS = 15, 1 << 13
 SAMPLE_DOCS, SAMPLE_SENTENCES, SAMPLE_CHARS = 4000, 300, 8000  # documents and their first characters, sentences a language
+MAJORITY = 1.5  # times the share of the next label
 AMBIGUOUS = 0.05
 SLICE = 500
 
@@ -169,11 +171,11 @@ def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     labels = {form: lang for lang, names in NOTATIONS.items() for form in names.split()}
     key = F.split(F.regexp_replace(F.lower(F.trim("lang")), "_", "-"), "-")[0]
     known = docs.filter(key.isin(list(labels)) & (F.length("text") > 0)).withColumn("lang", key)
-    of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a notation
+    n_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a notation
     # the same number of documents of each notation, so that a rare language has its classifier; by a hash
-    share = F.create_map(*[F.lit(x) for lang, n in of.items() for x in (lang, min(1.0, SAMPLE_DOCS / len(of) / n))]) if of else F.lit(0.0)
-    rows = known.withColumn("h", F.xxhash64("doc_id")) if of else known.limit(0).withColumn("h", F.lit(0))
-    rows = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000) if of else rows
+    share = F.create_map(*[F.lit(x) for lang, n in n_of.items() for x in (lang, min(1.0, SAMPLE_DOCS / len(n_of) / n))]) if n_of else F.lit(0.0)
+    rows = known.withColumn("h", F.xxhash64("doc_id")) if n_of else known.limit(0).withColumn("h", F.lit(0))
+    rows = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000) if n_of else rows
     rows = rows.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "h").orderBy("h", "doc_id").limit(2 * SAMPLE_DOCS).collect()
     if not rows:
         return [], []
@@ -183,10 +185,20 @@ def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
         of = votes.setdefault(" ".join(distinct[int(i)].as_py().split()), {})
         lang = labels[rows[int(d)]["lang"]]
         of[lang] = of.get(lang, 0) + 1
+    took = Counter(r["lang"] for r in rows)
+    size, whole = Counter(), Counter()  # documents of each label: taken, and in all
+    for form, n in took.items():
+        size[labels[form]] += n
+        whole[labels[form]] += n_of[form]
     ranked: dict[str, list[tuple[int, str]]] = {lang: [] for lang in LANGUAGES}
     for text, of in votes.items():
-        lang = max(of, key=lambda k: (of[k], k))
-        if sum(c.isalpha() for c in text) >= 6 and of[lang] >= 0.6 * sum(of.values()):
+        # the labels are taken alike, so a common language has most of its documents under wrong ones: what counts is the share
+        # of each label's documents, and in all documents no other label may have more
+        share = {k: n / size[k] for k, n in of.items()}
+        lang = max(share, key=lambda k: (share[k], k))
+        next_ = max([0.0, *(x for k, x in share.items() if k != lang)])
+        most = max(x * whole[k] for k, x in share.items())
+        if sum(c.isalpha() for c in text) >= 6 and share[lang] >= MAJORITY * next_ and share[lang] * whole[lang] >= most:
             ranked[lang].append((of[lang], text))
     texts, langs = [], []
     for lang, found in ranked.items():

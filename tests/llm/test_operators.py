@@ -369,6 +369,22 @@ def test_held_out_accuracy_and_mixed_lines(spark):
     assert found[0][0] == 0 and found[0][3] and [(n, lang) for _, n, lang, *_ in lines] == [(0, "en"), (3, "zh+en")] and len(found) == 1
 
 
+def test_wrong_labels_do_not_outvote_a_common_language(spark):
+    zh = [f"{x}补助按天计算，市内交通{y}报销。" for x in ("伙食", "住宿") for y in ("实额", "包干")]
+    own = {"en": "The receipt for the taxi is attached below.", "fr": "Le reçu du taxi se trouve en annexe.", "ko": "택시 영수증은 아래에 첨부되어 있습니다."}
+    forms = {"en": ["en", "eng", "english"], "fr": ["fr", "fra", "fre", "french"], "ko": ["ko", "kor", "korean"]}
+    rows = [(text, "zh") for text in zh for _ in range(200)]
+    for lang, names in forms.items():  # each of these labels has a few documents of the common language
+        rows += [(text, form) for form in names for text, n in [(own[lang], 20), *[(x, 5) for x in zh]] for _ in range(n)]
+    docs = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "doc_id bigint, text string, lang string")
+    few, languages.SAMPLE_DOCS = languages.SAMPLE_DOCS, 440
+    try:
+        texts, labels = languages.training_sample(docs)
+    finally:
+        languages.SAMPLE_DOCS = few
+    assert dict(zip(texts, labels)) == {x: "zh" for x in zh} | {own[k]: k for k in own}
+
+
 # ---------------------------------------------------------------- linkage
 
 
