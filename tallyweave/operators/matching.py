@@ -221,12 +221,51 @@ def time_score(days: Column) -> Column:
     return F.when(days.isNull(), F.lit(0.5)).when(days == 0, F.lit(1.0)).when(days <= 1, F.lit(0.9)).when(days <= 3, F.lit(0.7)).when(days <= 7, F.lit(0.5)).otherwise(F.lit(0.0))
 
 
-def score_pairs(pairs: DataFrame, weights: tuple[float, float, float, float] = (0.4, 0.3, 0.2, 0.1)) -> DataFrame:
-    """Adds the four part scores and their weighted total to pairs of a claim and a payment."""
+WEIGHTS = (0.4, 0.3, 0.2, 0.1)  # of amount, merchant, time, category
+NAMES = 3_000  # distinct names a side up to which all are compared with all beforehand
+
+
+def mark_alike(inv: DataFrame, pay: DataFrame, most: int = NAMES) -> tuple[DataFrame, DataFrame]:
+    """Adds ``inv_alike`` and ``pay_alike``: whether any name of the other side is like the row's name at all.
+
+    Distinct names are compared once, so that pairs of other names need no comparison. Where there are more than
+    ``most`` of them nothing is ruled out.
+    """
+    from tallyweave.tables import cut, cut_and_count
+
+    (a, n), (b, m) = (cut_and_count(side.select(c).filter(F.col(c).isNotNull()).distinct()) for side, c in ((inv, "inv_seller"), (pay, "pay_merchant")))
+    if n > most or m > most:
+        return inv.withColumn("inv_alike", F.lit(True)), pay.withColumn("pay_alike", F.lit(True))
+    alike = cut(a.crossJoin(F.broadcast(b)).filter(merchant_score(F.col("inv_seller"), F.col("pay_merchant")) > 0))
+    if alike.isEmpty():
+        return inv.withColumn("inv_alike", F.lit(False)), pay.withColumn("pay_alike", F.lit(False))
+    mark = lambda side, c, to: side.join(F.broadcast(alike.select(c).distinct().withColumn(to, F.lit(True))), c, "left").withColumn(to, F.coalesce(to, F.lit(False)))
+    return mark(inv, "inv_seller", "inv_alike"), mark(pay, "pay_merchant", "pay_alike")
+
+
+def can_reach(least: float, weights: tuple[float, float, float, float] = WEIGHTS, tolerance: float = 5.0) -> Column:
+    """What a pair of tolerance_candidates() between sides of mark_alike() needs to reach the least score.
+
+    Without a near date and like names only amount and category are left, so the amounts must be that near.
+    """
+    days = F.abs(F.datediff("inv_date", F.to_date("pay_time")))
+    lacks = 1 - (least - weights[3]) / weights[0]  # how much the amount's score may be below 1
+    near = F.lit(True) if lacks >= 0.5 else F.col("amount_diff") <= max(0.0, lacks * 2 * tolerance) if lacks >= 0 else F.lit(False)
+    return days.isNull() | (days <= 7) | (F.col("inv_alike") & F.col("pay_alike")) | near
+
+
+def score_pairs(pairs: DataFrame, weights: tuple[float, float, float, float] = WEIGHTS) -> DataFrame:
+    """Adds the four part scores and their weighted total to pairs of a claim and a payment.
+
+    Names are compared only where mark_alike(), if it was used, leaves that open.
+    """
     days = F.abs(F.datediff("inv_date", F.to_date("pay_time")))
+    names = merchant_score(F.col("inv_seller"), F.col("pay_merchant"))
+    if "inv_alike" in pairs.columns:
+        names = F.when(F.col("inv_alike") & F.col("pay_alike"), names).otherwise(F.lit(0.0))
     parts = {
         "amount_score": F.greatest(amount_score(F.col("inv_amount"), F.col("pay_total")), amount_score(F.col("inv_amount"), F.col("pay_amount"))),
-        "merchant_score": merchant_score(F.col("inv_seller"), F.col("pay_merchant")),
+        "merchant_score": names,
         "time_score": time_score(days),
         "category_score": category_score(F.col("inv_category"), F.col("pay_category")),
     }

@@ -99,10 +99,14 @@ q as (select inv_id, pay_id,
 t as (select *, cast(round((a * 0.4 + b * 0.3 + c * 0.2 + d * 0.1) * 10000) as bigint) as total_e4 from q)"""
 
 
-def _scored(spark, sf_dir):
-    pairs = matching.tolerance_candidates(views.claims(spark, sf_dir), views.payments(spark, sf_dir), 1.0)
-    named = pairs.withColumns({"inv_seller": F.concat(F.lit("Seller "), F.col("inv_id") % 97), "pay_merchant": F.concat(F.lit("Supplier#"), F.col("supp") % 97), "inv_category": F.expr(_CATEGORY), "pay_category": F.expr(_PAID_FOR)})
-    return matching.score_pairs(named).withColumn("total_e4", F.round(F.col("total_score") * 10000).cast("bigint"))
+def _scored(spark, sf_dir, least=None):
+    inv = views.claims(spark, sf_dir).withColumns({"inv_seller": F.concat(F.lit("Seller "), F.col("inv_id") % 97), "inv_category": F.expr(_CATEGORY)})
+    pay = views.payments(spark, sf_dir).withColumns({"pay_merchant": F.concat(F.lit("Supplier#"), F.col("supp") % 97), "pay_category": F.expr(_PAID_FOR)})
+    inv, pay = matching.mark_alike(inv, pay)
+    pairs = matching.tolerance_candidates(inv, pay, 1.0)
+    if least is not None:
+        pairs = pairs.filter(matching.can_reach(least))
+    return matching.score_pairs(pairs).withColumn("total_e4", F.round(F.col("total_score") * 10000).cast("bigint"))
 
 
 @query(_SCORE_SQL + " select inv_id, pay_id, total_e4 from t")
@@ -112,7 +116,7 @@ def q_score_pairs(spark, sf_dir):
 
 @query(_SCORE_SQL + ", r as (select *, row_number() over (partition by inv_id order by total_e4 desc, pay_id) as place from t where total_e4 >= 5000) select inv_id, pay_id, cast(place as int) as place from r where place <= 10")
 def q_score_topk(spark, sf_dir):
-    scored = _scored(spark, sf_dir).withColumn("total_score", F.col("total_e4") / 10000)
+    scored = _scored(spark, sf_dir, 0.4999).withColumn("total_score", F.col("total_e4") / 10000)  # what is rounded up to 0.5 counts
     return matching.top_scored(scored, []).select("inv_id", "pay_id", "place")
 
 

@@ -214,3 +214,22 @@ def test_nearest_in_time_in_slices(spark):
     assert all({(k, i) for k, i, _ in g} == set(gap) for g in got)
     time_l, time_r = {i: s for _, i, s in left}, {i: s for _, i, s in right}
     assert all(abs(time_l[i] - time_r[r]) == gap[k, i] for g in got for k, i, r in g)
+
+
+def test_pairs_that_cannot_reach_the_score_are_left_out(spark):
+    rng = random.Random(8)
+    cents = lambda: rng.choice([100.0, 100.001, 100.3, 100.9, 101.0])
+    day = lambda: rng.choice([None, "2025-01-01", "2025-01-05", "2025-01-20", "2025-03-01"])
+    names = ["Moon Inn", "Moon Inn Two", "Taxi North", "Taxi Nord", "滴滴出行", "滴滴", "", None]
+    inv = [(f"i{k}", cents(), day(), rng.choice(names), rng.choice(["Hotel", "Meal", "Other"])) for k in range(60)]
+    pay = [(f"p{k:03}", cents(), day(), k, rng.choice(names), rng.choice(["酒店旅游", "餐饮美食", "x"])) for k in range(120)]
+    i, p = frames(spark, [x[:3] for x in inv], [x[:4] for x in pay])
+    i = i.join(spark.createDataFrame([(x[0], *x[3:]) for x in inv], "inv_id string, inv_seller string, inv_category string"), "inv_id")
+    p = p.join(spark.createDataFrame([(x[0], *x[4:]) for x in pay], "pay_id string, pay_merchant string, pay_category string"), "pay_id")
+    places = lambda pairs: sorted(map(tuple, matching.top_scored(matching.score_pairs(pairs), []).select("inv_id", "pay_id", "place", "total_score").collect()))
+    every = matching.tolerance_candidates(i, p, 1.0).cache()
+    want, n = places(every), every.count()
+    assert len(want) > 100
+    for most in (matching.NAMES, 2):  # with 2 nothing is known of the names
+        some = matching.tolerance_candidates(*matching.mark_alike(i, p, most), 1.0).filter(matching.can_reach(0.5)).cache()
+        assert places(some) == want and (some.count() < n) == (most > 2)
