@@ -8,6 +8,11 @@ pair of rows outside of neighbouring cells is ever formed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -125,6 +130,111 @@ def _in_order(left: DataFrame, keys: list[str]) -> DataFrame:
     return left.orderBy("__prio", *keys, "inv_id", "__rank").coalesce(1).select(*keys, "inv_id", "pay_id").mapInPandas(run, schema)
 
 
+STRETCH = 1_000_000  # rows of the ordered stream that are looked at together
+
+
+def one_per_payment_by_amount(inv: DataFrame, pay: DataFrame, tolerance: float, stretch: int = STRETCH) -> DataFrame:
+    """(inv_id, pay_id, days): one_per_payment() of tolerance_candidates() where the greatest amount chooses first, then the smaller inv_id.
+
+    A claim takes the free payment with the fewest days (missing ones last), then the smallest difference, then the smaller
+    pay_id. No pair is written: claims and payments stream through one task by falling amount, each payment from the greater of
+    its amounts on until the lesser is passed. The task holds only the payments between these.
+    """
+    day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("double")
+    none = F.lit(None)
+    sound = lambda c: F.when(~F.isnan(c), F.col(c))
+    kinds = {f.name: f.dataType.simpleString() for f in [*inv.schema, *pay.schema]}
+    own = inv.select(sound("inv_amount").alias("at"), sound("inv_amount").alias("amount"), none.cast("double").alias("total"), day("inv_date").alias("day"), "inv_id", none.cast(kinds["pay_id"]).alias("pay_id"))
+    top = F.greatest(sound("pay_amount"), sound("pay_total"))
+    paid = pay.select((top + _slack(top, tolerance, F.abs)).alias("at"), sound("pay_amount").alias("amount"), sound("pay_total").alias("total"), day("pay_time").alias("day"), none.cast(kinds["inv_id"]).alias("inv_id"), "pay_id")
+    rows = own.unionByName(paid.filter("pay_id is not null")).filter("at is not null").orderBy(F.desc("at"), "inv_id").coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, kept, n = None, [], 0
+        for b in batches:
+            kept.append(b)
+            n += b.num_rows
+            if n >= stretch:
+                pool, out = _take_in_order(pa.Table.from_batches(kept), pool, tolerance)
+                yield out
+                kept, n = [], 0
+        if n:
+            yield _take_in_order(pa.Table.from_batches(kept), pool, tolerance)[1]
+
+    return rows.mapInArrow(run, f"inv_id {kinds['inv_id']}, pay_id {kinds['pay_id']}, days int")
+
+
+def _slack(value, tolerance: float, size):
+    """What is looked beyond the tolerance, so that rounding hides no pair; the exact difference decides."""
+    return tolerance + 0.01 + size(value) * 1e-12
+
+
+def _take_in_order(rows: pa.Table, pool: pa.Table | None, tolerance: float) -> tuple[pa.Table, pa.RecordBatch]:
+    """Lets the claims of a stretch choose; returns the payments that later claims may take, and the matches."""
+    is_claim = pc.is_valid(rows["inv_id"])
+    claims, paid = rows.filter(is_claim), rows.filter(pc.invert(is_claim)).select(["amount", "total", "day", "pay_id"])
+    paid = (pa.concat_tables([pool, paid]) if pool is not None else paid).combine_chunks()
+    number = lambda t, c: pc.fill_null(t[c], float("nan")).to_numpy()
+    amount, total, day = (number(paid, c) for c in ("amount", "total", "day"))
+    free = np.ones(len(amount), bool)
+    at, on = number(claims, "amount"), number(claims, "day")
+    slack = _slack(at, tolerance, np.abs)
+    windows = []
+    for value in (amount, total):
+        order = np.argsort(value, kind="stable")
+        ranked = value[order]
+        windows.append((order, np.searchsorted(ranked, at - slack, "left"), np.searchsorted(ranked, at + slack, "right")))
+    (by_a, lo_a, hi_a), (by_t, lo_t, hi_t) = windows
+    some = np.flatnonzero((hi_a > lo_a) | (hi_t > lo_t))
+    took_claim, took_pay, took_days = [], [], []
+    ids = paid["pay_id"]
+    known: dict[float, list | None] = {}  # of claims with the same amount: None after the first of a day, then all its candidates in order
+    last = None
+    for k in some.tolist():
+        a, d = at[k], on[k]
+        if a != last:
+            known, last = {}, a
+        d_key = None if d != d else d
+        if known.get(d_key) is None:
+            i = np.concatenate([by_a[lo_a[k] : hi_a[k]], by_t[lo_t[k] : hi_t[k]]])
+            i = i[free[i]]
+            diff = np.fmin(np.abs(a - amount[i]), np.abs(a - total[i]))
+            near = diff <= tolerance
+            i, diff = i[near], diff[near]
+            days = np.abs(d - day[i])
+            days[np.isnan(days)] = np.inf
+            if d_key in known and len(i):  # a second such claim: put all in order once, the last to choose first
+                i, first = np.unique(i, return_index=True)
+                names = ids.take(pa.array(i)).to_pylist()
+                known[d_key] = [x[3:] + x[:1] for x in sorted(zip(days[first].tolist(), diff[first].tolist(), names, i.tolist()), reverse=True)]
+            elif len(i):
+                known[d_key] = None
+                at_best = np.flatnonzero(days == days.min())
+                at_best = at_best[diff[at_best] == diff[at_best].min()]
+                best = i[at_best]
+                one = int(best[0]) if (best == best[0]).all() else min(zip(ids.take(pa.array(best)).to_pylist(), best.tolist()))[1]
+                free[one] = False
+                took_claim.append(k)
+                took_pay.append(one)
+                took_days.append(days[at_best[0]])
+                continue
+            else:
+                known[d_key] = []
+        rest = known[d_key]
+        while rest:
+            one, far = rest.pop()
+            if free[one]:
+                free[one] = False
+                took_claim.append(k)
+                took_pay.append(one)
+                took_days.append(far)
+                break
+    end = rows["at"][-1].as_py()
+    rest = paid.filter(pa.array(free & (np.fmin(amount, total) <= end + _slack(end, tolerance, abs))))
+    columns = [claims["inv_id"].take(pa.array(took_claim, pa.int64())), ids.take(pa.array(took_pay, pa.int64())), pa.array([None if x == np.inf else int(x) for x in took_days], pa.int32())]
+    return rest, pa.table(columns, names=["inv_id", "pay_id", "days"]).combine_chunks().to_batches()[0] if took_claim else pa.RecordBatch.from_arrays([pa.array([], c.type) for c in columns], names=["inv_id", "pay_id", "days"])
+
+
 # ---------------------------------------------------------------- rides, windows
 
 

@@ -79,9 +79,7 @@ select inv_id, pay_id, days from l where taken"""
 
 @query(_ROUNDS_OF_BEST)
 def q_one_per_payment(spark, sf_dir):
-    c = matching.tolerance_candidates(views.claims(spark, sf_dir), views.payments(spark, sf_dir), 1.0).withColumn("days", F.abs(F.datediff("inv_date", F.to_date("pay_time"))))
-    got = matching.one_per_payment(c, [F.asc("days"), F.asc("amount_diff"), F.asc("pay_pos")], [-F.col("inv_amount"), F.col("inv_id")])
-    return got.select("inv_id", "pay_id", "days")
+    return matching.one_per_payment_by_amount(views.claims(spark, sf_dir), views.payments(spark, sf_dir), 1.0)
 
 
 _CATEGORY = "case inv_id % 5 when 0 then 'Hotel' when 1 then 'CityTransport' when 2 then 'Meal' when 3 then 'Train' else 'Other' end"

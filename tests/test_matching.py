@@ -233,3 +233,25 @@ def test_pairs_that_cannot_reach_the_score_are_left_out(spark):
     for most in (matching.NAMES, 2):  # with 2 nothing is known of the names
         some = matching.tolerance_candidates(*matching.mark_alike(i, p, most), 1.0).filter(matching.can_reach(0.5)).cache()
         assert places(some) == want and (some.count() < n) == (most > 2)
+
+
+def test_one_per_payment_by_amount_writes_no_pairs(spark):
+    rng = random.Random(6)
+    day = lambda: rng.choice([None, *[f"2025-01-{k:02d}" for k in (3, 9, 10, 15)]])
+    for spread in (6, 60):
+        inv = [(f"i{k:03}", rng.randint(1, spread) + rng.choice([0.0, 0.0, 0.5, 1e-3]), day()) for k in range(90)] + [("far", 1e6, "2025-01-10"), ("none", None, None), ("nan", float("nan"), None)]
+        pay = [(f"p{k}", float(rng.randint(1, spread)), day(), k) for k in range(150)] + [("q", None, None, 999)]
+        i, p = frames(spark, inv, pay)
+        p = p.withColumn("pay_total", F.when(F.crc32("pay_id") % 5 > 0, F.col("pay_amount") * (1 + F.crc32("pay_id") % 4 / 10)))
+        rows = {}
+        for r in i.crossJoin(p).withColumn("diff", F.least(F.abs(F.col("inv_amount") - F.col("pay_amount")), F.abs(F.col("inv_amount") - F.col("pay_total")))).filter("diff <= 1").withColumn("days", F.abs(F.datediff("inv_date", F.to_date("pay_time")))).collect():
+            rows.setdefault(r["inv_id"], []).append((r["days"] is None, r["days"] or 0, r["diff"], r["pay_id"]))
+        want, used = {}, set()
+        for inv_id in sorted(rows, key=lambda x: (-dict((q[0], q[1]) for q in inv)[x], x)):
+            best = next((x for x in sorted(rows[inv_id]) if x[3] not in used), None)
+            if best:
+                used.add(best[3])
+                want[inv_id] = (best[3], None if best[0] else best[1])
+        for stretch in (10**6, 7):
+            got = matching.one_per_payment_by_amount(i, p, 1.0, stretch).collect()
+            assert len(got) == len(want) > 40 and {r["inv_id"]: (r["pay_id"], r["days"]) for r in got} == want
