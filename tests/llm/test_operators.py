@@ -431,3 +431,29 @@ def test_candidates_meet_once(spark):
     inv, pay = rows[:80], rows[80:]
     got = sorted((r["inv"], r["pay"]) for r in linkage.candidates(spark.createDataFrame(inv, cols), spark.createDataFrame(pay, cols)).collect())
     assert got == sorted((i[0], p[0]) for i in inv for p in pay if abs(i[3] - p[3]) <= 100 and 0 <= i[4] - p[4] <= 7)
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    hinted = lambda df, n: "strategy=broadcast" in linkage.small(df, n)._jdf.queryExecution().analyzed().toString()
+    wide = spark.createDataFrame([], "nh bigint, core string, vec binary, keys array<bigint>")
+    assert not hinted(wide, 400_000) and hinted(wide, 50_000) and hinted(wide.select("nh"), 200_000) and not hinted(wide.select("nh"), 400_000)
+
+
+def test_one_matrix_goes_to_the_driver(spark, monkeypatch):
+    rng = random.Random(3)
+    cores = spark.createDataFrame([(k, "".join(rng.choice("梨桑绫岑垣蓼藤桐停纱粟椰柘萱荻") for _ in range(3))) for k in range(60)], "nh bigint, core string")
+    links = spark.createDataFrame([], "core string, other string")
+    kind, sent = type(cores), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: sent.append(collect(df)) or sent[-1])
+    monkeypatch.setattr(linkage, "PART_NAMES", 10)
+    got = []
+    for merged in (16, 2):
+        monkeypatch.setattr(linkage, "MERGED", merged)
+        sent.clear()
+        vectors = linkage.core_vectors(cores, links, 60)
+        assert [len(x) for x in sent] == [1]
+        got.append(sorted((r["nh"], r["core"], r["keys"]) for r in vectors.collect()))
+    assert len(got[0]) == 60 and got[0] == got[1]
+    sent.clear()
+    assert linkage.core_vectors(cores.limit(0), links, 0).count() == 0 and sent == [[]]
