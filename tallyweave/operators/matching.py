@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyweave.functions.text import category_score, merchant_score
+from tallyweave.functions.text import category_bit, category_bits, category_score, category_score_of, merchant_score
 
 
 def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float, keys: list[str] = ()) -> DataFrame:
@@ -322,8 +322,7 @@ def window_join(points: DataFrame, windows: DataFrame, keys: list[str], at: str,
 # ---------------------------------------------------------------- scores
 
 
-def amount_score(a: Column, b: Column, tolerance: float = 5.0) -> Column:
-    diff = F.abs(a - b)
+def amount_score(diff: Column, tolerance: float = 5.0) -> Column:
     return F.when(diff == 0, F.lit(1.0)).when(diff <= tolerance, 1 - diff / tolerance * 0.5).otherwise(F.lit(0.0))
 
 
@@ -353,6 +352,11 @@ def mark_alike(inv: DataFrame, pay: DataFrame, most: int = NAMES) -> tuple[DataF
     return mark(inv, "inv_seller", "inv_alike"), mark(pay, "pay_merchant", "pay_alike")
 
 
+def mark_parts(inv: DataFrame, pay: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Works out once a row what score_pairs() would else work out for each of its pairs: the bits of the categories, the day of the payment."""
+    return inv.withColumn("inv_bit", category_bit(F.col("inv_category"))), pay.withColumns({"pay_bits": category_bits(F.col("pay_category")), "pay_time": F.to_date("pay_time")})
+
+
 def can_reach(least: float, weights: tuple[float, float, float, float] = WEIGHTS, tolerance: float = 5.0) -> Column:
     """What a pair of tolerance_candidates() between sides of mark_alike() needs to reach the least score.
 
@@ -367,17 +371,18 @@ def can_reach(least: float, weights: tuple[float, float, float, float] = WEIGHTS
 def score_pairs(pairs: DataFrame, weights: tuple[float, float, float, float] = WEIGHTS) -> DataFrame:
     """Adds the four part scores and their weighted total to pairs of a claim and a payment.
 
-    Names are compared only where mark_alike(), if it was used, leaves that open.
+    Names are compared only where mark_alike(), if it was used, leaves that open; the bits of mark_parts() stand for the categories.
+    The amounts' score falls with their difference, so the smaller of the two differences has the greater score.
     """
     days = F.abs(F.datediff("inv_date", F.to_date("pay_time")))
     names = merchant_score(F.col("inv_seller"), F.col("pay_merchant"))
     if "inv_alike" in pairs.columns:
         names = F.when(F.col("inv_alike") & F.col("pay_alike"), names).otherwise(F.lit(0.0))
     parts = {
-        "amount_score": F.greatest(amount_score(F.col("inv_amount"), F.col("pay_total")), amount_score(F.col("inv_amount"), F.col("pay_amount"))),
+        "amount_score": amount_score(F.least(F.abs(F.col("inv_amount") - F.col("pay_total")), F.abs(F.col("inv_amount") - F.col("pay_amount")))),
         "merchant_score": names,
         "time_score": time_score(days),
-        "category_score": category_score(F.col("inv_category"), F.col("pay_category")),
+        "category_score": category_score_of(F.col("inv_bit"), F.col("pay_bits")) if "inv_bit" in pairs.columns else category_score(F.col("inv_category"), F.col("pay_category")),
     }
     out = pairs.withColumns(parts)
     total = sum((F.col(c) * w for c, w in zip(parts, weights)), F.lit(0.0))

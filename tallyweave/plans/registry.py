@@ -100,11 +100,11 @@ t as (select *, cast(round((a * 0.4 + b * 0.3 + c * 0.2 + d * 0.1) * 10000) as b
 def _scored(spark, sf_dir, least=None):
     inv = views.claims(spark, sf_dir).withColumns({"inv_seller": F.concat(F.lit("Seller "), F.col("inv_id") % 97), "inv_category": F.expr(_CATEGORY)})
     pay = views.payments(spark, sf_dir).withColumns({"pay_merchant": F.concat(F.lit("Supplier#"), F.col("supp") % 97), "pay_category": F.expr(_PAID_FOR)})
-    inv, pay = matching.mark_alike(inv, pay)
+    inv, pay = matching.mark_parts(*matching.mark_alike(inv, pay))
     pairs = matching.tolerance_candidates(inv, pay, 1.0)
     if least is not None:
         pairs = pairs.filter(matching.can_reach(least))
-    return matching.score_pairs(pairs).withColumn("total_e4", F.round(F.col("total_score") * 10000).cast("bigint"))
+    return matching.score_pairs(pairs).withColumn("total_e4", F.floor(F.col("total_score") * 10000 + 0.5))  # F.round() goes through decimal text for each pair
 
 
 @query(_SCORE_SQL + " select inv_id, pay_id, total_e4 from t")

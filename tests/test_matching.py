@@ -255,3 +255,26 @@ def test_one_per_payment_by_amount_writes_no_pairs(spark):
         for stretch in (10**6, 7):
             got = matching.one_per_payment_by_amount(i, p, 1.0, stretch).collect()
             assert len(got) == len(want) > 40 and {r["inv_id"]: (r["pay_id"], r["days"]) for r in got} == want
+
+
+def test_parts_of_scores_are_worked_out_once_a_row(spark):
+    rng = random.Random(12)
+    cents = lambda: rng.choice([100.0, 100.001, 100.3, 100.9, 101.0, None, float("nan")])
+    day = lambda: rng.choice([None, "2025-01-01", "2025-01-05", "2025-01-20"])
+    inv = [(f"i{k}", cents(), day(), rng.choice(["Hotel", "Meal", "Train", "Flight", "CityTransport", "Other", None])) for k in range(50)]
+    pay = [(f"p{k:03}", cents(), day(), k, rng.choice(["酒店旅游", "餐饮美食", "滴滴 高铁", "饭店", "x", "", None])) for k in range(70)]
+    i, p = frames(spark, [x[:3] for x in inv], [x[:4] for x in pay])
+    i = i.join(spark.createDataFrame([(x[0], x[3], "A") for x in inv], "inv_id string, inv_category string, inv_seller string"), "inv_id")
+    p = p.join(spark.createDataFrame([(x[0], x[4], "B") for x in pay], "pay_id string, pay_category string, pay_merchant string"), "pay_id")
+    p = p.withColumn("pay_total", F.when(F.crc32("pay_id") % 4 > 0, F.col("pay_amount") + F.crc32("pay_id") % 3 * 0.2))
+    cols = ["inv_id", "pay_id", "amount_score", "merchant_score", "time_score", "category_score", "total_score"]
+    rows = lambda a, b: sorted(map(tuple, matching.score_pairs(a.crossJoin(b)).select(*cols).collect()))
+    want, got = rows(i, p), rows(*matching.mark_parts(i, p))
+    assert got == want and len({x[5] for x in want}) == 3
+    off = lambda c: matching.amount_score(F.abs(F.col("inv_amount") - F.col(c)))
+    two = F.greatest(off("pay_total"), off("pay_amount"))  # the score of each difference by itself
+    each = {(r[0], r[1]): r[2] for r in i.crossJoin(p).select("inv_id", "pay_id", two).collect()}
+    assert all(each[x[0], x[1]] == x[2] for x in want)
+    plan = matching.score_pairs(matching.tolerance_candidates(*matching.mark_parts(i, p), 1.0)).select("inv_id", "pay_id", "total_score")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("Join Inner")[0]
+    assert "total_score" in joined and "酒店" not in joined and "酒店" in plan
